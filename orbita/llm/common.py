@@ -9,6 +9,10 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from orbita import ship
 
 #: Rows in one Arrow batch: long texts make batches of 10,000 rows too large for a worker.
 BATCH_ROWS = 512
@@ -55,18 +59,14 @@ def forget(df: DataFrame) -> None:
 
 def map_rows(df: DataFrame, columns: list[str], schema: str, work: Callable[[Iterator[list[list]]], Iterator[dict]]) -> DataFrame:
     """mapInArrow over plain lists: ``work`` gets an iterator of [column, ...] lists and yields dicts of lists."""
+    ship.ensure(df.sparkSession)
     small_batches(df.sparkSession)
     picked = df.select(*columns)
-    target = {}
+    target = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import StructType
-
-        if "schema" not in target:
-            target["schema"] = to_arrow_schema(StructType.fromDDL(schema))
         for out in work([c.to_pylist() for c in b.columns] for b in batches):
-            yield pa.RecordBatch.from_pydict(out, schema=target["schema"])
+            yield pa.RecordBatch.from_pydict(out, schema=target)
 
     return picked.mapInArrow(run, schema)
 

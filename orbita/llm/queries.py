@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .op1_bpe_codec import op1_bpe_codec
+from . import op4_exact_dedup as op4
+from .op4_exact_dedup import op4_exact_dedup
 from .op8_token_counts import op8_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_codec": op1_bpe_codec,
+    "op4_exact_dedup": op4_exact_dedup,
     "op8_token_counts": op8_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_exact_dedup": op4.ORACLE,
+}
