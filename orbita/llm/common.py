@@ -57,11 +57,16 @@ def forget(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def map_rows(df: DataFrame, columns: list[str], schema: str, work: Callable[[Iterator[list[list]]], Iterator[dict]]) -> DataFrame:
-    """mapInArrow over plain lists: ``work`` gets an iterator of [column, ...] lists and yields dicts of lists."""
+def prepared(df: DataFrame) -> DataFrame:
+    """``df``, once its session is ready for Python on the workers."""
     ship.ensure(df.sparkSession)
     small_batches(df.sparkSession)
-    picked = df.select(*columns)
+    return df
+
+
+def map_rows(df: DataFrame, columns: list[str], schema: str, work: Callable[[Iterator[list[list]]], Iterator[dict]]) -> DataFrame:
+    """mapInArrow over plain lists: ``work`` gets an iterator of [column, ...] lists and yields dicts of lists."""
+    picked = prepared(df).select(*columns)
     target = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
