@@ -8,6 +8,7 @@ import struct
 from collections.abc import Callable
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import xxhash
@@ -275,7 +276,7 @@ class Lockstep:
         size = np.array(list(map(len, words)))
         wide, live = int(size.max()), np.array(places)
         symbols = np.full((len(words), wide), -1, np.int64)
-        symbols[np.arange(wide)[None, :] < size[:, None]] = [s for w in words for s in w]
+        symbols[np.arange(wide)[None, :] < size[:, None]] = np.fromiter(chain.from_iterable(words), np.int64, int(size.sum()))
         ranks = np.full((len(words), wide), self.NONE, np.int32)
         ranks[:, :-1] = self.rank(symbols[:, :-1], symbols[:, 1:])
         while len(live):
@@ -348,17 +349,25 @@ class WordEncoder:
         found = self.words(chunk)
         return self.word_ids[found[0]] if len(found) == 1 else b"".join(map(self.word_ids.__getitem__, found))
 
-    def learn(self, texts: list[str]) -> None:
-        """Work out the words of many texts at once, ahead of ``encode``: short new words go through the merges in lockstep."""
-        new: dict[str, None] = {}
-        for text in texts:
-            for chunk in set(self.chunks(text)).difference(self.ids):
-                if chunk not in self.ids.old:
-                    new.update(dict.fromkeys(self.words(chunk)))
-        words = [w for w in new if w not in self.word_ids and w not in self.word_ids.old and len(w) <= Lockstep.LONGEST // 4]
-        for begin in range(0, len(words), 20_000):
-            part = words[begin : begin + 20_000]
-            self.word_ids.update(zip(part, self.lockstep.merge([self.symbols(w) for w in part]), strict=True))
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """``encode`` of every text; the short new words of all of them go through the merges in lockstep."""
+        self.ids.trim()
+        self.word_ids.trim()
+        chunks = [None if "<|" in text else self.chunks(text) for text in texts]
+        ids, old_ids, words, old_words = self.ids, self.ids.old, self.word_ids, self.word_ids.old
+        fresh: set[str] = set()
+        for own in chunks:
+            fresh.update(own or ())
+        fresh.difference_update(ids)
+        found = {c: self.words(c) for c in fresh if c not in old_ids}
+        new = {w for own in found.values() for w in own if w not in words and w not in old_words and len(w) <= Lockstep.LONGEST // 4}
+        new = sorted(new)
+        for begin in range(0, len(new), 8192):
+            part = new[begin : begin + 8192]
+            words.update(zip(part, self.lockstep.merge([self.symbols(w) for w in part]), strict=True))
+        for c, own in found.items():
+            ids[c] = words[own[0]] if len(own) == 1 else b"".join([words[w] for w in own])
+        return [self.encode(text) if own is None else b"".join([ids[c] for c in own]) for text, own in zip(texts, chunks, strict=True)]
 
     def chunks(self, text: str) -> list[str]:
         """Lower-cased stretches between white space; no word of the pattern crosses it."""

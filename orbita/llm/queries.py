@@ -10,6 +10,7 @@ from .op1_bpe_codec import op1_bpe_codec
 from . import op4_exact_dedup as op4
 from .op3_html_extraction import op3_html_extraction
 from .op4_exact_dedup import op4_exact_dedup
+from .op5_bestfit_packing import op5_bestfit_packing
 from .op6_toxicity import op6_toxicity
 from .op7_license_scan import op7_license_scan
 from .op8_token_counts import op8_token_counts
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_codec": op1_bpe_codec,
     "op3_html_extraction": op3_html_extraction,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_bestfit_packing": op5_bestfit_packing,
     "op6_toxicity": op6_toxicity,
     "op7_license_scan": op7_license_scan,
     "op8_token_counts": op8_token_counts,
