@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .op1_bpe_codec import op1_bpe_codec
 from . import op4_exact_dedup as op4
+from .op2_lm_scoring import op2_lm_scoring
 from .op3_html_extraction import op3_html_extraction
 from .op4_exact_dedup import op4_exact_dedup
 from .op5_bestfit_packing import op5_bestfit_packing
@@ -19,6 +20,7 @@ from .op10_jaccard_join import op10_jaccard_join
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_codec": op1_bpe_codec,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_html_extraction": op3_html_extraction,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_bestfit_packing": op5_bestfit_packing,
