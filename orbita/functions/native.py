@@ -116,33 +116,49 @@ def from_orthographic(x: Column, y: Column, center_lng: float, center_lat: float
 # Cells -------------------------------------------------------------------------------------------
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often it stands there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def cell_of(lng: Column, lat: Column) -> Column:
-    """The leaf cell of a point as a signed 64-bit id: face, then the curve four levels at a time by a constant table."""
-    v = to_xyz(lng, lat)
-    x, y, z = v["x"], v["y"], v["z"]
-    ax, ay, az = F.abs(x), F.abs(y), F.abs(z)
-    on_x, on_y = (ax >= ay) & (ax >= az), (ay > ax) & (ay >= az)
-    face = F.when(on_x, F.when(x < 0, 3).otherwise(0)).when(on_y, F.when(y < 0, 4).otherwise(1)).otherwise(F.when(z < 0, 5).otherwise(2))
-    pick = lambda *six: F.when(face == 0, six[0]).when(face == 1, six[1]).when(face == 2, six[2]).when(face == 3, six[3]).when(face == 4, six[4]).otherwise(six[5])
-    u = pick(y / F.nullif(x, F.lit(0.0)), -x / F.nullif(y, F.lit(0.0)), -x / F.nullif(z, F.lit(0.0)), z / F.nullif(x, F.lit(0.0)), z / F.nullif(y, F.lit(0.0)), -y / F.nullif(z, F.lit(0.0)))
-    w = pick(z / F.nullif(x, F.lit(0.0)), z / F.nullif(y, F.lit(0.0)), -y / F.nullif(z, F.lit(0.0)), y / F.nullif(x, F.lit(0.0)), -x / F.nullif(y, F.lit(0.0)), -x / F.nullif(z, F.lit(0.0)))
-    size = 1 << LEAF_LEVEL
-    st = lambda u: F.when(u >= 0, 0.5 * F.sqrt(1 + 3 * u)).otherwise(1 - 0.5 * F.sqrt(1 - 3 * u))
-    grid = lambda u: F.least(F.lit(size - 1), F.greatest(F.lit(0), F.floor(st(u) * size).cast("int")))
-    # structs keep each step a value of its own, so that no step is written out twice
-    start = F.struct(face.alias("f"), grid(u).alias("i"), grid(w).alias("j"))
-    table = F.lit(FORTH.tolist())
+    """The leaf cell of a point as a signed 64-bit id: face, then the curve four levels at a time by a constant table.
+
+    ``registry.cells`` gives the same by numpy over batches, which is faster; this one needs no Python.
+    """
+    size, table = 1 << LEAF_LEVEL, F.lit(FORTH.tolist())
+
+    def face(v: Column) -> Column:
+        ax, ay, az = F.abs(v["x"]), F.abs(v["y"]), F.abs(v["z"])
+        return F.when((ax >= ay) & (ax >= az), F.when(v["x"] < 0, 3).otherwise(0)).when(ay >= az, F.when(v["y"] < 0, 4).otherwise(1)).otherwise(F.when(v["z"] < 0, 5).otherwise(2))
+
+    def projected(v: Column) -> Column:
+        """The coordinate that is largest divides the other two, with signs by face."""
+        x, y, z = v["x"], v["y"], v["z"]
+        on = lambda p, q: F.struct(v["f"].alias("f"), p.alias("u"), q.alias("w"))
+        return F.when(v["f"] == 0, on(y / x, z / x)).when(v["f"] == 1, on(-x / y, z / y)).when(v["f"] == 2, on(-x / z, -y / z)).when(v["f"] == 3, on(z / x, y / x)).when(v["f"] == 4, on(z / y, -x / y)).otherwise(on(-y / z, -x / z))
+
+    def gridded(p: Column) -> Column:
+        st = lambda u: F.when(u >= 0, 0.5 * F.sqrt(1 + 3 * F.abs(u))).otherwise(1 - 0.5 * F.sqrt(1 + 3 * F.abs(u)))
+        grid = lambda u: F.least(F.lit(size - 1), F.greatest(F.lit(0), F.floor(st(u) * size).cast("int")))
+        return F.struct(grid(p["u"]).alias("i"), grid(p["w"]).alias("j"), (p["f"] % 2).cast("int").alias("turn"), p["f"].cast("long").alias("id"), p["f"].cast("long").alias("f"))
 
     def step(state: Column, k: Column) -> Column:
-        at = F.shiftright(state["i"], k * 4).bitwiseAND(15) * 64 + F.shiftright(state["j"], k * 4).bitwiseAND(15) * 4 + state["turn"]
-        got = F.get(table, at.cast("int"))
-        return F.struct(state["i"].alias("i"), state["j"].alias("j"), got.bitwiseAND(3).cast("int").alias("turn"), (F.shiftleft(state["id"], 8).bitwiseOR(F.shiftright(got, 2).bitwiseAND(255))).alias("id"))
+        nibble = lambda c: F.call_function("shiftright", state[c], k * 4).bitwiseAND(15)
+        got = F.get(table, (nibble("i") * 64 + nibble("j") * 4 + state["turn"]).cast("int"))
+        return let(got, lambda g: F.struct(state["i"].alias("i"), state["j"].alias("j"), g.bitwiseAND(3).cast("int").alias("turn"), F.shiftleft(state["id"], 8).bitwiseOR(F.shiftright(g, 2).bitwiseAND(255)).alias("id"), state["f"].alias("f")))
+
+    # the first of eight steps has two levels only: its four upper bits are zero, and the face is put in again
+    packed = lambda e: F.shiftleft(e["f"], 61).bitwiseOR(F.shiftleft(e["id"].bitwiseAND((1 << 60) - 1), 1)).bitwiseOR(F.lit(1).cast("long"))
+    walked = lambda g: F.aggregate(F.array(*[F.lit(k) for k in range(7, -1, -1)]), g, step, packed)
+    found = let(let(let(let(to_xyz(lng, lat), lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y"), v["z"].alias("z"), face(v).alias("f"))), projected), gridded), walked)
+    return F.when(lng.isNull() | lat.isNull(), F.lit(None)).when(F.isnan(lng) | F.isnan(lat), F.lit(SENTINEL).cast("long")).otherwise(found)
+
 
-    first = F.transform(F.array(start), lambda s: F.struct(s["i"].alias("i"), s["j"].alias("j"), (s["f"] % 2).cast("int").alias("turn"), s["f"].cast("long").alias("id")))
-    end = F.aggregate(F.array(*[F.lit(k) for k in range(7, -1, -1)]), F.get(first, F.lit(0)), step)
-    # the first of eight steps has two levels only: its four upper bits are zero and shift the face out of place
-    face_bits, rest = face.cast("long"), end["id"].bitwiseAND((1 << 60) - 1)
-    return F.when(lng.isNull() | lat.isNull(), F.lit(None)).when(F.isnan(lng) | F.isnan(lat), F.lit(SENTINEL).cast("long")).otherwise(F.shiftleft(face_bits, 61).bitwiseOR(F.shiftleft(rest, 1)).bitwiseOR(F.lit(1).cast("long")))
+def leaf_parent(leaf: Column, at: int) -> Column:
+    """The ancestor of a leaf cell at a fixed level: two bit operations."""
+    bit = 1 << (2 * (LEAF_LEVEL - at))
+    return leaf.bitwiseAND(F.lit(-bit).cast("long")).bitwiseOR(F.lit(bit).cast("long"))
 
 
 def lowest_bit(cell: Column) -> Column:
@@ -197,12 +213,9 @@ def may_intersect(a: Column, b: Column) -> Column:
 
 
 def common_ancestor_level(a: Column, b: Column) -> Column:
-    """-1 for cells of different faces or invalid ones."""
-    low = F.least(level(a), level(b))
-    found = F.lit(-1)
-    for at in range(LEAF_LEVEL + 1):
-        found = F.when((low >= at) & (parent(a, at) == parent(b, at)), at).otherwise(found)
-    return F.when(is_valid(a) & is_valid(b), found).otherwise(-1)
+    """-1 for cells of different faces or invalid ones: the topmost bit in which the ids differ tells."""
+    top = F.length(F.bin(F.greatest(a.bitwiseXOR(b), lowest_bit(a), lowest_bit(b)))) - 1
+    return F.when(is_valid(a) & is_valid(b) & (a.bitwiseXOR(b) >= 0) & (top <= 60), F.floor((60 - top) / 2)).otherwise(-1).cast("int")
 
 
 def to_token(cell: Column) -> Column:

@@ -302,6 +302,28 @@ def call(name: str, *args: Column | bytes | float | int | str) -> Column:
     return out
 
 
+@cache
+def _cells_udf():
+    def leaves(lng: pd.Series, lat: pd.Series) -> pd.Series:
+        import numpy as np
+
+        at = np.stack((lng.to_numpy(float), lat.to_numpy(float)), 1)
+        good = np.isfinite(at).all(1)
+        out = np.full(len(at), cells.SENTINEL, np.int64)
+        out[good] = cells.from_vectors(S.xyz(at[good]))
+        return pd.Series(out)
+
+    return F.pandas_udf(leaves, "bigint")
+
+
+def leaf_cells(lng: Column, lat: Column) -> Column:
+    """``native.cell_of`` by numpy over batches of points; NaN gives the sentinel, null gives null."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        ship.ensure(spark)
+    return F.when(lng.isNotNull() & lat.isNotNull(), _cells_udf()(lng, lat))
+
+
 def register_all(spark: SparkSession) -> list[str]:
     """Every function under its SQL name in this session."""
     ship.ensure(spark)

@@ -159,7 +159,7 @@ def area_approx(cell: int) -> float:
     if level(cell) < 2:
         return 4 * math.pi / (6 * 4 ** level(cell))
     c = corners(cell)
-    flat = 0.5 * np.linalg.norm(np.cross(c[2] - c[0], c[3] - c[1]))
+    flat = 0.5 * np.linalg.norm(S.cross(c[2] - c[0], c[3] - c[1]))
     return float(flat * 2 / (1 + math.sqrt(1 - min(flat / math.pi, 1))))
 
 
@@ -269,6 +269,8 @@ def relation(shape, cell: int) -> int:
     p, q = shape.edges
     mid = S.unit(c.sum(0))
     reach = float(S.angle(mid, c).max())
+    if len(p) and float(S.angle(mid, S.project(mid, p, q)).min()) > reach + 1e-15:  # no edge is near
+        return 1 if shape.polygons and shape.covers(mid[None])[0] == 1 else -1
     if shape.polygons:
         side = shape.covers(np.concatenate((c, mid[None])))
         crossed = len(own.a) and S.crossings(*shape.ring_edges, own.a, own.b).any()

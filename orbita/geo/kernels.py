@@ -271,7 +271,7 @@ def touches(a: Shape, b: Shape) -> bool:
 def _inner_point(region: S.Region) -> np.ndarray:
     k = int(np.linalg.norm(region.a - region.b, axis=1).argmax())
     a, b = region.a[k], region.b[k]
-    return S.unit(S.unit(a + b) + S.unit(np.cross(a + b, b - a)) * min(1e-7, np.linalg.norm(a - b) * 1e-3))
+    return S.unit(S.unit(a + b) + S.unit(S.cross(a + b, b - a)) * min(1e-7, np.linalg.norm(a - b) * 1e-3))
 
 
 # Measures ----------------------------------------------------------------------------------------
@@ -341,7 +341,7 @@ def centroid_vector(a: Shape) -> np.ndarray:
         for p in a.polygons:
             for r in p:
                 u, v = r[:-1], r[1:]
-                n = np.cross(u, v)
+                n = S.cross(u, v)
                 long = np.linalg.norm(n, axis=1, keepdims=True)
                 total += (0.5 * S.angle(u, v)[:, None] * n / np.where(long == 0, 1, long)).sum(0)
         return total
@@ -401,9 +401,9 @@ def hull_ring(v: np.ndarray) -> np.ndarray:
     middle = S.unit(v.sum(0))
     if (v @ middle <= 1e-9).any():
         raise GeographyError("the convex hull does not fit into a hemisphere")
-    east = np.cross([0.0, 0.0, 1.0], middle)
+    east = S.cross([0.0, 0.0, 1.0], middle)
     east = S.unit(east) if np.linalg.norm(east) > 1e-12 else np.array([1.0, 0.0, 0.0])
-    north = np.cross(middle, east)
+    north = S.cross(middle, east)
     w = v @ middle
     x, y = v @ east / w, v @ north / w
     order = np.lexsort((y, x))
@@ -552,12 +552,12 @@ def chain_bounds(v: np.ndarray) -> tuple[list[tuple[float, float]], float, float
         a, b = ll[k, 0], ll[k + 1, 0]
         d = (b - a + 540) % 360 - 180
         intervals.append((a, b) if d >= 0 else (b, a))
-        n = np.cross(v[k] - v[k + 1], v[k] + v[k + 1])
+        n = S.cross(v[k] - v[k + 1], v[k] + v[k + 1])
         long = np.linalg.norm(n)
         if long < 1e-15:
             continue
         n = n / long
-        m = np.cross(n, [0.0, 0.0, 1.0])
+        m = S.cross(n, [0.0, 0.0, 1.0])
         da, db = float(m @ v[k]), float(m @ v[k + 1])
         if da * db < 0:
             top = float(np.degrees(np.arccos(min(1.0, abs(n[2])))))

@@ -26,13 +26,23 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v / np.where(n == 0, 1, n)
 
 
+def cross(a, b) -> np.ndarray:
+    """As numpy's, without its handling of axes, which costs more than the products."""
+    a, b = np.asarray(a), np.asarray(b)
+    out = np.empty(np.broadcast_shapes(a.shape, b.shape))
+    out[..., 0] = a[..., 1] * b[..., 2] - a[..., 2] * b[..., 1]
+    out[..., 1] = a[..., 2] * b[..., 0] - a[..., 0] * b[..., 2]
+    out[..., 2] = a[..., 0] * b[..., 1] - a[..., 1] * b[..., 0]
+    return out
+
+
 def dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.einsum("...i,...i->...", a, b)
 
 
 def det(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     """a . (b x c), from differences where the vectors are close."""
-    return dot(a, np.cross(b - a, c - a))
+    return dot(a, cross(b - a, c - a))
 
 
 def angle(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -45,25 +55,27 @@ def angle(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def project(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The point of the edges a-b nearest to p; all broadcast."""
     p, a, b = np.broadcast_arrays(p, a, b)
-    n = np.cross(a - b, a + b)
+    n = cross(a - b, a + b)
     long = np.linalg.norm(n, axis=-1, keepdims=True)
     n = n / np.where(long == 0, 1, long)
     foot = unit(p - dot(p, n)[..., None] * n)
-    inside = (dot(np.cross(n, a), foot) >= 0) & (dot(np.cross(b, n), foot) >= 0) & (long[..., 0] > 0) & (np.linalg.norm(foot, axis=-1) > 0)
+    inside = (dot(cross(n, a), foot) >= 0) & (dot(cross(b, n), foot) >= 0) & (long[..., 0] > 0) & (np.linalg.norm(foot, axis=-1) > 0)
     ends = np.where((np.linalg.norm(p - a, axis=-1) <= np.linalg.norm(p - b, axis=-1))[..., None], a, b)
     return np.where(inside[..., None], foot, ends)
 
 
 def crossings(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
     """(n, m): which edges a-b properly cross which edges c-d: the four triangles they make turn the same way."""
-    ab, cd = np.cross(a - b, a + b), np.cross(c - d, c + d)
-    turns = np.stack((-(ab @ c.T), ab @ d.T, -(cd @ b.T).T, (cd @ a.T).T))
-    return (turns > 0).all(0) | (turns < 0).all(0)
+    ab, cd = cross(a - b, a + b), cross(c - d, c + d)
+    # what rounding may make of a determinant that is zero: such edges touch, if at all
+    e, f = 8e-16 * np.linalg.norm(ab, axis=1)[:, None], 8e-16 * np.linalg.norm(cd, axis=1)[None]
+    w, x, y, z = -(ab @ c.T), ab @ d.T, -(cd @ b.T).T, (cd @ a.T).T
+    return (w > e) & (x > e) & (y > f) & (z > f) | (w < -e) & (x < -e) & (y < -f) & (z < -f)
 
 
 def intersection(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
     """Where crossing edges a-b and c-d meet."""
-    x = unit(np.cross(np.cross(a - b, a + b), np.cross(c - d, c + d)))
+    x = unit(cross(cross(a - b, a + b), cross(c - d, c + d)))
     return np.where((dot(x, a + b + c + d) < 0)[..., None], -x, x)
 
 
@@ -109,7 +121,7 @@ class Region:
         self.b = np.concatenate([p[1] for p in pairs]) if pairs else np.zeros((0, 3))
         keep = (self.a != self.b).any(1)
         self.a, self.b = self.a[keep], self.b[keep]
-        self.normal = np.cross(self.a - self.b, self.a + self.b)
+        self.normal = cross(self.a - self.b, self.a + self.b)
 
     def boundary_distance(self, p: np.ndarray) -> np.ndarray:
         if not len(self.a):
@@ -136,11 +148,11 @@ class Region:
                 break
             t = 0.5 + 0.37 * np.sin(turn)
             foot = unit(self.a[k] * (1 - t) + self.b[k] * t)
-            left = unit(np.cross(self.a[k] + self.b[k], self.b[k] - self.a[k]))
+            left = unit(cross(self.a[k] + self.b[k], self.b[k] - self.a[k]))
             way = min(1e-7, np.linalg.norm(self.a[k] - self.b[k]) * 1e-3)
             ref = unit(foot + left * way)
             q = p[todo]
-            n = np.cross(q, ref)
+            n = cross(q, ref)
             vague = ((np.abs(n @ self.a.T) < 1e-16) & (q @ self.a.T > -0.5)).any(1) | (np.linalg.norm(n, axis=1) < 1e-9)
             odd = crossings(q, np.broadcast_to(ref, q.shape), self.a, self.b).sum(1) % 2 == 1
             sure = ~vague

@@ -1,11 +1,481 @@
-"""The engine's queries and the SQL that gives the same rows."""
+"""The engine's queries and the SQL that gives the same rows. Floating results are rounded alike in both."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from orbita import ship
+from orbita.functions import native, registry
+from orbita.operators import aggregates, joins
+from orbita.plans import tables as T
+from orbita.streaming import geofence
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+call = registry.call
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship.ensure(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def near(column, digits: int):
+    """Rounded, without a negative zero."""
+    return (F.round(column, digits) + F.lit(0.0)).cast("double")
+
+
+def quads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.nations(spark, sf_dir).withColumn("geog", call("st_geogfromwkt", F.col("wkt")))
+
+
+def in_quads(spark: SparkSession, sf_dir: str, points: DataFrame, how: str = "inner", key: str | None = None) -> DataFrame:
+    refine = lambda: native.inside_convex(native.to_xyz(F.col("lng"), F.col("lat")), T.corner_vectors())
+    return joins.point_join(points, quads(spark, sf_dir), "lng", "lat", "geog", refine, how, point_id=key)
+
+
+JOINED = f"SELECT * FROM ({T.sql_vectors('{}')}), ({T.SQL_QUADS}) WHERE {T.SQL_INSIDE}"
+PAIRS = JOINED.format(T.SQL_CUSTOMERS)
+AT = "CAST(round({}, {}) + 0.0 AS DOUBLE)"
+
+
+def sql_near(x: str, digits: int) -> str:
+    return AT.format(x, digits)
+
+
+# Points ------------------------------------------------------------------------------------------
+
+SPOT = (-64.0, 45.0)
+TO_SPOT = f"SELECT *, {T.sql_xyz(str(SPOT[0]), str(SPOT[1]), 's')} FROM ({T.sql_vectors(T.SQL_CUSTOMERS)})"
+
+
+@query(f"SELECT c_custkey, {sql_near(f'{T.sql_chord("p", "s")} * {T.RADIUS}', 3)} AS metres FROM ({TO_SPOT})")
+def pt_distance(spark, sf_dir):
+    return T.customers(spark, sf_dir).select("c_custkey", near(native.distance(F.col("lng"), F.col("lat"), F.lit(SPOT[0]), F.lit(SPOT[1])), 3).alias("metres"))
+
+
+@query(f"SELECT c_custkey FROM ({TO_SPOT}) WHERE {T.sql_chord('p', 's')} * {T.RADIUS} <= 3000000")
+def pt_dwithin(spark, sf_dir):
+    return T.customers(spark, sf_dir).where(native.dwithin(F.col("lng"), F.col("lat"), F.lit(SPOT[0]), F.lit(SPOT[1]), 3_000_000.0)).select("c_custkey")
+
+
+@query(f"SELECT c_custkey, {sql_near('lng * 20037508.3427892 / 180', 3)} AS x, {sql_near('ln(tan(pi() / 4 + radians(lat) / 2)) * 20037508.3427892 / pi()', 3)} AS y FROM ({T.SQL_CUSTOMERS})")
+def mercator(spark, sf_dir):
+    m = native.mercator(F.col("lng"), F.col("lat"))
+    return T.customers(spark, sf_dir).select("c_custkey", near(m["x"], 3).alias("x"), near(m["y"], 3).alias("y"))
+
+
+@query(f"""
+SELECT c_custkey, {sql_near('cos(radians(lat)) * sin(radians(lng + 64))', 9)} AS x,
+       {sql_near('cos(radians(45)) * sin(radians(lat)) - sin(radians(45)) * cos(radians(lat)) * cos(radians(lng + 64))', 9)} AS y
+FROM ({T.SQL_CUSTOMERS}) WHERE sin(radians(45)) * sin(radians(lat)) + cos(radians(45)) * cos(radians(lat)) * cos(radians(lng + 64)) >= 0""")
+def orthographic(spark, sf_dir):
+    p = native.orthographic(F.col("lng"), F.col("lat"), *SPOT)
+    return T.customers(spark, sf_dir).select("c_custkey", near(p["x"], 9).alias("x"), near(p["y"], 9).alias("y")).where(~F.isnan("x"))
+
+
+# Joins -------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT n_nationkey, c_custkey FROM ({PAIRS})")
+def contains_join(spark, sf_dir):
+    return in_quads(spark, sf_dir, T.customers(spark, sf_dir)).select("n_nationkey", "c_custkey")
+
+
+@query(f"SELECT n_nationkey, s_suppkey FROM ({JOINED.format(T.SQL_SUPPLIERS)})")
+def within_join_exact(spark, sf_dir):
+    """Refined by the WKB predicate in place of half-planes."""
+    return joins.point_join(T.suppliers(spark, sf_dir), quads(spark, sf_dir), "lng", "lat", "geog").select("n_nationkey", "s_suppkey")
+
+
+@query(f"SELECT DISTINCT c_custkey FROM ({PAIRS})")
+def semi_join(spark, sf_dir):
+    return in_quads(spark, sf_dir, T.customers(spark, sf_dir), "left_semi", "c_custkey").select("c_custkey")
+
+
+@query(f"SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM ({PAIRS}))")
+def anti_join(spark, sf_dir):
+    return in_quads(spark, sf_dir, T.customers(spark, sf_dir), "left_anti", "c_custkey").select("c_custkey")
+
+
+@query(f"SELECT c_custkey, n_nationkey FROM customer LEFT JOIN (SELECT c_custkey, n_nationkey FROM ({PAIRS})) USING (c_custkey)")
+def left_join(spark, sf_dir):
+    return in_quads(spark, sf_dir, T.customers(spark, sf_dir), "left", "c_custkey").select("c_custkey", "n_nationkey")
+
+
+@query(f"""
+SELECT n_nationkey, count(*) AS disjoint FROM ({T.sql_vectors(T.SQL_SUPPLIERS)}), ({T.SQL_QUADS})
+WHERE NOT ({T.SQL_INSIDE}) GROUP BY n_nationkey""")
+def disjoint_counts(spark, sf_dir):
+    """All less those that meet: the complement needs no pair of its own."""
+    points = T.suppliers(spark, sf_dir)
+    met = in_quads(spark, sf_dir, points).groupBy("n_nationkey").agg(F.count(F.lit(1)).alias("met"))
+    total = points.agg(F.count(F.lit(1)).alias("total"))
+    return T.nations(spark, sf_dir).join(met, "n_nationkey", "left").crossJoin(F.broadcast(total)).select("n_nationkey", (F.col("total") - F.coalesce("met", F.lit(0))).alias("disjoint"))
+
+
+@query(f"""
+WITH q AS ({T.SQL_QUADS}), m AS (
+  SELECT n_nationkey, {', '.join(f'sum(a * n{c}) AS {c}c' for c in 'xyz')} FROM (
+    SELECT n_nationkey, 2 * asin(least(1.0, sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2) + pow(z1 - z0, 2)) / 2)) AS a, (y0 * z1 - z0 * y1) / l AS nx, (z0 * x1 - x0 * z1) / l AS ny, (x0 * y1 - y0 * x1) / l AS nz FROM (
+      SELECT *, sqrt(pow(y0 * z1 - z0 * y1, 2) + pow(z0 * x1 - x0 * z1, 2) + pow(x0 * y1 - y0 * x1, 2)) AS l FROM (
+        {' UNION ALL '.join(f'SELECT n_nationkey, x{k} AS x0, y{k} AS y0, z{k} AS z0, x{(k + 1) % 4} AS x1, y{(k + 1) % 4} AS y1, z{(k + 1) % 4} AS z1 FROM q' for k in range(4))}))) GROUP BY n_nationkey),
+u AS (SELECT n_nationkey, xc / l AS xc, yc / l AS yc, zc / l AS zc FROM (SELECT *, sqrt(xc * xc + yc * yc + zc * zc) AS l FROM m))
+SELECT n_nationkey, count(*) AS suppliers, {sql_near(f'avg({T.sql_chord("p", "c")} * {T.RADIUS})', 2)} AS mean_metres
+FROM ({JOINED.format(T.SQL_SUPPLIERS)}) JOIN u USING (n_nationkey) GROUP BY n_nationkey""")
+def suppliers_per_nation(spark, sf_dir):
+    """Suppliers inside each nation's polygon and their mean distance to its centroid."""
+    middle = quads(spark, sf_dir).select("n_nationkey", call("st_centroid", F.col("geog")).alias("m")).select("n_nationkey", call("st_x", F.col("m")).alias("mx"), call("st_y", F.col("m")).alias("my"))
+    pairs = in_quads(spark, sf_dir, T.suppliers(spark, sf_dir)).join(middle, "n_nationkey")
+    return pairs.groupBy("n_nationkey").agg(F.count(F.lit(1)).alias("suppliers"), near(F.avg(native.distance(F.col("lng"), F.col("lat"), F.col("mx"), F.col("my"))), 2).alias("mean_metres"))
+
+
+TWO = f"SELECT c_custkey, s_suppkey, {T.sql_chord('p', 's')} * {T.RADIUS} AS d FROM ({T.sql_vectors(T.SQL_CUSTOMERS)}), ({T.sql_vectors(T.SQL_SUPPLIERS, 's')})"
+
+
+@query(f"SELECT c_custkey, s_suppkey, {sql_near('d', 2)} AS metres FROM ({TWO}) WHERE d <= 500000")
+def dwithin_join(spark, sf_dir):
+    a, b = T.customers(spark, sf_dir), T.suppliers(spark, sf_dir).withColumnsRenamed({"lng": "lng2", "lat": "lat2"})
+    return joins.distance_join(a, b, ("lng", "lat"), ("lng2", "lat2"), 500_000.0).select("c_custkey", "s_suppkey", near(F.col("distance"), 2).alias("metres"))
+
+
+@query(f"SELECT c_custkey, s_suppkey, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY d, s_suppkey) AS rank FROM ({TWO})) WHERE rank <= 3")
+def knn(spark, sf_dir):
+    a, b = T.customers(spark, sf_dir), T.suppliers(spark, sf_dir).withColumnsRenamed({"lng": "lng2", "lat": "lat2"})
+    return joins.knn_join(a, b, ("lng", "lat"), ("lng2", "lat2"), 3, "c_custkey", "s_suppkey", 2_000_000.0).select("c_custkey", "s_suppkey", "rank")
+
+
+@query("SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a, nation b WHERE a.n_nationkey = b.n_nationkey")
+def shapes_join(spark, sf_dir):
+    """Nations against themselves: the quadrilaterals are apart."""
+    a = quads(spark, sf_dir).select(F.col("n_nationkey").alias("a"), F.col("geog").alias("geog_a"))
+    b = quads(spark, sf_dir).select(F.col("n_nationkey").alias("b"), F.col("geog").alias("geog_b"))
+    return joins.spatial_join(a, b, "geog_a", "geog_b", level=2).select("a", "b")
+
+
+@query("SELECT n_nationkey AS id FROM nation WHERE n_nationkey = 12")
+def index_lookup(spark, sf_dir):
+    """Candidates by an index of cells, refined."""
+    shapes = quads(spark, sf_dir).withColumnRenamed("n_nationkey", "id")
+    spot = registry.KERNELS["st_geogfromwkt"]("POINT (-10 -5)")
+    found = joins.lookup(joins.cell_table(shapes, "geog", "id"), registry.KERNELS["s2_coveringcellids"](spot), "id")
+    return shapes.join(found, "id", "left_semi").where(call("st_intersects", F.col("geog"), F.lit(spot))).select("id")
+
+
+# Polygons ----------------------------------------------------------------------------------------
+
+AREA = f"{T.SQL_QUAD_AREA} * {T.RADIUS} * {T.RADIUS}"
+
+
+def over_quads(sql: str) -> str:
+    return f"SELECT n_nationkey, {sql} FROM ({T.SQL_QUADS})"
+
+
+def km2(geog):
+    return near(call("st_area", geog) / 1e6, 2)
+
+
+@query(over_quads(f"{sql_near(f'{AREA} / 1e6', 2)} AS km2"))
+def poly_area(spark, sf_dir):
+    return quads(spark, sf_dir).select("n_nationkey", km2(F.col("geog")).alias("km2"))
+
+
+@query(over_quads(f"{sql_near(f'{AREA} / 1e6', 2)} AS km2"))
+def poly_area_native(spark, sf_dir):
+    ring = F.array(*[native.point(F.col("lng0") + x, F.col("lat0") + y) for x, y in (*T.CORNERS, T.CORNERS[0])])
+    return T.nations(spark, sf_dir).select("n_nationkey", near(native.ring_area(ring) / 1e6, 2).alias("km2"))
+
+
+PERIMETER = "(" + " + ".join(T.sql_chord(str(k), str((k + 1) % 4)) for k in range(4)) + f") * {T.RADIUS}"
+
+
+@query(over_quads(f"{sql_near(PERIMETER, 3)} AS metres"))
+def poly_perimeter(spark, sf_dir):
+    return quads(spark, sf_dir).select("n_nationkey", near(call("st_perimeter", F.col("geog")), 3).alias("metres"))
+
+
+@query(over_quads(f"{sql_near(f'{AREA} / 1e6', 2)} AS km2"))
+def convex_hull(spark, sf_dir):
+    return quads(spark, sf_dir).select("n_nationkey", km2(call("st_convexhull", F.col("geog"))).alias("km2"))
+
+
+def with_neighbour(spark, sf_dir):
+    """Each nation with a quadrilateral that overlaps its right half along the same parallels' corners."""
+    n = quads(spark, sf_dir)
+    shifted = n.select(F.col("n_nationkey").alias("k"), F.col("geog").alias("other"))
+    return n.join(shifted, (F.col("n_nationkey") + 1) % 25 == F.col("k"))
+
+
+PAIRED = f"SELECT a.n_nationkey, a.area AS a, b.area AS b FROM (SELECT n_nationkey, {AREA} AS area FROM ({T.SQL_QUADS})) a JOIN (SELECT n_nationkey, {AREA} AS area FROM ({T.SQL_QUADS})) b ON (a.n_nationkey + 1) % 25 = b.n_nationkey"
+
+
+@query(f"SELECT n_nationkey, {sql_near('(a + b) / 1e6', 2)} AS km2 FROM ({PAIRED})")
+def union_area(spark, sf_dir):
+    return with_neighbour(spark, sf_dir).select("n_nationkey", km2(call("st_union", F.col("geog"), F.col("other"))).alias("km2"))
+
+
+@query("SELECT n_nationkey, 'POLYGON EMPTY' AS wkt FROM nation")
+def intersection_empty(spark, sf_dir):
+    return with_neighbour(spark, sf_dir).select("n_nationkey", call("st_astext", call("st_intersection", F.col("geog"), F.col("other"))).alias("wkt"))
+
+
+@query(over_quads(f"{sql_near(f'{AREA} / 1e6', 2)} AS km2"))
+def intersection_self(spark, sf_dir):
+    return quads(spark, sf_dir).select("n_nationkey", km2(call("st_intersection", F.col("geog"), F.col("geog"))).alias("km2"))
+
+
+@query(f"SELECT n_nationkey, {sql_near('a / 1e6', 2)} AS km2 FROM ({PAIRED})")
+def difference_area(spark, sf_dir):
+    return with_neighbour(spark, sf_dir).select("n_nationkey", km2(call("st_difference", F.col("geog"), F.col("other"))).alias("km2"))
+
+
+@query(f"SELECT n_nationkey, {sql_near('(a + b) / 1e6', 2)} AS km2 FROM ({PAIRED})")
+def symdifference_area(spark, sf_dir):
+    return with_neighbour(spark, sf_dir).select("n_nationkey", km2(call("st_symdifference", F.col("geog"), F.col("other"))).alias("km2"))
+
+
+HALF = [(25, -5), (75, -5), (75, 30), (25, 30)]
+
+
+@query(over_quads("true AS adds_up, true AS unites"))
+def overlay_identities(spark, sf_dir):
+    """area(A) = area(A and B) + area(A less B), area(A or B) = area(A) + area(B less A), for overlapping B."""
+    vertex = lambda x, y: F.concat((F.col("lng0") + x).cast("string"), F.lit(" "), F.greatest(F.lit(-89.0), F.least(F.lit(89.0), F.col("lat0") + y)).cast("string"))
+    text = F.concat(F.lit("POLYGON (("), *[p for x, y in (*HALF, HALF[0]) for p in (vertex(x, y), F.lit(", "))][:-1], F.lit("))"))
+    both = quads(spark, sf_dir).withColumn("other", call("st_geogfromwkt", text))
+    a, b = F.col("geog"), F.col("other")
+    size = lambda g: call("st_area", g)
+    close = lambda x, y: F.abs(x - y) <= 1e-9 * x + 1
+    return both.select("n_nationkey", close(size(a), size(call("st_intersection", a, b)) + size(call("st_difference", a, b))).alias("adds_up"), close(size(call("st_union", a, b)), size(a) + size(call("st_difference", b, a))).alias("unites"))
+
+
+@query("SELECT n_nationkey, 1 AS hits FROM nation")
+def covering_cells(spark, sf_dir):
+    """The covering of a polygon holds its centroid in one cell, with eight cells at most."""
+    n = quads(spark, sf_dir).withColumn("cells", call("s2_coveringcellids", F.col("geog"))).withColumn("leaf", call("s2_cellidfrompoint", call("st_centroid", F.col("geog"))))
+    return n.where(F.size("cells") <= 8).select("n_nationkey", F.size(F.filter("cells", lambda c: native.contains(c, F.col("leaf")))).alias("hits"))
+
+
+@query("SELECT n_nationkey, true AS inside FROM nation")
+def point_on_surface(spark, sf_dir):
+    return quads(spark, sf_dir).select("n_nationkey", call("st_contains", F.col("geog"), call("st_pointonsurface", F.col("geog"))).alias("inside"))
+
+
+@query("SELECT n_nationkey, true AS same, false AS other, true AS apart FROM nation")
+def equality(spark, sf_dir):
+    """Equal under a rotated ring, not to a neighbour, from which it is apart."""
+    n = with_neighbour(spark, sf_dir)
+    corner = lambda k: F.concat((F.col("lng0") + T.CORNERS[k][0]).cast("string"), F.lit(" "), (F.col("lat0") + T.CORNERS[k][1]).cast("string"))
+    turned = F.concat(F.lit("POLYGON (("), *[p for k in (2, 3, 0, 1, 2) for p in (corner(k), F.lit(", "))][:-1], F.lit("))"))
+    return n.select("n_nationkey", call("st_equals", F.col("geog"), call("st_geogfromwkt", turned)).alias("same"), call("st_equals", F.col("geog"), F.col("other")).alias("other"), call("st_disjoint", F.col("geog"), F.col("other")).alias("apart"))
+
+
+def nearest_sql(kind: str) -> str:
+    best = "least" if kind == "min" else "greatest"
+    return f"{best}(" + ", ".join(T.sql_chord(str(k), "p") for k in range(4)) + ")"
+
+
+@query(f"SELECT n_nationkey, {sql_near(f'{nearest_sql("max")} * {T.RADIUS}', 2)} AS metres FROM (SELECT *, {T.sql_xyz('lng0 + 20', 'lat0 + 10', 'p')} FROM ({T.SQL_QUADS}))")
+def max_distance(spark, sf_dir):
+    """From a point inside to the farthest corner."""
+    spot = call("st_geogfromwkt", F.concat(F.lit("POINT ("), (F.col("lng0") + 20).cast("string"), F.lit(" "), (F.col("lat0") + 10).cast("string"), F.lit(")")))
+    return quads(spark, sf_dir).select("n_nationkey", near(call("st_maxdistance", spot, F.col("geog")), 2).alias("metres"))
+
+
+CIRCLE = f"(32 * (2 * atan2(tan(d / 2) * tan(d / 2) * sin(2 * pi() / 32), 1 + tan(d / 2) * tan(d / 2) * cos(2 * pi() / 32)))) * {T.RADIUS} * {T.RADIUS}"
+
+
+@query(f"SELECT s_suppkey, {sql_near(f'{CIRCLE} / 1e6', 2)} AS km2 FROM (SELECT s_suppkey, 100000.0 / {T.RADIUS} AS d FROM supplier)")
+def buffer_points(spark, sf_dir):
+    """A regular polygon of 32 corners at 100 km."""
+    wkb = joins.point_wkb(F.col("lng"), F.col("lat"))
+    return T.suppliers(spark, sf_dir).select("s_suppkey", km2(call("st_buffer", wkb, 100_000.0)).alias("km2"))
+
+
+@query(f"SELECT s_suppkey, {sql_near('round(lng, 1)', 6)} AS lng, {sql_near('round(lat, 1)', 6)} AS lat FROM (SELECT s_suppkey, floor(lng * 10 + 0.5) / 10 AS lng, floor(lat * 10 + 0.5) / 10 AS lat FROM ({T.SQL_SUPPLIERS}))")
+def reduce_precision(spark, sf_dir):
+    at = T.suppliers(spark, sf_dir).select("s_suppkey", call("st_reduceprecision", joins.point_wkb(F.col("lng"), F.col("lat")), 0.1).alias("g"))
+    return at.select("s_suppkey", near(call("st_x", F.col("g")), 6).alias("lng"), near(call("st_y", F.col("g")), 6).alias("lat"))
+
+
+BOTH = f"SELECT s_suppkey, lng, lat, {T.sql_chord('p', 's')} * {T.RADIUS} AS d FROM (SELECT *, {T.sql_xyz(str(SPOT[0]), str(SPOT[1]), 's')} FROM ({T.sql_vectors(T.SQL_SUPPLIERS)}))"
+
+
+@query(f"SELECT s_suppkey, {sql_near('d', 3)} AS distance, {sql_near('d', 3)} AS longest, {sql_near('d', 3)} AS shortest, {sql_near('lng', 6)} AS x, true AS within_it, false AS within_less FROM ({BOTH})")
+def wkb_distances(spark, sf_dir):
+    """Every kernel of the distance family between points."""
+    p, spot = joins.point_wkb(F.col("lng"), F.col("lat")), F.lit(registry.KERNELS["st_geogfromwkt"](f"POINT ({SPOT[0]} {SPOT[1]})"))
+    d = call("st_distance", p, spot)
+    return T.suppliers(spark, sf_dir).select(
+        "s_suppkey", near(d, 3).alias("distance"), near(call("st_length", call("st_longestline", p, spot)), 3).alias("longest"), near(call("st_length", call("st_shortestline", p, spot)), 3).alias("shortest"),
+        near(call("st_x", call("st_closestpoint", p, spot)), 6).alias("x"), call("st_dwithin", p, spot, d).alias("within_it"), call("st_dwithin", p, spot, d - 1).alias("within_less"),
+    )
+
+
+# Lines -------------------------------------------------------------------------------------------
+
+STEPS = f"SELECT *, {T.sql_xyz('lng0', 'lat0', '0')} FROM (SELECT *, lag(lng) OVER w AS lng0, lag(lat) OVER w AS lat0, count(*) OVER (PARTITION BY o_custkey) AS n FROM ({T.sql_vectors(T.SQL_ORDERS, '1')}) WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey))"
+LENGTHS = f"SELECT o_custkey, {sql_near(f'sum({T.sql_chord("0", "1")}) * {T.RADIUS}', 2)} AS metres FROM ({STEPS}) WHERE lng0 IS NOT NULL GROUP BY o_custkey"
+
+
+@query(LENGTHS)
+def line_length(spark, sf_dir):
+    lines = T.order_lines(spark, sf_dir).where(F.size("stops") > 1)
+    return lines.select("o_custkey", near(native.chain_length(F.col("stops")), 2).alias("metres"))
+
+
+@query(LENGTHS)
+def line_length_wkb(spark, sf_dir):
+    lines = T.order_lines(spark, sf_dir).where(F.size("stops") > 1)
+    return lines.select("o_custkey", near(call("st_length", call("st_geogfromwkt", T.line_wkt())), 2).alias("metres"))
+
+
+@query("SELECT o_custkey, true AS found, true AS ends FROM (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) > 1)")
+def line_referencing(spark, sf_dir):
+    """What is interpolated at a fraction is located there; the ends are the first and the last vertex."""
+    lines = T.order_lines(spark, sf_dir).where(F.size("stops") > 1).withColumn("g", call("st_geogfromwkt", T.line_wkt()))
+    at = call("st_lineinterpolatepoint", F.col("g"), 0.4)
+    again = call("st_distance", call("st_lineinterpolatepoint", F.col("g"), call("st_linelocatepoint", F.col("g"), at)), at)
+    first = call("st_x", call("st_lineinterpolatepoint", F.col("g"), 0.0))
+    return lines.select("o_custkey", (again < 1e-2).alias("found"), (F.abs(first - F.col("stops")[0]["lng"]) < 1e-9).alias("ends"))
+
+
+@query("SELECT o_custkey, CAST(count(*) AS INTEGER) AS vertices FROM orders GROUP BY o_custkey HAVING count(*) > 1")
+def simplify_nothing(spark, sf_dir):
+    """A tolerance of a millimetre keeps every vertex."""
+    lines = T.order_lines(spark, sf_dir).where(F.size("stops") > 1)
+    return lines.select("o_custkey", call("st_npoints", call("st_simplify", call("st_geogfromwkt", T.line_wkt()), 0.001)).alias("vertices"))
+
+
+# Cells -------------------------------------------------------------------------------------------
+
+
+def cell_sql(points: str, key: str) -> str:
+    """Leaf ids by thirty steps of the curve."""
+    st = lambda u: f"CASE WHEN {u} >= 0 THEN 0.5 * sqrt(1 + 3 * {u}) ELSE 1 - 0.5 * sqrt(1 - 3 * {u}) END"
+    grid = lambda u: f"least(1073741823, greatest(0, floor(({st(u)}) * 1073741824)))::BIGINT"
+    six = lambda *x: "CASE f " + " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(x)) + " END"
+    return f"""
+WITH RECURSIVE v AS ({T.sql_vectors(points)}),
+a AS (SELECT *, CASE WHEN abs(xp) >= abs(yp) AND abs(xp) >= abs(zp) THEN CASE WHEN xp < 0 THEN 3 ELSE 0 END WHEN abs(yp) > abs(xp) AND abs(yp) >= abs(zp) THEN CASE WHEN yp < 0 THEN 4 ELSE 1 END WHEN zp < 0 THEN 5 ELSE 2 END AS f FROM v),
+b AS (SELECT *, {six('yp/xp', '-xp/yp', '-xp/zp', 'zp/xp', 'zp/yp', '-yp/zp')} AS u, {six('zp/xp', 'zp/yp', '-yp/zp', 'yp/xp', '-xp/yp', '-xp/zp')} AS w FROM a),
+c AS (SELECT {key}, f, {grid('u')} AS i, {grid('w')} AS j FROM b),
+r AS (SELECT {key}, i, j, 29 AS k, f & 1 AS turn, f::HUGEINT AS id FROM c
+  UNION ALL SELECT {key}, i, j, k - 1,
+    turn # CASE q WHEN 0 THEN 1 WHEN 3 THEN 3 ELSE 0 END, id * 4 + q FROM (
+    SELECT *, CASE turn WHEN 0 THEN [0, 1, 3, 2][ij + 1] WHEN 1 THEN [0, 3, 1, 2][ij + 1] WHEN 2 THEN [2, 3, 1, 0][ij + 1] ELSE [2, 1, 3, 0][ij + 1] END AS q FROM (
+      SELECT *, ((i >> k) & 1) * 2 + ((j >> k) & 1) AS ij FROM r WHERE k >= 0)))
+SELECT {key}, CASE WHEN id * 2 + 1 >= 9223372036854775808::HUGEINT THEN (id * 2 + 1 - 18446744073709551616::HUGEINT)::BIGINT ELSE (id * 2 + 1)::BIGINT END AS cell FROM r WHERE k = -1"""
+
+
+CELLS = cell_sql(T.SQL_CUSTOMERS, "c_custkey").replace("turn # CASE", "xor(turn, CASE").replace("ELSE 0 END, id * 4", "ELSE 0 END), id * 4")
+
+
+def cells_of(spark, sf_dir):
+    return T.customers(spark, sf_dir).select("c_custkey", native.cell_of(F.col("lng"), F.col("lat")).alias("cell"))
+
+
+@query(CELLS)
+def cell_id(spark, sf_dir):
+    return cells_of(spark, sf_dir)
+
+
+@query(CELLS)
+def cell_id_wkb(spark, sf_dir):
+    return T.customers(spark, sf_dir).select("c_custkey", call("s2_cellidfrompoint", joins.point_wkb(F.col("lng"), F.col("lat"))).alias("cell"))
+
+
+@query(f"SELECT c_custkey, ((cell >> 41) << 41) | (1::BIGINT << 40) AS up, 10 AS level, true AS holds, true AS meets, 10 AS shared, true AS valid FROM ({CELLS})")
+def cell_hierarchy(spark, sf_dir):
+    cell = F.col("cell")
+    up = native.parent(cell, 10)
+    return cells_of(spark, sf_dir).select("c_custkey", up.alias("up"), native.level(up).alias("level"), native.contains(up, cell).alias("holds"), native.may_intersect(cell, up).alias("meets"), native.common_ancestor_level(up, cell).alias("shared"), native.is_valid(cell).alias("valid"))
+
+
+@query(f"SELECT c_custkey, rtrim(lower(printf('%016x', cell)), '0') AS token, true AS back, true AS debug FROM ({CELLS})")
+def cell_tokens(spark, sf_dir):
+    cell = F.col("cell")
+    return cells_of(spark, sf_dir).select("c_custkey", native.to_token(cell).alias("token"), (native.from_token(native.to_token(cell)) == cell).alias("back"), (call("s2_cell_from_debug_string", native.to_debug(cell)) == cell).alias("debug"))
+
+
+@query("SELECT c_custkey, true AS children, true AS sides, true AS corners FROM customer")
+def cell_geometry(spark, sf_dir):
+    """Children lie in their parent, neighbours have its level and are no relatives, corners surround the centre."""
+    cell = native.parent(F.col("cell"), 9)
+    inside = native.contains(cell, native.child(cell, 0)) & native.contains(cell, native.child(cell, 3))
+    side = call("s2_cell_edge_neighbor", cell, 1)
+    a, b = call("s2_cell_center", cell), call("s2_cell_vertex", cell, 2)
+    return cells_of(spark, sf_dir).select("c_custkey", inside.alias("children"), ((native.level(side) == 9) & (side != cell)).alias("sides"), (native.angle(a, b) < 0.004).alias("corners"))
+
+
+# Aggregates --------------------------------------------------------------------------------------
+
+SUMS = f"SELECT c_nationkey, sum(xp) AS x, sum(yp) AS y, sum(zp) AS z FROM ({T.sql_vectors(T.SQL_CUSTOMERS)}) JOIN (SELECT c_custkey, c_nationkey FROM customer) USING (c_custkey) GROUP BY c_nationkey"
+
+
+def by_nation(spark, sf_dir):
+    return T.keyed_points(T.read(spark, sf_dir, "customer"), "c_custkey", 7919, 104729, "c_nationkey")
+
+
+@query(f"SELECT c_nationkey, {sql_near('degrees(atan2(y, x))', 6)} AS lng, {sql_near('degrees(atan2(z, sqrt(x * x + y * y)))', 6)} AS lat FROM ({SUMS})")
+def centroid_agg(spark, sf_dir):
+    return aggregates.centroid_agg(by_nation(spark, sf_dir), ["c_nationkey"], "lng", "lat").select("c_nationkey", near(F.col("lng"), 6).alias("lng"), near(F.col("lat"), 6).alias("lat"))
+
+
+@query(f"SELECT c_nationkey, {sql_near('min(lat)', 6)} AS ymin, {sql_near('max(lat)', 6)} AS ymax FROM ({T.SQL_CUSTOMERS}) JOIN (SELECT c_custkey, c_nationkey FROM customer) USING (c_custkey) GROUP BY c_nationkey")
+def bounds_agg(spark, sf_dir):
+    points = by_nation(spark, sf_dir).select("c_nationkey", joins.point_wkb(F.col("lng"), F.col("lat")).alias("g"))
+    return aggregates.bounds_agg(points, ["c_nationkey"], "g").select("c_nationkey", near(F.col("bounds.ymin"), 6).alias("ymin"), near(F.col("bounds.ymax"), 6).alias("ymax"))
+
+
+REGION_AREA = f"SELECT n_nationkey // 5 AS row, {sql_near(f'sum({AREA}) / 1e6', 1)} AS km2 FROM ({T.SQL_QUADS}) GROUP BY 1"
+
+
+@query(REGION_AREA)
+def union_agg(spark, sf_dir):
+    n = quads(spark, sf_dir).select(F.floor(F.col("n_nationkey") / 5).cast("int").alias("row"), "geog")
+    return aggregates.union_agg(n, ["row"], "geog").select("row", near(call("st_area", F.col("geog")) / 1e6, 1).alias("km2"))
+
+
+@query(REGION_AREA)
+def coverage_union_agg(spark, sf_dir):
+    n = quads(spark, sf_dir).select(F.floor(F.col("n_nationkey") / 5).cast("int").alias("row"), "geog")
+    return aggregates.coverage_union_agg(n, ["row"], "geog").select("row", near(call("st_area", F.col("geog")) / 1e6, 1).alias("km2"))
+
+
+@query(REGION_AREA)
+def rebuild_agg(spark, sf_dir):
+    n = quads(spark, sf_dir).select(F.floor(F.col("n_nationkey") / 5).cast("int").alias("row"), "geog")
+    return aggregates.rebuild_agg(n, ["row"], "geog").select("row", near(call("st_area", F.col("geog")) / 1e6, 1).alias("km2"))
+
+
+@query("SELECT n_nationkey, true AS holds FROM nation")
+def convex_hull_agg(spark, sf_dir):
+    """The hull of a nation's corners, aggregated from points, holds its centroid."""
+    n = quads(spark, sf_dir)
+    corners = n.select("n_nationkey", F.explode(F.array(*[native.point(F.col("lng0") + x, F.col("lat0") + y) for x, y in T.CORNERS])).alias("p"))
+    hull = aggregates.convex_hull_agg(corners.select("n_nationkey", joins.point_wkb(F.col("p.lng"), F.col("p.lat")).alias("hull")), ["n_nationkey"], "hull")
+    return n.join(hull, "n_nationkey").select("n_nationkey", call("st_contains", F.col("hull"), call("st_centroid", F.col("geog"))).alias("holds"))
+
+
+# Streams -----------------------------------------------------------------------------------------
+
+
+@query(f"SELECT n_nationkey, date_trunc('day', ts) AS start, count(*) AS n FROM ({JOINED.format(T.SQL_EVENTS)}) GROUP BY 1, 2")
+def geofence_windows(spark, sf_dir):
+    """Events by day and nation; the same plan runs over a stream."""
+    refine = lambda: native.inside_convex(native.to_xyz(F.col("lng"), F.col("lat")), T.corner_vectors())
+    hits = geofence.fenced(T.events(spark, sf_dir), quads(spark, sf_dir), "lng", "lat", "geog", refine)
+    return geofence.windowed_centroids(hits, "n_nationkey", "ts", "lng", "lat").select("n_nationkey", "start", "n")
