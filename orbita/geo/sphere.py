@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 #: The fixed radius of the sphere in metres.
@@ -96,7 +98,7 @@ def ring_area(ring: np.ndarray) -> float:
     middle = unit(v.sum(0))
     apex = middle if np.linalg.norm(v.sum(0)) > 1e-9 and (v @ middle).min() > 0.1 else v[0]
     area = float(triangle_area(apex, v, np.roll(v, -1, 0)).sum())
-    return (area + 2 * np.pi) % (4 * np.pi) - 2 * np.pi
+    return area if abs(area) <= 2 * np.pi else area - math.copysign(4 * np.pi, area)
 
 
 def oriented(rings: list[np.ndarray]) -> list[np.ndarray]:
