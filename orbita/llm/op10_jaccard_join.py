@@ -7,8 +7,9 @@ linked sets thus agree in at least p - d parts, and a join on equal parts finds
 with p - d or more of them also sends its prefix (its least hashes, enough that linked sets share one); two linked sets
 that agree in empty parts only are both such sets.
 
-Sets that share a part are first compared with the least set there (a star, not all pairs), and their texts verified.
-Components that hold a failed comparison are gone through again with every pair of different labels inside a part.
+Sets that share a part are first compared with the least set there (a star, not all pairs): parity sketches of about
+as many bits as shingles rule out most chance meetings, texts decide. Then the parts whose sets still carry different
+labels are gone through with every pair of different labels, again by sketches first.
 
 Equal sets are one node from the start. A node is a 64-bit digest of its set. Null or empty texts have no shingles and
 link with nothing; null doc_ids are the smallest id and give a null component only among themselves. Every row gives
@@ -33,6 +34,8 @@ SHINGLE, PERCENT = 5, 80
 KEY_BITS = 48
 #: Members of one group that a task compares with each other; larger groups are compared block by block.
 BLOCK = 1000
+#: So many ids (16 bytes each) are broadcast at most; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 NO_ID = -(2**63)
 
 
@@ -77,6 +80,27 @@ def keys_of(hashes: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def sketch_of(hashes: np.ndarray) -> bytes:
+    """A parity bit for each of 2^k (64 at least) residues, no fewer than shingles: a shingle more or less flips one bit."""
+    bits = max(64, 1 << max(0, len(hashes) - 1).bit_length())
+    at = (mix(hashes + np.uint64(1)) >> np.uint64(20)) & np.uint64(bits - 1)
+    odd = np.bincount(at.astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(sketch: bytes, words: int) -> np.ndarray:
+    """A sketch XORed into fewer residues; ``words`` of 64 bits."""
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, "<u8").reshape(-1, words), axis=0)
+
+
+def near(n: int, sketch: bytes, m: int, other: bytes) -> bool:
+    """False only if no sets of n and m shingles with these sketches are linked."""
+    if 100 * min(n, m) < PERCENT * max(n, m):
+        return False
+    words = min(len(sketch), len(other)) // 8
+    return 9 * int(np.bitwise_count(folded(sketch, words) ^ folded(other, words)).sum()) <= n + m
+
+
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     if 100 * min(len(a), len(b)) < PERCENT * max(len(a), len(b)):
         return False
@@ -96,116 +120,117 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def shingled(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, node) of every row."""
+    """(doc_id, n_shingles, node, sketch) of every row."""
 
     def work(batches):
         for ids, texts in batches:
             sets = shingle_sets(texts, SHINGLE)
-            yield {"doc_id": ids, "n_shingles": [len(s) for s in sets], "node": [node_of(s) for s in sets]}
+            yield {"doc_id": ids, "n_shingles": [len(s) for s in sets], "node": [node_of(s) for s in sets], "sketch": [sketch_of(s) for s in sets]}
 
-    return map_rows(docs, ["doc_id", "text"], "doc_id long, n_shingles long, node long", work)
+    return map_rows(docs, ["doc_id", "text"], "doc_id long, n_shingles long, node long, sketch binary", work)
 
 
-def posted(texts: DataFrame, buckets: int, columns: list[str]) -> DataFrame:
-    """(bucket, keys, nodes, labels, at): a row for each bucket and some thousand texts; labels as in ``columns``, else the nodes."""
+def posted(docs: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, keys, nodes, at): the keys of some thousand sets, a row for each bucket; equal sets once."""
 
     def work(batches):
-        held: list[tuple[int, int, np.ndarray]] = []
+        held: list[tuple[int, np.ndarray]] = []
         seen: set[int] = set()
 
         def flush():
+            out: dict[str, list] = {c: [] for c in ("bucket", "keys", "nodes", "at")}
             if not held:
-                return {c: [] for c in ("bucket", "keys", "nodes", "labels", "at")}
-            nodes, labels = np.array([h[0] for h in held], "<i8"), np.array([h[1] for h in held], "<i8")
-            keys = np.concatenate([h[2] for h in held])
-            owner = np.repeat(np.arange(len(held), dtype=np.uint32), [len(h[2]) for h in held])
+                return out
+            nodes = np.array([h[0] for h in held], "<i8")
+            keys = np.concatenate([h[1] for h in held])
+            owner = np.repeat(np.arange(len(held), dtype=np.uint32), [len(h[1]) for h in held])
             held.clear()
             bucket = (keys >> np.uint64(KEY_BITS)) * np.uint64(buckets) >> np.uint64(64 - KEY_BITS)
             value = keys & np.uint64((1 << KEY_BITS) - 1)
             order = np.lexsort((value, bucket))
             bucket, value, owner = bucket[order], value[order], owner[order]
             first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else []
-            out: dict[str, list] = {c: [] for c in ("bucket", "keys", "nodes", "labels", "at")}
             for a, b in zip(first, [*first[1:], len(bucket)], strict=True):
                 here, at = np.unique(owner[a:b], return_inverse=True)
                 out["bucket"].append(int(bucket[a]))
                 out["keys"].append(packed(value[a:b]))
                 out["nodes"].append(nodes[here].tobytes())
-                out["labels"].append(labels[here].tobytes())
                 out["at"].append(zlib.compress(at.astype("<u4" if len(here) > 65535 else "<u2").tobytes(), 1))
             return out
 
         total = 0
-        for batch in batches:
-            sets = shingle_sets(batch[0], SHINGLE)
-            for i, s in enumerate(sets):
+        for (texts,) in batches:
+            for s in shingle_sets(texts, SHINGLE):
                 node = node_of(s)
                 if node is None or node in seen:
                     continue
                 seen.add(node)
                 keys = keys_of(s)
                 total += len(keys)
-                held.append((node, batch[1][i] if len(batch) > 1 else node, keys))
+                held.append((node, keys))
             if total > 4_000_000:
                 yield flush()
                 seen.clear()
                 total = 0
         yield flush()
 
-    return map_rows(texts, columns, "bucket long, keys binary, nodes binary, labels binary, at binary", work)
+    return map_rows(docs, ["text"], "bucket long, keys binary, nodes binary, at binary", work)
 
 
-def runs(rows: list[tuple[bytes, bytes, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, node, label) sorted, without repeats, of one bucket, and where each key begins."""
-    keys, nodes, labels = [], [], []
-    for k, n, l, at in rows:
+def runs(rows: list[tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys and nodes of one bucket, sorted and without repeats, and where each key begins."""
+    keys, nodes = [], []
+    for k, n, at in rows:
         own = np.frombuffer(n, "<i8")
-        to = np.frombuffer(zlib.decompress(at), "<u4" if len(own) > 65535 else "<u2")
         keys.append(unpacked(k))
-        nodes.append(own[to])
-        labels.append(np.frombuffer(l, "<i8")[to])
-    key, node, label = np.concatenate(keys), np.concatenate(nodes), np.concatenate(labels)
+        nodes.append(own[np.frombuffer(zlib.decompress(at), "<u4" if len(own) > 65535 else "<u2")])
+    key, node = np.concatenate(keys), np.concatenate(nodes)
     order = np.lexsort((node, key))
-    key, node, label = key[order], node[order], label[order]
+    key, node = key[order], node[order]
     new = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))
-    key, node, label = key[new], node[new], label[new]
-    return key, node, label, np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    key, node = key[new], node[new]
+    return key, node, np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
 
 
-def by_bucket(posts: DataFrame, schema: str, work) -> DataFrame:
-    """``work`` on the runs of every bucket."""
+def met(posts: DataFrame) -> DataFrame:
+    """Where sets share a part: (a, b), each with the least set there, and members where they are three or more; each once for the bucket."""
     sent = posts.repartition(partitions(posts.sparkSession), "bucket").sortWithinPartitions("bucket")
 
-    def each(batches):
+    def of(rows):
+        key, node, first = runs(rows)
+        end = np.concatenate((first[1:], [len(key)]))
+        center = np.repeat(node[first], end - first)
+        off = center != node
+        pairs = np.unique(np.stack((center[off], node[off]), 1), axis=0)
+        groups = sorted({node[a:b].tobytes() for a, b in zip(first[end - first > 2].tolist(), end[end - first > 2].tolist(), strict=True)})
+        return {"a": pairs[:, 0].tolist() + [None] * len(groups), "b": pairs[:, 1].tolist() + [None] * len(groups), "members": [None] * len(pairs) + [np.frombuffer(g, "<i8").tolist() for g in groups]}
+
+    def work(batches):
         bucket, rows = None, []
         for now, *blobs in batches:
             for b, *blob in zip(now, *blobs, strict=True):
                 if b != bucket and rows:
-                    yield work(*runs(rows))
+                    yield of(rows)
                     rows = []
                 bucket = b
                 rows.append(tuple(blob))
         if rows:
-            yield work(*runs(rows))
+            yield of(rows)
 
-    return map_rows(sent, ["bucket", "keys", "nodes", "labels", "at"], schema, each)
+    return map_rows(sent, ["bucket", "keys", "nodes", "at"], "a long, b long, members array<long>", work)
 
 
-def stars(key: np.ndarray, node: np.ndarray, label: np.ndarray, first: np.ndarray) -> dict:
-    """Each set of a part with the least set there, once for the bucket."""
-    size = np.diff(np.concatenate((first, [len(key)])))
-    center = np.repeat(node[first], size)
-    off = center != node
-    pairs = np.unique(np.stack((center[off], node[off]), 1), axis=0)
-    return {"a": pairs[:, 0].tolist(), "b": pairs[:, 1].tolist()}
+def likely(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges (a, b) that sketches do not rule out."""
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+    both = edges.join(side("a"), "a").join(side("b"), "b")
 
+    def work(batches):
+        for a, b, n, s, m, t in batches:
+            keep = [near(*x) for x in zip(n, s, m, t, strict=True)]
+            yield {"a": [x for x, k in zip(a, keep, strict=True) if k], "b": [x for x, k in zip(b, keep, strict=True) if k]}
 
-def open_groups(key: np.ndarray, node: np.ndarray, label: np.ndarray, first: np.ndarray) -> dict:
-    """The sets of each part that holds more than one label, once for the bucket."""
-    end = np.concatenate((first[1:], [len(key)]))
-    several = np.flatnonzero((np.maximum.reduceat(label, first) != np.minimum.reduceat(label, first)) & (end - first > 2))
-    groups = {node[first[i] : end[i]].tobytes() for i in several}
-    return {"members": [np.frombuffer(g, "<i8").tolist() for g in sorted(groups)]}
+    return map_rows(both, ["a", "b", "n_a", "s_a", "n_b", "s_b"], "a long, b long", work)
 
 
 def verified_stars(edges: DataFrame, texts: DataFrame) -> DataFrame:
@@ -231,92 +256,74 @@ def verified_stars(edges: DataFrame, texts: DataFrame) -> DataFrame:
     return map_rows(sent, ["a", "share", "role", "node", "text"], "a long, b long", work)
 
 
-def verified_groups(groups: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) that join different labels inside a group of members; blocks of a large group meet in pairs."""
-    blocks = F.ceil(F.size("members") / BLOCK).cast("int")
-    numbered = groups.select(F.xxhash64("members").alias("g"), "members", blocks.alias("blocks"))
-    pairs = numbered.select("g", "members", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i")).select("*", F.explode(F.sequence(F.col("i"), F.col("blocks") - 1)).alias("j"))
-    mine = lambda k: F.slice("members", F.col(k) * BLOCK + 1, F.lit(BLOCK))
-    rows = pairs.select("g", "i", "j", F.explode(F.array_distinct(F.concat(mine("i"), mine("j")))).alias("node"))
-    sent = rows.join(texts, "node").select("g", "i", "j", "node", "label", "text").repartition(partitions(groups.sparkSession), "g", "i", "j").sortWithinPartitions("g", "i", "j", "node")
+def likely_in_groups(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different labels inside a group (g, node, label) that sketches do not rule out; blocks of a large group meet in pairs."""
+    groups = members.groupBy("g").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y").select("g", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    rows = members.join(groups, "g").join(nodes.select("node", "n_shingles", "sketch"), "node").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "label", "n_shingles", "sketch")
+    sent = rows.repartition(partitions(members.sparkSession), "g", "i", "j").sortWithinPartitions("g", "i", "j", "node")
 
     def work(batches):
-        now, nodes, labels, texts_ = None, [], [], []
-
-        def links():
-            found = cross_links(nodes, labels, texts_)
-            return {"a": [x for x, _ in found], "b": [y for _, y in found]}
-
-        for g, i, j, node, label, text in batches:
-            for x, y, z, n, l, t in zip(g, i, j, node, label, text, strict=True):
-                if (x, y, z) != now and nodes:
-                    yield links()
-                    nodes, labels, texts_ = [], [], []
+        now, held = None, []
+        for g, i, j, *rest in batches:
+            for x, y, z, *row in zip(g, i, j, *rest, strict=True):
+                if (x, y, z) != now and held:
+                    yield crossing(held)
+                    held = []
                 now = (x, y, z)
-                nodes.append(n)
-                labels.append(l)
-                texts_.append(t)
-        yield links()
-
-    return map_rows(sent, ["g", "i", "j", "node", "label", "text"], "a long, b long", work)
-
-
-def cross_links(nodes: list[int], labels: list[int], texts: list[str]) -> list[tuple[int, int]]:
-    """Links that join different labels, few enough to be a forest over the labels; a parity sketch of all bits goes first."""
-    sets = shingle_sets(texts, SHINGLE)
-    top = {l: l for l in labels}
-
-    def root(l: int) -> int:
-        while top[l] != l:
-            top[l] = l = top[top[l]]
-        return l
-
-    sizes = np.array([len(s) for s in sets])
-    bits = 64 * max(1, int(sizes.max(initial=1)) // 64)
-    sketch = np.zeros((len(sets), bits // 64), np.uint64)
-    for i, s in enumerate(sets):
-        at = (mix(s + np.uint64(1)) >> np.uint64(20)).astype(np.int64) % bits
-        np.bitwise_xor.at(sketch[i], at // 64, np.uint64(1) << (at % 64).astype(np.uint64))
-    out = []
-    for i in range(1, len(nodes)):
-        near = np.bitwise_count(sketch[:i] ^ sketch[i]).sum(1)
-        likely = (near * 9 <= sizes[:i] + sizes[i]) & (100 * np.minimum(sizes[:i], sizes[i]) >= PERCENT * np.maximum(sizes[:i], sizes[i]))
-        for j in np.flatnonzero(likely).tolist():
-            a, b = root(labels[i]), root(labels[j])
-            if a != b and linked(sets[i], sets[j]):
-                top[a] = b
-                out.append((nodes[j], nodes[i]))
-    return out
+                held.append(row)
+        if held:
+            yield crossing(held)
+
+    return map_rows(sent, ["g", "i", "j", "node", "label", "n_shingles", "sketch"], "a long, b long", work).distinct()
+
+
+def crossing(rows: list[list]) -> dict:
+    """Pairs of different labels whose sketches are near enough."""
+    node, label, n = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+    words = min(len(r[3]) for r in rows) // 8
+    sketch = np.stack([folded(r[3], words) for r in rows])
+    a, b = [], []
+    for i in range(1, len(rows)):
+        other = label[:i] != label[i]
+        other &= 100 * np.minimum(n[:i], n[i]) >= PERCENT * np.maximum(n[:i], n[i])
+        at = np.flatnonzero(other)
+        at = at[9 * np.bitwise_count(sketch[at] ^ sketch[i]).sum(1).astype(np.int64) <= n[at] + n[i]]
+        for j in at.tolist():
+            if near(int(n[i]), rows[i][3], int(n[j]), rows[j][3]):
+                a.append(int(node[j]))
+                b.append(int(node[i]))
+    return {"a": a, "b": b}
+
+
+def texts_of(docs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, text) of all sets in edges (a, b). Few enough ids are broadcast, so that no other text is shuffled."""
+    touched = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    speaks = saved(nodes.join(touched, "node").select("node", "id"))
+    speaks = F.broadcast(speaks) if speaks.count() <= BROADCAST_IDS else speaks
+    return with_nodes(docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text").join(speaks, "id").select("node", "text")).dropDuplicates(["node"])
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, node, class): class is equal for documents that links connect; null without shingles."""
     docs = docs.select("doc_id", "text")
-    buckets = partitions(docs.sparkSession)
     each = saved(shingled(docs))
-    edges = saved(by_bucket(posted(docs, buckets, ["text"]), "a long, b long", stars).distinct())
-    if edges.isEmpty():
-        return each.withColumn("class", F.col("node"))
-    key = lambda c: F.coalesce(F.col(c), F.lit(NO_ID))
-    touched = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    speaks = each.where("node IS NOT NULL").groupBy("node").agg(F.min(key("doc_id")).alias("id")).join(touched, "node")
-    texts = saved(with_nodes(docs.select(key("doc_id").alias("id"), "text").join(speaks, "id").select("node", "text")))
-    links = saved(verified_stars(edges, texts))
+    nodes = saved(each.where("node IS NOT NULL").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("id")))
+    meetings = saved(met(posted(docs, partitions(docs.sparkSession))))
+    edges = saved(likely(meetings.where("members IS NULL").select("a", "b").distinct(), nodes))
+    links = saved(verified_stars(edges, texts_of(docs, nodes, edges)))
     labels = components(links)
-    near = components(edges)  # whatever could be linked lies in one of these
-    state = saved(near.withColumnRenamed("label", "reach").join(labels, "node", "left").select("node", "reach", F.coalesce("label", "node").alias("label")))
-    unsure = state.groupBy("reach").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y AND n > 2").select("reach")
-    again = state.join(unsure, "reach").select("node", "label").join(texts, "node")
-    groups = saved(by_bucket(posted(again, buckets, ["text", "label"]), "members array<long>", open_groups).distinct())
-    if not groups.isEmpty():
-        more = saved(verified_groups(groups, again))
-        if not more.isEmpty():
-            labels = components(links.unionByName(more))
+    groups = meetings.where("members IS NOT NULL").select("members").distinct().select(F.xxhash64("members").alias("g"), F.explode("members").alias("node"))
+    members = saved(groups.join(labels, "node", "left").select("g", "node", F.coalesce("label", "node").alias("label")))
+    more = saved(likely_in_groups(members, nodes).join(edges, ["a", "b"], "left_anti"))
+    if not more.isEmpty():
+        labels = components(links.unionByName(verified_stars(more, texts_of(docs, nodes, more))))
     return each.join(labels, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("label", "node").alias("class"))
 
 
 def with_nodes(texts: DataFrame) -> DataFrame:
-    """Keep a row where the text really has the node (a doc_id may stand for several texts), once for each node."""
+    """Keep a row where the text really has the node: a doc_id may stand for several texts."""
 
     def work(batches):
         for nodes, text in batches:
