@@ -1,8 +1,8 @@
 """Licence scan by a positional index of rare words, in DataFrame functions only.
 
 Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after A-Z became a-z. Over all documents the document frequency of every
-word of the templates is counted; each template is known by its two words of highest IDF and their offsets. In a
-document the places of such anchor words are looked up, template starts are intersected by relative position, the
+word of the templates is counted; each template is known by the two words of highest IDF in its mandatory key phrase
+and their offsets. In a document the places of such anchor words are looked up, template starts are intersected by relative position, the
 words there compared with the template, and a label given where the mandatory key phrase stands in full.
 
 Null texts count as empty: no words, no places, null first_word and last_word, empty labels, score 0. Every row gives
@@ -88,8 +88,9 @@ def idf(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> dict[st
 
 
 def anchors(template: Template, weight: dict[str, float]) -> list[tuple[str, int]]:
-    """The two rarest words with their offsets, the rarest first; one for a template of one word."""
-    ranked = sorted(range(len(template.words)), key=lambda i: (-weight[template.words[i]], i))
+    """The two rarest words of the key phrase with their offsets, the rarest first; one for a phrase of one word."""
+    first, n = template.key
+    ranked = sorted(range(first, first + n), key=lambda i: (-weight[template.words[i]], i))
     return [(template.words[i], i) for i in ranked[:2]]
 
 
