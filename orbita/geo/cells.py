@@ -262,33 +262,23 @@ def from_debug(text: str) -> int:
 
 
 def relation(shape, cell: int) -> int:
-    """-1 apart, 0 overlapping, 1 the cell lies inside a polygon of the shape."""
+    """-1 apart, 0 overlapping, 1 the cell lies inside a polygon of the shape.
+
+    Without an edge that ends in the cell, crosses its rim or touches a corner, the cell is on one side as a whole.
+    """
     c = corners(cell)
-    ring = [np.concatenate((c, c[:1]))]
-    own = S.Region(ring)
-    p, q = shape.edges
+    d = np.roll(c, -1, 0)
     mid = S.unit(c.sum(0))
-    reach = float(S.angle(mid, c).max())
-    if len(p) and float(S.angle(mid, S.project(mid, p, q)).min()) > reach + 1e-15:  # no edge is near
-        return 1 if shape.polygons and shape.covers(mid[None])[0] == 1 else -1
-    if shape.polygons:
-        side = shape.covers(np.concatenate((c, mid[None])))
-        crossed = len(own.a) and S.crossings(*shape.ring_edges, own.a, own.b).any()
-        inner = own.side(shape.ring_edges[0]) if len(shape.ring_edges[0]) else np.zeros(0)
-        if not crossed and (side == 1).all() and not (inner >= 0).any():
-
-            return 1
-        if crossed or (side >= 0).any() or (inner >= 0).any():
-            return 0
-    if not len(p):
-        return -1
-    near = S.angle(mid, S.project(mid, p, q)) <= reach + 1e-15
-    if not near.any():
-        return -1
-    p, q = p[near], q[near]
-    if (own.side(p) >= 0).any() or (own.side(q) >= 0).any() or S.crossings(p, q, own.a, own.b).any():
-        return 0
-    return 0 if (own.boundary_distance(np.concatenate((p, q))) <= S.TOUCH).any() else -1
+    p, q = shape.edges
+    if len(p):
+        near = S.angle(mid, S.project(mid, p, q)) <= float(S.angle(mid, c).max()) + 1e-15
+        if near.any():
+            p, q, rim = p[near], q[near], S.cross(c, d)
+            if (p @ rim.T >= -1e-15).all(1).any() or (q @ rim.T >= -1e-15).all(1).any() or S.crossings(p, q, c, d).any():
+                return 0
+            if (S.angle(c[:, None], S.project(c[:, None], p[None], q[None])) <= S.TOUCH).any():
+                return 0
+    return 1 if shape.polygons and shape.covers(mid[None])[0] == 1 else -1
 
 
 def covering(shape, max_cells: int = 8, min_level: int = 0, max_level: int = LEVELS, interior: bool = False) -> list[int]:

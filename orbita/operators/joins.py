@@ -8,6 +8,7 @@ Catalyst picks broadcast, sort-merge or skew-split joins; no side is broadcast b
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -107,13 +108,19 @@ def distance_join(left: DataFrame, right: DataFrame, left_at: tuple[str, str], r
     return a.join(b, ["_band", "_column"]).drop("_band", "_column").withColumn("distance", apart).where(F.col("distance") <= metres)
 
 
-def knn_join(left: DataFrame, right: DataFrame, left_at: tuple[str, str], right_at: tuple[str, str], k: int, left_id: str, right_id: str, metres: float = 250_000.0) -> DataFrame:
-    """For each left point its ``k`` nearest right points, ties by ``right_id``: rings of doubling radius until all have k."""
+def knn_join(left: DataFrame, right: DataFrame, left_at: tuple[str, str], right_at: tuple[str, str], k: int, left_id: str, right_id: str, metres: float | None = None) -> DataFrame:
+    """For each left point its ``k`` nearest right points, ties by ``right_id``: the radius grows for those that have fewer.
+
+    ``metres``: the first radius; by default that of a cap in which four times ``k`` evenly spread points are expected.
+    """
     from pyspark.sql import Window
 
     order = Window.partitionBy(left_id).orderBy("distance", right_id)
     done, rest = None, left
-    wanted = min(k, right.count())
+    n = right.count()
+    wanted = min(k, n)
+    if metres is None:
+        metres = native.RADIUS * math.acos(max(-1.0, 1 - 8 * k / max(1, n)))
     while True:
         whole = metres >= 20_100_000
         pairs = distance_join(rest, right, left_at, right_at, metres)

@@ -110,9 +110,9 @@ def anti_join(spark, sf_dir):
     return in_quads(spark, sf_dir, T.customers(spark, sf_dir), "left_anti", "c_custkey").select("c_custkey")
 
 
-@query(f"SELECT c_custkey, n_nationkey FROM customer LEFT JOIN (SELECT c_custkey, n_nationkey FROM ({PAIRS})) USING (c_custkey)")
+@query(f"SELECT c_custkey, coalesce(n_nationkey, -1) AS n_nationkey FROM customer LEFT JOIN (SELECT c_custkey, n_nationkey FROM ({PAIRS})) USING (c_custkey)")
 def left_join(spark, sf_dir):
-    return in_quads(spark, sf_dir, T.customers(spark, sf_dir), "left", "c_custkey").select("c_custkey", "n_nationkey")
+    return in_quads(spark, sf_dir, T.customers(spark, sf_dir), "left", "c_custkey").select("c_custkey", F.coalesce("n_nationkey", F.lit(-1)).alias("n_nationkey"))
 
 
 @query(f"""
@@ -154,7 +154,7 @@ def dwithin_join(spark, sf_dir):
 @query(f"SELECT c_custkey, s_suppkey, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY d, s_suppkey) AS rank FROM ({TWO})) WHERE rank <= 3")
 def knn(spark, sf_dir):
     a, b = T.customers(spark, sf_dir), T.suppliers(spark, sf_dir).withColumnsRenamed({"lng": "lng2", "lat": "lat2"})
-    return joins.knn_join(a, b, ("lng", "lat"), ("lng2", "lat2"), 3, "c_custkey", "s_suppkey", 2_000_000.0).select("c_custkey", "s_suppkey", "rank")
+    return joins.knn_join(a, b, ("lng", "lat"), ("lng2", "lat2"), 3, "c_custkey", "s_suppkey").select("c_custkey", "s_suppkey", "rank")
 
 
 @query("SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a, nation b WHERE a.n_nationkey = b.n_nationkey")
@@ -397,7 +397,7 @@ def cell_id_wkb(spark, sf_dir):
     return T.customers(spark, sf_dir).select("c_custkey", call("s2_cellidfrompoint", joins.point_wkb(F.col("lng"), F.col("lat"))).alias("cell"))
 
 
-@query(f"SELECT c_custkey, ((cell >> 41) << 41) | (1::BIGINT << 40) AS up, 10 AS level, true AS holds, true AS meets, 10 AS shared, true AS valid FROM ({CELLS})")
+@query(f"SELECT c_custkey, (cell & -2199023255552) | 1099511627776 AS up, 10 AS level, true AS holds, true AS meets, 10 AS shared, true AS valid FROM ({CELLS})")
 def cell_hierarchy(spark, sf_dir):
     cell = F.col("cell")
     up = native.parent(cell, 10)
