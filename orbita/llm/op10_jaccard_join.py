@@ -9,7 +9,9 @@ that agree in empty parts only are both such sets.
 
 Sets that share a part are first compared with the least set there (a star, not all pairs): parity sketches of about
 as many bits as shingles rule out most chance meetings, texts decide. Then the parts whose sets still carry different
-labels are gone through with every pair of different labels, again by sketches first.
+labels are gone through: sets that sketches leave a possible partner of another label meet in a task, which verifies
+the nearest pairs first and skips pairs that links found so far connect. An eighth of the parts goes first, so that
+large groups of copies have one label before all parts are looked at; only the links found are sent on.
 
 Equal sets are one node from the start. A node is a 64-bit digest of its set. Null or empty texts have no shingles and
 link with nothing; null doc_ids are the smallest id and give a null component only among themselves. Every row gives
@@ -81,8 +83,8 @@ def keys_of(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketch_of(hashes: np.ndarray) -> bytes:
-    """A parity bit for each of 2^k (64 at least) residues, no fewer than shingles: a shingle more or less flips one bit."""
-    bits = max(64, 1 << max(0, len(hashes) - 1).bit_length())
+    """A parity bit for each of 2^k (64 at least) residues, four times the shingles or more: a shingle more or less flips one bit."""
+    bits = max(64, 4 << max(0, len(hashes) - 1).bit_length())
     at = (mix(hashes + np.uint64(1)) >> np.uint64(20)) & np.uint64(bits - 1)
     odd = np.bincount(at.astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
@@ -256,51 +258,84 @@ def verified_stars(edges: DataFrame, texts: DataFrame) -> DataFrame:
     return map_rows(sent, ["a", "share", "role", "node", "text"], "a long, b long", work)
 
 
-def likely_in_groups(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different labels inside a group (g, node, label) that sketches do not rule out; blocks of a large group meet in pairs."""
+def unsettled(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(g, i, j, node, label) of sets that sketches leave a possible partner of another label in their group (g, node, label).
+
+    Blocks of a large group meet in pairs (i, j).
+    """
     groups = members.groupBy("g").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y").select("g", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     rows = members.join(groups, "g").join(nodes.select("node", "n_shingles", "sketch"), "node").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "label", "n_shingles", "sketch")
-    sent = rows.repartition(partitions(members.sparkSession), "g", "i", "j").sortWithinPartitions("g", "i", "j", "node")
+
+    def of(task, held):
+        rows = [held[k] for k in sorted({x for pair in crossing([(r[1], r[2], r[3]) for r in held]) for x in pair[1:]})]
+        g, i, j = task
+        return {"g": [g] * len(rows), "i": [i] * len(rows), "j": [j] * len(rows), "node": [r[0] for r in rows], "label": [r[1] for r in rows]}
+
+    return by_task(rows, ["node", "label", "n_shingles", "sketch"], "g long, i int, j int, node long, label long", of)
+
+
+def by_task(rows: DataFrame, columns: list[str], schema: str, of) -> DataFrame:
+    """``of`` the task (g, i, j) and its rows."""
+    sent = rows.repartition(partitions(rows.sparkSession), "g", "i", "j").sortWithinPartitions("g", "i", "j", "node")
 
     def work(batches):
         now, held = None, []
         for g, i, j, *rest in batches:
             for x, y, z, *row in zip(g, i, j, *rest, strict=True):
                 if (x, y, z) != now and held:
-                    yield crossing(held)
+                    yield of(now, held)
                     held = []
                 now = (x, y, z)
                 held.append(row)
         if held:
-            yield crossing(held)
+            yield of(now, held)
 
-    return map_rows(sent, ["g", "i", "j", "node", "label", "n_shingles", "sketch"], "a long, b long", work).distinct()
+    return map_rows(sent, ["g", "i", "j", *columns], schema, work)
 
 
-def crossing(rows: list[list]) -> dict:
-    """Pairs of different labels whose sketches are near enough."""
-    node, label, n = (np.array([r[k] for r in rows], np.int64) for k in range(3))
-    words = min(len(r[3]) for r in rows) // 8
-    sketch = np.stack([folded(r[3], words) for r in rows])
-    a, b = [], []
+def crossing(rows: list[tuple[int, int, bytes]]) -> list[tuple[int, int, int]]:
+    """(Hamming distance, place, place) of rows (label, size, sketch) with different labels that may be linked, the nearest first."""
+    label, n = (np.array([r[k] for r in rows], np.int64) for k in range(2))
+    words = min(len(r[2]) for r in rows) // 8
+    sketch = np.stack([folded(r[2], words) for r in rows])
+    out = []
     for i in range(1, len(rows)):
-        other = label[:i] != label[i]
-        other &= 100 * np.minimum(n[:i], n[i]) >= PERCENT * np.maximum(n[:i], n[i])
-        at = np.flatnonzero(other)
-        at = at[9 * np.bitwise_count(sketch[at] ^ sketch[i]).sum(1).astype(np.int64) <= n[at] + n[i]]
-        for j in at.tolist():
-            if near(int(n[i]), rows[i][3], int(n[j]), rows[j][3]):
-                a.append(int(node[j]))
-                b.append(int(node[i]))
-    return {"a": a, "b": b}
-
-
-def texts_of(docs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, text) of all sets in edges (a, b). Few enough ids are broadcast, so that no other text is shuffled."""
-    touched = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    speaks = saved(nodes.join(touched, "node").select("node", "id"))
+        at = np.flatnonzero((label[:i] != label[i]) & (100 * np.minimum(n[:i], n[i]) >= PERCENT * np.maximum(n[:i], n[i])))
+        apart = np.bitwise_count(sketch[at] ^ sketch[i]).sum(1).astype(np.int64)
+        close = 9 * apart <= n[at] + n[i]
+        out += [(d, j, i) for d, j in zip(apart[close].tolist(), at[close].tolist(), strict=True) if near(int(n[i]), rows[i][2], int(n[j]), rows[j][2])]
+    return sorted(out)
+
+
+def settled(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Verified links (a, b) that connect different labels in the tasks of ``unsettled``; a forest over the labels of each task."""
+
+    def of(task, held):
+        sets = shingle_sets([r[2] for r in held], SHINGLE)
+        top = {r[1]: r[1] for r in held}
+
+        def root(x):
+            while top[x] != x:
+                top[x] = x = top[top[x]]
+            return x
+
+        a, b = [], []
+        for _, i, j in crossing([(r[1], len(s), sketch_of(s)) for r, s in zip(held, sets, strict=True)]):
+            x, y = root(held[i][1]), root(held[j][1])
+            if x != y and linked(sets[i], sets[j]):
+                top[x] = y
+                a.append(held[i][0])
+                b.append(held[j][0])
+        return {"a": a, "b": b}
+
+    return by_task(rows.join(texts, "node"), ["node", "label", "text"], "a long, b long", of)
+
+
+def texts_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text) of all wanted sets (node). Few enough ids are broadcast, so that no other text is shuffled."""
+    speaks = saved(nodes.join(wanted.select("node").distinct(), "node").select("node", "id"))
     speaks = F.broadcast(speaks) if speaks.count() <= BROADCAST_IDS else speaks
     return with_nodes(docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text").join(speaks, "id").select("node", "text")).dropDuplicates(["node"])
 
@@ -312,13 +347,15 @@ def classes(docs: DataFrame) -> DataFrame:
     nodes = saved(each.where("node IS NOT NULL").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("id")))
     meetings = saved(met(posted(docs, partitions(docs.sparkSession))))
     edges = saved(likely(meetings.where("members IS NULL").select("a", "b").distinct(), nodes))
-    links = saved(verified_stars(edges, texts_of(docs, nodes, edges)))
+    links = saved(verified_stars(edges, texts_of(docs, nodes, edges.select(F.explode(F.array("a", "b")).alias("node")))))
     labels = components(links)
-    groups = meetings.where("members IS NOT NULL").select("members").distinct().select(F.xxhash64("members").alias("g"), F.explode("members").alias("node"))
-    members = saved(groups.join(labels, "node", "left").select("g", "node", F.coalesce("label", "node").alias("label")))
-    more = saved(likely_in_groups(members, nodes).join(edges, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        labels = components(links.unionByName(verified_stars(more, texts_of(docs, nodes, more))))
+    groups = saved(meetings.where("members IS NOT NULL").select("members").distinct().select(F.xxhash64("members").alias("g"), F.explode("members").alias("node")))
+    for part in (groups.where(F.pmod("g", F.lit(8)) == 0), groups):
+        labelled = part.join(labels, "node", "left").select("g", "node", F.coalesce("label", "node").alias("label"))
+        rows = saved(unsettled(saved(labelled), nodes))
+        if not rows.isEmpty():
+            links = links.unionByName(saved(settled(rows, texts_of(docs, nodes, rows))))
+            labels = components(links)
     return each.join(labels, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("label", "node").alias("class"))
 
 
