@@ -82,9 +82,9 @@ def keys_of(hashes: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def sketch_of(hashes: np.ndarray) -> bytes:
-    """A parity bit for each of 2^k (64 at least) residues, four times the shingles or more: a shingle more or less flips one bit."""
-    bits = max(64, 4 << max(0, len(hashes) - 1).bit_length())
+def sketch_of(hashes: np.ndarray, times: int = 1) -> bytes:
+    """A parity bit for each of 2^k (64 at least) residues, ``times`` the shingles or more: a shingle more or less flips one bit."""
+    bits = max(64, times << max(0, len(hashes) - 1).bit_length())
     at = (mix(hashes + np.uint64(1)) >> np.uint64(20)) & np.uint64(bits - 1)
     odd = np.bincount(at.astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
@@ -322,7 +322,7 @@ def settled(rows: DataFrame, texts: DataFrame) -> DataFrame:
             return x
 
         a, b = [], []
-        for _, i, j in crossing([(r[1], len(s), sketch_of(s)) for r, s in zip(held, sets, strict=True)]):
+        for _, i, j in crossing([(r[1], len(s), sketch_of(s, 8)) for r, s in zip(held, sets, strict=True)]):
             x, y = root(held[i][1]), root(held[j][1])
             if x != y and linked(sets[i], sets[j]):
                 top[x] = y
