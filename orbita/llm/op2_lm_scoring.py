@@ -18,13 +18,17 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from .common import crc_text, map_rows, saved, table
+from .common import crc_text, map_rows, partitions, prepared, saved, table
 from .hashing import LOWER
 
 DEPTH, STATES, DIVERGENCE = 5, 60_000, 2.0
@@ -207,23 +211,29 @@ def fit(vocabulary: DataFrame, texts: int, once: int, states: int = STATES) -> T
 
 def places(docs: DataFrame) -> DataFrame:
     """(word, rows, times, ids, tokens): where each word stands; what is true of whole documents comes with a word that has a space."""
+    schema = "word binary, rows array<long>, times array<int>, ids array<long>, tokens array<long>"
+    target = to_arrow_schema(StructType.fromDDL(schema))
 
-    def work(batches):
+    def run(batches):
         task = TaskContext.get().partitionId()
         row, held, size = task << 40, {}, 0
         about: tuple[list, list, list] = ([], [], [])
 
         def flush():
-            out = {"word": list(held), "rows": [v[0::2] for v in held.values()], "times": [v[1::2] for v in held.values()], "ids": [None] * len(held), "tokens": [None] * len(held)}
-            for c, v in zip(out.values(), (b"about %d %d" % (task, row), list(about[0]), None, list(about[1]), list(about[2])), strict=True):
-                c.append(v)
+            long = np.fromiter(map(len, held.values()), np.int64, len(held)) // 2
+            flat = np.fromiter(chain.from_iterable(held.values()), np.int64, int(2 * long.sum())).reshape(-1, 2)
+            ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(long), [long.sum() + len(about[0])])).astype(np.int32)
+            lists = lambda own, last, kind: pa.ListArray.from_arrays(ends, pa.array(np.concatenate((own, np.array(last, np.int64))), kind))
+            only = lambda values: pa.array([None] * len(held) + [values], pa.list_(pa.int64()))
+            words = pa.array([*held, b"about %d %d" % (task, row)], pa.binary())
+            out = pa.RecordBatch.from_arrays([words, lists(flat[:, 0], about[0], pa.int64()), lists(flat[:, 1], [0] * len(about[0]), pa.int32()), only(list(about[1])), only(list(about[2]))], schema=target)
             held.clear()
             for c in about:
                 c.clear()
             return out
 
-        for ids, texts in batches:
-            for doc_id, text in zip(ids, texts, strict=True):
+        for batch in batches:
+            for doc_id, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 words, own = words_of(text), {}
                 for word in words:
                     own[word] = own.get(word, 0) + 1
@@ -243,7 +253,7 @@ def places(docs: DataFrame) -> DataFrame:
                 size = 0
         yield flush()
 
-    return map_rows(docs, ["doc_id", "text"], "word binary, rows array<long>, times array<int>, ids array<long>, tokens array<long>", work)
+    return prepared(docs).select("doc_id", "text").mapInArrow(run, schema)
 
 
 def scored(docs: DataFrame, vocabulary: DataFrame, texts: int, tokens: int, distinct: int, tree: Tree) -> DataFrame:
@@ -251,52 +261,96 @@ def scored(docs: DataFrame, vocabulary: DataFrame, texts: int, tokens: int, dist
     sent = docs.sparkSession.sparkContext.broadcast(tree)  # STATES distributions at most
     below = math.log10(tokens + distinct + 1)
     end_base = math.log10(texts + 1) - below
+    schema = "part long, rows array<long>, base array<double>, score array<double>, known array<double>, ids array<long>, tokens array<long>"
+    target = to_arrow_schema(StructType.fromDDL(schema))
 
     def work(batches):
-        tree = sent.value
-        end, unknown = tree.log10_of(TEXT_END), tree.log10_of(UNKNOWN)
-        rows, base, score, known, size = [], [], [], [], 0
-        about: dict[str, list] = {c: [] for c in ("row", "doc_id", "n_tokens", "n_known", "base", "score")}
+        end, unknown = sent.value.log10_of(TEXT_END), sent.value.log10_of(UNKNOWN)
+        rows, sums, size = [], [], 0
+        about: list[tuple[list, list, list]] = []
 
         def flush():
-            out = {c: list(v) for c, v in about.items()}
+            """A row for each task of ``places`` whose documents stand here, not for each document."""
+            out: dict[str, list] = {c: [] for c in target.names}
             if rows:
                 unique, to = np.unique(np.concatenate(rows), return_inverse=True)
-                total = lambda x: np.bincount(to, np.concatenate(x), len(unique))
-                none = [None] * len(unique)
-                for c, v in zip(out.values(), (unique.tolist(), none, none, total(known).astype(np.int64).tolist(), total(base).tolist(), total(score).tolist()), strict=True):
-                    c += v
-            for c in (rows, base, score, known, *about.values()):
-                c.clear()
-            return out
-
-        for words, at, times, ids, n_tokens, counts in batches:
-            plain = [i for i, x in enumerate(ids) if x is None]
-            log_p = tree.log10([bytes(words[i]) for i in plain])
-            long = np.array([len(at[i]) for i in plain], np.int64)
-            if plain:
-                n = np.fromiter((x for i in plain for x in times[i]), np.float64, int(long.sum()))
-                c = np.array([counts[i] or 0 for i in plain], np.float64)
-                rows.append(np.fromiter((x for i in plain for x in at[i]), np.int64, int(long.sum())))
-                base.append(n * np.repeat(np.log10(c + 1) - below, long))
-                score.append(n * np.repeat(np.where(c > 0, log_p, unknown), long))
-                known.append(n * np.repeat(c > 0, long))
-                size += int(long.sum())
-            for i, x in enumerate(ids):
-                if x is not None:
-                    k = len(x)
-                    for c, v in zip(about.values(), (at[i], x, n_tokens[i], [int(texts > 0)] * k, [end_base] * k, [end] * k), strict=True):
-                        c += v
-                    size += k
+                base, score, known = (np.bincount(to, x, len(unique)) for x in np.concatenate(sums, axis=1))
+                part = unique >> 40
+                first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+                for a, b in zip(first.tolist(), [*first[1:].tolist(), len(unique)], strict=True):
+                    for c, v in zip(out.values(), (int(part[a]), unique[a:b], base[a:b], score[a:b], known[a:b], None, None), strict=True):
+                        c.append(v)
+            for at, ids, n_tokens in about:
+                one = np.ones(len(at))
+                for c, v in zip(out.values(), (at[0] >> 40, at, one * end_base, one * end, one * (texts > 0), ids, n_tokens), strict=True):
+                    c.append(v)
+            rows.clear()
+            sums.clear()
+            about.clear()
+            return pa.RecordBatch.from_pydict(out, schema=target)
+
+        for batch in batches:
+            at, times, ids, n_tokens, counts, log_p = batch.columns
+            long, of_documents = np.diff(at.offsets.to_numpy()), ids.is_valid().to_numpy(zero_copy_only=False)
+            plain = np.flatnonzero(~of_documents)
+            if len(plain):
+                own = np.repeat(~of_documents, long)
+                n = times.flatten().to_numpy()[own].astype(np.float64)
+                c = counts.fill_null(0).to_numpy()[plain].astype(np.float64)
+                spelled_out = log_p.fill_null(unknown).to_numpy()[plain]
+                each = np.repeat(np.stack((np.log10(c + 1) - below, spelled_out, c > 0)), long[plain], axis=1) * n
+                rows.append(at.flatten().to_numpy()[own])
+                sums.append(each)
+                size += len(n)
+            for k in np.flatnonzero(of_documents).tolist():
+                if len(at[k]):
+                    about.append((at[k].as_py(), ids[k].as_py(), n_tokens[k].as_py()))
+                    size += len(at[k])
             if size > HELD:
                 yield flush()
                 size = 0
         yield flush()
 
-    joined = places(docs).join(vocabulary, "word", "left")
-    parts = map_rows(joined, ["word", "rows", "times", "ids", "tokens", "count"], "row long, doc_id long, n_tokens long, n_known long, base double, score double", work)
-    each = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
-    return each.drop("row")
+    def spell(batches):
+        for words, counts in batches:
+            yield {"word": words, "count": counts, "log_p": sent.value.log10([bytes(w) for w in words]).tolist()}
+
+    # a known word is spelled once, not where it stands
+    known_words = map_rows(vocabulary, ["word", "count"], "word binary, count long, log_p double", spell)
+    joined = places(docs).join(known_words, "word", "left")
+    parts = prepared(joined).select("rows", "times", "ids", "tokens", "count", "log_p").mapInArrow(work, schema)
+    whole = parts.repartition(partitions(docs.sparkSession), "part").sortWithinPartitions("part")
+    result = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+    shaped = to_arrow_schema(StructType.fromDDL(result))
+
+    def gather(batches):
+        now, held, about = None, [], []
+
+        def sums():
+            ids = np.concatenate([r for r, *_ in about]) & ((1 << 40) - 1)
+            low = int(ids.min())
+            total = np.zeros((3, int(ids.max()) - low + 1))
+            for own, *values in held:
+                total[:, (own & ((1 << 40) - 1)) - low] += np.stack(values)  # a document once in each list
+            base, score, known = total[:, ids - low]
+            doc_ids, n_tokens = (pa.concat_arrays([pa.array(x[k], pa.int64()) for x in about]) for k in (1, 2))
+            return pa.RecordBatch.from_arrays([doc_ids, n_tokens, pa.array(known.round().astype(np.int64)), pa.array(base), pa.array(score)], schema=shaped)
+
+        for batch in batches:
+            part, rows, base, score, known, ids, n_tokens = batch.columns
+            for k in range(len(batch)):
+                if part[k].as_py() != now and about:
+                    yield sums()
+                    held, about = [], []
+                now = part[k].as_py()
+                own = rows[k].values.to_numpy()
+                held.append((own, *(c[k].values.to_numpy() for c in (base, score, known))))
+                if ids[k].is_valid:
+                    about.append((own, ids[k].as_py(), n_tokens[k].as_py()))
+        if about:
+            yield sums()
+
+    return whole.mapInArrow(gather, result)
 
 
 def lm_scores(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
