@@ -5,7 +5,7 @@ it), the text closed by another mark. The unknown symbol counts as often as word
 Turing's estimate. Contexts are the last
 symbols of the word so far, at most ``DEPTH``, with a mark for the word's beginning. A context is retained if its
 next-symbol counts diverge from those of the context without its oldest symbol: N * KL of at least ``DIVERGENCE`` nats
-for each distinct next symbol. A model keeps at most ``STATES`` of them, those that diverge most. A state's
+for each distinct next symbol; nothing else bounds their number. A state's
 distribution is smoothed by its longest retained suffix (Witten-Bell), the root's by the uniform one, and a symbol is
 scored in the longest retained suffix of what stands before it. All training words, with their counts over the whole
 corpus, go into the counts.
@@ -31,7 +31,7 @@ from pyspark.sql.types import StructType
 from .common import crc_text, map_rows, partitions, prepared, saved, table
 from .hashing import LOWER
 
-DEPTH, STATES, DIVERGENCE = 5, 60_000, 2.0
+DEPTH, DIVERGENCE = 5, 2.0
 WORD_END, TEXT_END, UNKNOWN, SYMBOLS, START = 256, 257, 258, 259, 259
 BITS = 9
 #: Distinct words, and places of words in texts, that a task holds before it sends them on.
@@ -165,7 +165,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return map_rows(docs, ["text"], "word binary, count long", work).groupBy("word").agg(F.sum("count").alias("count"))
 
 
-def fit(vocabulary: DataFrame, texts: int, once: int, states: int = STATES) -> Tree:
+def fit(vocabulary: DataFrame, texts: int, once: int) -> Tree:
     """The tree from all words with their counts, the number of texts and that of words seen once."""
 
     def work(batches):
@@ -203,10 +203,10 @@ def fit(vocabulary: DataFrame, texts: int, once: int, states: int = STATES) -> T
     below = own.select(F.col("state").alias("suffix"), "symbol", F.col("c").alias("below_c"), F.col("n").alias("below_n"))
     told = own.where("k > 0").withColumn("suffix", shorter).join(below, ["suffix", "symbol"])
     tested = told.groupBy("state").agg(F.sum(F.expr("c * ln((c / n) / (below_c / below_n))")).alias("gain"), F.first("kinds").alias("kinds"))
-    kept = tested.where(F.col("gain") >= DIVERGENCE * F.col("kinds")).orderBy(F.desc("gain"), "state").limit(states).select("state")
+    kept = tested.where(F.col("gain") >= DIVERGENCE * F.col("kinds")).select("state")
     root = entries.where("k = 0").select("code", "c")
-    got = entries.join(F.broadcast(kept), "state").select("code", "c").unionByName(root).toPandas()  # at most states + 1 distributions
-    return Tree.build(got["code"].to_numpy(np.int64), got["c"].to_numpy(np.int64))
+    got = entries.join(kept, "state").select("code", "c").unionByName(root).toArrow()
+    return Tree.build(got["code"].to_numpy(), got["c"].to_numpy())
 
 
 def places(docs: DataFrame) -> DataFrame:
@@ -258,7 +258,7 @@ def places(docs: DataFrame) -> DataFrame:
 
 def scored(docs: DataFrame, vocabulary: DataFrame, texts: int, tokens: int, distinct: int, tree: Tree) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) of every row."""
-    sent = docs.sparkSession.sparkContext.broadcast(tree)  # STATES distributions at most
+    sent = docs.sparkSession.sparkContext.broadcast(tree)
     below = math.log10(tokens + distinct + 1)
     end_base = math.log10(texts + 1) - below
     schema = "part long, rows array<long>, base array<double>, score array<double>, known array<double>, ids array<long>, tokens array<long>"

@@ -137,6 +137,25 @@ def test_op2_tree_is_a_distribution_and_scores_the_longest_suffix():
         assert total == pytest.approx(1.0)
 
 
+def test_op2_keeps_every_context_that_diverges(spark):
+    rng = np.random.default_rng(5)
+    words = sorted({bytes(w) for w in rng.integers(97, 123, (60_000, 4)).astype(np.uint8)})
+    follow = defaultdict(Counter)
+    for w in words:
+        s = [op2.START, *w, op2.WORD_END]
+        for i in range(1, len(s)):
+            for k in range(min(i, op2.DEPTH) + 1):
+                follow[tuple(s[i - k : i])][s[i]] += 100
+    want = 1
+    for context, own in follow.items():
+        if context:
+            n, below = sum(own.values()), follow[context[1:]]
+            m = sum(below.values())
+            want += sum(c * math.log((c / n) / (below[x] / m)) for x, c in own.items()) >= op2.DIVERGENCE * len(own)
+    tree = op2.fit(spark.createDataFrame([(w, 100) for w in words], "word binary, count long"), 0, 0)
+    assert len(tree.states) == want > 60_000
+
+
 PAGES = [
     ("<html><head><title>no</title></head><body><nav><a href=/a>menu</a></nav><article><h1>Head &amp; more</h1><p>First<b> para</b>graph<br>line two<p>Second  one.<p>Short.</article><footer>foot</footer>", "Head & more First paragraph line two Second one. Short."),
     ("<body><div class='site-header'>H</div><div id=x><h2>T</h2><p>A long enough text stands here, to win.<p>And another.</p><ul><li>one<li>two</ul><div class='comments'><p>nice one</div></div><div class=sidebar>s</div><form>f<input></form>", "T A long enough text stands here, to win. And another. one two"),
