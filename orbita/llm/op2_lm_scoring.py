@@ -1,9 +1,7 @@
 """Language-model scores by a probabilistic suffix tree.
 
-A text is spelled: each known word byte by byte and closed by a mark, any unknown word as one symbol (as the base has
-it), the text closed by another mark. The unknown symbol counts as often as words that were seen once, Good and
-Turing's estimate. Contexts are the last
-symbols of the word so far, at most ``DEPTH``, with a mark for the word's beginning. A context is retained if its
+A text is spelled: each word, known or not, byte by byte and closed by a mark, the text closed by another mark.
+Contexts are the last symbols of the word so far, at most ``DEPTH``, with a mark for the word's beginning. A context is retained if its
 next-symbol counts diverge from those of the context without its oldest symbol: N * KL of at least ``DIVERGENCE`` nats
 for each distinct next symbol; nothing else bounds their number. A state's
 distribution is smoothed by its longest retained suffix (Witten-Bell), the root's by the uniform one, and a symbol is
@@ -32,6 +30,7 @@ from .common import crc_text, map_rows, partitions, prepared, saved, table
 from .hashing import LOWER
 
 DEPTH, DIVERGENCE = 5, 2.0
+#: No text has UNKNOWN: unknown words are spelled; its number stays taken.
 WORD_END, TEXT_END, UNKNOWN, SYMBOLS, START = 256, 257, 258, 259, 259
 BITS = 9
 #: Distinct words, and places of words in texts, that a task holds before it sends them on.
@@ -126,7 +125,7 @@ class Tree:
         return np.bincount(owner, self.of_symbols(symbols, before), len(words))
 
     def log10_of(self, symbol: int) -> float:
-        """Of a symbol where a word could begin: the text's end or an unknown word."""
+        """Of a symbol where a word could begin: the text's end."""
         return float(self.of_symbols(np.array([symbol]), np.array([1]))[0])
 
     def of_symbols(self, symbols: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -165,8 +164,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return map_rows(docs, ["text"], "word binary, count long", work).groupBy("word").agg(F.sum("count").alias("count"))
 
 
-def fit(vocabulary: DataFrame, texts: int, once: int) -> Tree:
-    """The tree from all words with their counts, the number of texts and that of words seen once."""
+def fit(vocabulary: DataFrame, texts: int) -> Tree:
+    """The tree from all words with their counts and the number of texts."""
 
     def work(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -190,7 +189,7 @@ def fit(vocabulary: DataFrame, texts: int, once: int) -> Tree:
             yield {"code": codes.tolist(), "count": np.bincount(to, np.concatenate([y for _, y in held]), len(codes)).astype(np.int64).tolist()}
 
     spark = vocabulary.sparkSession
-    ends = spark.createDataFrame([(int(entry_code(k, np.int64(START if k else 0), np.int64(s))), n) for k in (0, 1) for s, n in ((TEXT_END, texts), (UNKNOWN, once)) if n], "code long, count long")
+    ends = spark.createDataFrame([(int(entry_code(k, np.int64(START if k else 0), np.int64(TEXT_END))), texts) for k in (0, 1) if texts], "code long, count long")
     width = BITS * (DEPTH + 1)
     entries = saved(
         map_rows(vocabulary, ["word", "count"], "code long, count long", work).unionByName(ends).groupBy("code").agg(F.sum("count").alias("c"))
@@ -265,7 +264,7 @@ def scored(docs: DataFrame, vocabulary: DataFrame, texts: int, tokens: int, dist
     target = to_arrow_schema(StructType.fromDDL(schema))
 
     def work(batches):
-        end, unknown = sent.value.log10_of(TEXT_END), sent.value.log10_of(UNKNOWN)
+        end = sent.value.log10_of(TEXT_END)
         rows, sums, size = [], [], 0
         about: list[tuple[list, list, list]] = []
 
@@ -290,14 +289,16 @@ def scored(docs: DataFrame, vocabulary: DataFrame, texts: int, tokens: int, dist
             return pa.RecordBatch.from_pydict(out, schema=target)
 
         for batch in batches:
-            at, times, ids, n_tokens, counts, log_p = batch.columns
+            words, at, times, ids, n_tokens, counts, log_p = batch.columns
             long, of_documents = np.diff(at.offsets.to_numpy()), ids.is_valid().to_numpy(zero_copy_only=False)
             plain = np.flatnonzero(~of_documents)
             if len(plain):
                 own = np.repeat(~of_documents, long)
                 n = times.flatten().to_numpy()[own].astype(np.float64)
                 c = counts.fill_null(0).to_numpy()[plain].astype(np.float64)
-                spelled_out = log_p.fill_null(unknown).to_numpy()[plain]
+                spelled_out = log_p.fill_null(0.0).to_numpy()[plain]
+                unknown = np.flatnonzero(c == 0)
+                spelled_out[unknown] = sent.value.log10(words.take(pa.array(plain[unknown])).to_pylist())
                 each = np.repeat(np.stack((np.log10(c + 1) - below, spelled_out, c > 0)), long[plain], axis=1) * n
                 rows.append(at.flatten().to_numpy()[own])
                 sums.append(each)
@@ -318,7 +319,7 @@ def scored(docs: DataFrame, vocabulary: DataFrame, texts: int, tokens: int, dist
     # a known word is spelled once, not where it stands
     known_words = map_rows(vocabulary, ["word", "count"], "word binary, count long, log_p double", spell)
     joined = places(docs).join(known_words, "word", "left")
-    parts = prepared(joined).select("rows", "times", "ids", "tokens", "count", "log_p").mapInArrow(work, schema)
+    parts = prepared(joined).select("word", "rows", "times", "ids", "tokens", "count", "log_p").mapInArrow(work, schema)
     whole = parts.repartition(partitions(docs.sparkSession), "part").sortWithinPartitions("part")
     result = "doc_id long, n_tokens long, n_known long, base_score double, score double"
     shaped = to_arrow_schema(StructType.fromDDL(result))
@@ -360,9 +361,9 @@ def lm_scores(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
     training = docs.where(~apart)
     vocabulary = saved(word_counts(training))
     texts = training.count()
-    tokens, distinct, once = vocabulary.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("count") == 1)).first()
+    tokens, distinct = vocabulary.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count(F.lit(1))).first()
     tokens, distinct = tokens + texts, distinct + (texts > 0)
-    out = scored(docs, vocabulary, texts, tokens, distinct, fit(vocabulary, texts, once))
+    out = scored(docs, vocabulary, texts, tokens, distinct, fit(vocabulary, texts))
     return out.select("doc_id", apart.alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -16,6 +16,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from orbita.llm import components, hashing, queries
@@ -152,10 +153,20 @@ def test_op2_keeps_every_context_that_diverges(spark):
             n, below = sum(own.values()), follow[context[1:]]
             m = sum(below.values())
             want += sum(c * math.log((c / n) / (below[x] / m)) for x, c in own.items()) >= op2.DIVERGENCE * len(own)
-    tree = op2.fit(spark.createDataFrame([(w, 100) for w in words], "word binary, count long"), 0, 0)
+    tree = op2.fit(spark.createDataFrame([(w, 100) for w in words], "word binary, count long"), 0)
     assert len(tree.states) == want > 60_000
 
 
+def test_op2_spells_unknown_words(spark):
+    rows = [(1, "the other then"), (2, "the then"), (10, "thenthe"), (11, "\u00e9q" * 20), (12, "the thenthe thenthe")]
+    got = {r.doc_id: r for r in op2.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") >= 10).collect()}
+    words = Counter(w.encode() for i, t in rows if i < 10 for w in t.split())
+    tree = op2.fit(spark.createDataFrame(list(words.items()), "word binary, count long"), 2)
+    for i, text in rows:
+        assert got[i].score == pytest.approx(tree.log10([w.encode() for w in text.split()]).sum() + tree.log10_of(op2.TEXT_END))
+    assert got[10].n_known == got[11].n_known and got[10].score > got[11].score + 10
+
+
 PAGES = [
     ("<html><head><title>no</title></head><body><nav><a href=/a>menu</a></nav><article><h1>Head &amp; more</h1><p>First<b> para</b>graph<br>line two<p>Second  one.<p>Short.</article><footer>foot</footer>", "Head & more First paragraph line two Second one. Short."),
     ("<body><div class='site-header'>H</div><div id=x><h2>T</h2><p>A long enough text stands here, to win.<p>And another.</p><ul><li>one<li>two</ul><div class='comments'><p>nice one</div></div><div class=sidebar>s</div><form>f<input></form>", "T A long enough text stands here, to win. And another. one two"),
