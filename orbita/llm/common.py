@@ -30,31 +30,43 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where the session names none."""
+    """The folder that driver and executors share; where the session names none, a temporary one if all runs in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="orbita-")
         spark.sparkContext.setCheckpointDir(named)
     return named
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it again: cuts lineage, survives lost executors."""
+    """Write ``df`` as Parquet to the shared folder and read it again: cuts lineage, survives lost executors.
+
+    What ``forget`` has not deleted goes when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/orbita-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    where, files = at(spark, path)
+    files.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out._orbita_path = path
     return out
 
 
-def forget(df: DataFrame) -> None:
+def at(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def forget(*tables: DataFrame) -> None:
     """Delete what ``saved`` wrote, once nothing reads it any more."""
-    path = getattr(df, "_orbita_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+    for df in tables:
+        if path := getattr(df, "_orbita_path", None):
+            where, files = at(df.sparkSession, path)
+            files.delete(where, True)
 
 
 def prepared(df: DataFrame) -> DataFrame:

@@ -1,370 +1,287 @@
-"""Language-model scores by a probabilistic suffix tree.
-
-A text is spelled: each word, known or not, byte by byte and closed by a mark, the text closed by another mark.
-Contexts are the last symbols of the word so far, at most ``DEPTH``, with a mark for the word's beginning. A context is retained if its
-next-symbol counts diverge from those of the context without its oldest symbol: N * KL of at least ``DIVERGENCE`` nats
-for each distinct next symbol; nothing else bounds their number. A state's
-distribution is smoothed by its longest retained suffix (Witten-Bell), the root's by the uniform one, and a symbol is
-scored in the longest retained suffix of what stands before it. All training words, with their counts over the whole
-corpus, go into the counts.
-
-Null texts count as empty: the end token only. A null doc_id counts as the empty id, which is learnt from. Without
-training tokens the model is uniform. Every row gives one row, also repeated ones; other columns are not read.
+"""Language-model scores by a probabilistic suffix tree over words, with spelled unknown words.
+
+The symbols are a text's words and its end. Contexts are the last words, across the whole text, ``DEPTH`` at most (the
+longest suffix that the method allows), with a mark for the text's beginning. A context that training texts hold
+``LEAST`` times or more is retained if its next-symbol counts diverge from those of the context without its oldest word:
+N * KL of at least ``DIVERGENCE`` nats for each distinct next symbol; nothing else bounds their number. The root's
+distribution is smoothed by the spelling of words (a suffix tree over bytes, learnt from all distinct training words),
+a state's by that of its longest retained suffix (Witten-Bell), and a symbol is scored in the longest retained suffix of
+what stands before it. score is log10 of the probability of the text's words in their order, and its end.
+
+Counts come from whole texts and stay on the cluster: chunks of texts ask for the counts of their distinct words and
+word sequences, a bucket of the key space adds up what all chunks hold and answers each, so that a key which a third of
+all texts share is one number per chunk. A second such round adds up the divergences of contexts. Words are compared as
+they are; sequences by 64-bit hashes, where n different ones give about n * n / 2^65 chance meetings.
+
+Null texts count as empty: the end only. A null doc_id counts as the empty id, which is learnt from. Without training
+texts the model is the uniform spelling. Every row gives one row, also repeated ones; other columns are not read; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
-from itertools import chain
+import zlib
 
 import numpy as np
-import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
-
-from .common import crc_text, map_rows, partitions, prepared, saved, table
-from .hashing import LOWER
-
-DEPTH, DIVERGENCE = 5, 2.0
-#: No text has UNKNOWN: unknown words are spelled; its number stays taken.
-WORD_END, TEXT_END, UNKNOWN, SYMBOLS, START = 256, 257, 258, 259, 259
-BITS = 9
-#: Distinct words, and places of words in texts, that a task holds before it sends them on.
-HELD = 1_500_000
-
-
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8").translate(LOWER).split()
-
-
-def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of all words one after another, each with its word's number and how many stand before it, the start mark included."""
-    size = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    end = np.cumsum(size)
-    symbols = np.empty(int(end[-1]) if len(words) else 0, np.int64)
-    last = np.zeros(len(symbols), bool)
-    last[end - 1] = True
-    symbols[last] = WORD_END
-    symbols[~last] = np.frombuffer(b"".join(words), np.uint8)
-    owner = np.repeat(np.arange(len(words)), size)
-    return symbols, owner, np.arange(len(symbols)) - (end - size)[owner] + 1
-
-
-def contexts(symbols: np.ndarray, before: np.ndarray, depth: int):
-    """For k = 0..depth: the places with k symbols before them, and there the context's code (the latest symbol lowest)."""
-    code = np.zeros(len(symbols), np.int64)
-    yield np.arange(len(symbols)), code
-    for k in range(1, depth + 1):
-        at = np.flatnonzero(before >= k)
-        older = np.where(before[at] == k, START, symbols[np.maximum(at - k, 0)])
-        code = code.copy()
-        code[at] |= older << (BITS * (k - 1))
-        yield at, code[at]
-
-
-def entry_code(k: int, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    return (np.int64(k) << np.int64(BITS * (DEPTH + 1))) | (context << np.int64(BITS)) | symbol
-
-
-def transitions(words: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of (context, next symbol) with their counts."""
-    symbols, owner, before = spelled(words)
-    codes, weights = [], []
-    for k, (at, context) in enumerate(contexts(symbols, before, DEPTH)):
-        unique, to = np.unique(entry_code(k, context, symbols[at]), return_inverse=True)
-        codes.append(unique)
-        weights.append(np.bincount(to, counts[owner[at]], len(unique)))
-    return np.concatenate(codes), np.concatenate(weights).astype(np.int64)
-
-
-@dataclass
-class Tree:
-    """Sorted codes of retained states and of their entries, with log10 of back-off weights and of smoothed probabilities."""
-
-    states: np.ndarray
-    back_off: np.ndarray
-    entries: np.ndarray
-    log_p: np.ndarray
-
-    @classmethod
-    def build(cls, codes: np.ndarray, counts: np.ndarray) -> Tree:
-        order = np.argsort(codes)
-        codes, counts = codes[order], counts[order].astype(np.float64)
-        states, first = np.unique(codes >> BITS, return_index=True)
-        if not len(states):
-            states, first = np.zeros(1, np.int64), np.zeros(0, np.int64)
-        total = np.add.reduceat(counts, first) if len(codes) else np.zeros(1)
-        kinds = np.diff(np.concatenate((first, [len(codes)]))).astype(np.float64) if len(codes) else np.zeros(1)
-        p = np.zeros(len(codes))
-        of = np.searchsorted(states, codes >> BITS)
-        level = codes >> np.int64(BITS * (DEPTH + 1))
-        for k in range(DEPTH + 1):
-            mine = np.flatnonzero(level == k)
-            lower = np.full(len(mine), 1.0 / SYMBOLS)
-            open_ = np.arange(len(mine))
-            for j in range(k - 1, -1, -1):  # the longest retained suffix has all symbols that the state has
-                context = (codes[mine[open_]] >> BITS) & ((np.int64(1) << np.int64(BITS * j)) - 1)
-                want = entry_code(j, context, codes[mine[open_]] & 511)
-                at = np.minimum(np.searchsorted(codes, want), len(codes) - 1)
-                hit = codes[at] == want
-                lower[open_[hit]] = p[at[hit]]
-                open_ = open_[~hit]
-            p[mine] = (counts[mine] + kinds[of[mine]] * lower) / (total[of[mine]] + kinds[of[mine]])
-        back = np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1.0)
-        return cls(states, np.log10(np.maximum(back, 1e-300)), codes, np.log10(p))
-
-    def log10(self, words: list[bytes]) -> np.ndarray:
-        """Of each word, its end mark included."""
-        if not words:
-            return np.zeros(0)
-        symbols, owner, before = spelled(words)
-        return np.bincount(owner, self.of_symbols(symbols, before), len(words))
-
-    def log10_of(self, symbol: int) -> float:
-        """Of a symbol where a word could begin: the text's end."""
-        return float(self.of_symbols(np.array([symbol]), np.array([1]))[0])
-
-    def of_symbols(self, symbols: np.ndarray, before: np.ndarray) -> np.ndarray:
-        out, done = np.zeros(len(symbols)), np.zeros(len(symbols), bool)
-        for k, (at, context) in reversed(list(enumerate(contexts(symbols, before, DEPTH)))):
-            keep = ~done[at]
-            at, context = at[keep], context[keep]
-            state = (np.int64(k) << np.int64(BITS * DEPTH)) | context
-            where = np.minimum(np.searchsorted(self.states, state), len(self.states) - 1)
-            here = self.states[where] == state
-            at, state, where = at[here], state[here], where[here]
-            code = state << np.int64(BITS) | symbols[at]
-            entry = np.minimum(np.searchsorted(self.entries, code), max(0, len(self.entries) - 1))
-            seen = self.entries[entry] == code if len(self.entries) else np.zeros(len(code), bool)
-            out[at[seen]] += self.log_p[entry[seen]]
-            done[at[seen]] = True
-            out[at[~seen]] += self.back_off[where[~seen]]
-        out[~done] -= math.log10(SYMBOLS)
-        return out
-
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, count) over the rows of ``docs``, partly summed by each task."""
 
-    def work(batches):
-        held: dict[bytes, int] = {}
-        for (texts,) in batches:
-            for text in texts:
-                for word in words_of(text):
-                    held[word] = held.get(word, 0) + 1
-            if len(held) > HELD:
-                yield {"word": list(held), "count": list(held.values())}
-                held.clear()
-        yield {"word": list(held), "count": list(held.values())}
+from .blobs import counts, grouped, packed, ranges, uncounted, unpacked
+from .common import crc_text, forget, map_rows, partitions, saved, table
+from .hashing import LOWER, Words, mix
+from .spelling import Tree, retained, transitions
+
+DEPTH, LEAST, DIVERGENCE = 2, 2, 2.0
+#: Words of texts in a chunk (one text at least), and words of all texts for each bucket of the key space.
+CHUNK, BUCKET = 1_000_000, 4_000_000
+START, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Kinds of rows: a chunk itself, words, word sequences, transitions of spelled words, contexts.
+TEXTS, WORDS, SEQUENCES, SPELLED, CONTEXTS = range(5)
+MESSAGE = "src long, at int, kind int, dest int, a binary, b binary, c binary, n long"
+
 
-    return map_rows(docs, ["text"], "word binary, count long", work).groupBy("word").agg(F.sum("count").alias("count"))
+def message(src, at, kind, dest, a, b=None, c=None, n=0) -> tuple:
+    return src, at, kind, dest, a, b, c, n
 
 
-def fit(vocabulary: DataFrame, texts: int) -> Tree:
-    """The tree from all words with their counts and the number of texts."""
+def columns(rows: list[tuple]) -> dict:
+    names = [f.split()[0] for f in MESSAGE.split(", ")]
+    return dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)) if rows else {name: [] for name in names}
+
+
+def chunked(docs: DataFrame) -> DataFrame:
+    """Chunks of (doc_id, text, apart): distinct words, the commonest first (a), the texts as numbers of words (b) and what is true of whole texts (c); n: training tokens."""
+    parts = partitions(docs.sparkSession)
 
     def work(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        words: list[bytes] = []
-        counts: list[int] = []
-
-        def gather():
-            if words:
-                held.append(transitions(words, np.array(counts, np.float64)))
-                words.clear()
-                counts.clear()
-
-        for w, c in batches:
-            words += map(bytes, w)
-            counts += c
-            if len(words) > 100_000:
-                gather()
-        gather()
+        task, k = TaskContext.get().partitionId(), 0
+        held: list[tuple] = []
+
+        def chunk():
+            hashes, inverse, lengths, apart, ids = ([h[i] for h in held] for i in (0, 2, 3, 4, 5))
+            unique, first, to = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+            begin = np.cumsum([0, *map(len, hashes)])
+            numbers = np.concatenate([to[b + i] for b, i in zip(begin, inverse, strict=False)])
+            order = np.argsort(-np.bincount(numbers, minlength=len(unique)), kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            words = [w for h in held for w in h[1]]
+            lengths, apart, ids = np.concatenate(lengths), np.concatenate(apart), [i for x in ids for i in x]
+            valid = np.array([i is not None for i in ids], np.uint8)
+            about = lengths.astype("<u4").tobytes() + apart.astype(np.uint8).tobytes() + valid.tobytes() + np.array([i or 0 for i in ids], "<i8").tobytes()
+            trained = int((lengths + 1)[~apart].sum())
+            return message(task << 24 | k, (task + 7919 * k) % parts, TEXTS, int((~apart).sum()), zlib.compress(b" ".join([words[i] for i in first[order].tolist()]), 1), counts(rank[numbers]), zlib.compress(about, 1), trained)
+
+        size = 0
+        for ids, texts, apart in batches:
+            words = Words([(t or "").encode("utf-8").translate(LOWER) for t in texts])
+            unique, first, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
+            data = words.data.tobytes()
+            held.append((unique, [data[a:b] for a, b in zip(words.first[first].tolist(), words.ends[first].tolist(), strict=True)], inverse, np.diff(words.offsets), np.array(apart, bool), ids))
+            size += len(inverse) + len(ids)
+            if size >= CHUNK:
+                yield columns([chunk()])
+                held, size, k = [], 0, k + 1
         if held:
-            codes, to = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
-            yield {"code": codes.tolist(), "count": np.bincount(to, np.concatenate([y for _, y in held]), len(codes)).astype(np.int64).tolist()}
-
-    spark = vocabulary.sparkSession
-    ends = spark.createDataFrame([(int(entry_code(k, np.int64(START if k else 0), np.int64(TEXT_END))), texts) for k in (0, 1) if texts], "code long, count long")
-    width = BITS * (DEPTH + 1)
-    entries = saved(
-        map_rows(vocabulary, ["word", "count"], "code long, count long", work).unionByName(ends).groupBy("code").agg(F.sum("count").alias("c"))
-        .select("code", "c", F.shiftright("code", width).cast("int").alias("k"), F.shiftright("code", BITS).alias("state"), F.expr(f"code & {(1 << BITS) - 1}").alias("symbol"))
-    )
-    totals = entries.groupBy("state").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("kinds"), F.max("k").alias("k"))
-    own = entries.join(totals.drop("k"), "state")
-    # the suffix: one symbol fewer, the oldest gone
-    shorter = F.expr(f"shiftleft(cast(k - 1 as bigint), {BITS * DEPTH}) | (state & (shiftleft(1L, {BITS} * (k - 1)) - 1))")
-    below = own.select(F.col("state").alias("suffix"), "symbol", F.col("c").alias("below_c"), F.col("n").alias("below_n"))
-    told = own.where("k > 0").withColumn("suffix", shorter).join(below, ["suffix", "symbol"])
-    tested = told.groupBy("state").agg(F.sum(F.expr("c * ln((c / n) / (below_c / below_n))")).alias("gain"), F.first("kinds").alias("kinds"))
-    kept = tested.where(F.col("gain") >= DIVERGENCE * F.col("kinds")).select("state")
-    root = entries.where("k = 0").select("code", "c")
-    got = entries.join(kept, "state").select("code", "c").unionByName(root).toArrow()
-    return Tree.build(got["code"].to_numpy(), got["c"].to_numpy())
-
-
-def places(docs: DataFrame) -> DataFrame:
-    """(word, rows, times, ids, tokens): where each word stands; what is true of whole documents comes with a word that has a space."""
-    schema = "word binary, rows array<long>, times array<int>, ids array<long>, tokens array<long>"
-    target = to_arrow_schema(StructType.fromDDL(schema))
-
-    def run(batches):
-        task = TaskContext.get().partitionId()
-        row, held, size = task << 40, {}, 0
-        about: tuple[list, list, list] = ([], [], [])
-
-        def flush():
-            long = np.fromiter(map(len, held.values()), np.int64, len(held)) // 2
-            flat = np.fromiter(chain.from_iterable(held.values()), np.int64, int(2 * long.sum())).reshape(-1, 2)
-            ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(long), [long.sum() + len(about[0])])).astype(np.int32)
-            lists = lambda own, last, kind: pa.ListArray.from_arrays(ends, pa.array(np.concatenate((own, np.array(last, np.int64))), kind))
-            only = lambda values: pa.array([None] * len(held) + [values], pa.list_(pa.int64()))
-            words = pa.array([*held, b"about %d %d" % (task, row)], pa.binary())
-            out = pa.RecordBatch.from_arrays([words, lists(flat[:, 0], about[0], pa.int64()), lists(flat[:, 1], [0] * len(about[0]), pa.int32()), only(list(about[1])), only(list(about[2]))], schema=target)
-            held.clear()
-            for c in about:
-                c.clear()
-            return out
-
-        for batch in batches:
-            for doc_id, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                words, own = words_of(text), {}
-                for word in words:
-                    own[word] = own.get(word, 0) + 1
-                for word, n in own.items():
-                    at = held.get(word)
-                    if at is None:
-                        held[word] = [row, n]
-                    else:
-                        at.append(row)
-                        at.append(n)
-                size += len(own)
-                for c, v in zip(about, (row, doc_id, len(words) + 1), strict=True):
-                    c.append(v)
-                row += 1
-            if size > HELD:
-                yield flush()
-                size = 0
-        yield flush()
-
-    return prepared(docs).select("doc_id", "text").mapInArrow(run, schema)
-
-
-def scored(docs: DataFrame, vocabulary: DataFrame, texts: int, tokens: int, distinct: int, tree: Tree) -> DataFrame:
-    """(doc_id, n_tokens, n_known, base_score, score) of every row."""
-    sent = docs.sparkSession.sparkContext.broadcast(tree)
-    below = math.log10(tokens + distinct + 1)
-    end_base = math.log10(texts + 1) - below
-    schema = "part long, rows array<long>, base array<double>, score array<double>, known array<double>, ids array<long>, tokens array<long>"
-    target = to_arrow_schema(StructType.fromDDL(schema))
+            yield columns([chunk()])
+
+    return map_rows(docs, ["doc_id", "text", "apart"], MESSAGE, work)
+
+
+class Chunk:
+    """A chunk's tokens one after another. ``grams[k]``: keys of a token and the k before it, at ``valid[k]``."""
+
+    def __init__(self, a: bytes, b: bytes, c: bytes):
+        joined = zlib.decompress(a)
+        self.vocabulary = joined.split(b" ") if joined else []
+        about = zlib.decompress(c)
+        n = len(about) // 14
+        size = np.frombuffer(about, "<u4", n).astype(np.int64) + 1
+        self.apart, valid = (np.frombuffer(about, np.uint8, n, n * k).astype(bool) for k in (4, 5))
+        self.ids = [i if v else None for i, v in zip(np.frombuffer(about, "<i8", n, 6 * n).tolist(), valid.tolist(), strict=True)]
+        self.first = np.cumsum(size) - size
+        self.size = size
+        last = np.zeros(int(size.sum()), bool)
+        last[self.first + size - 1] = True
+        self.word = np.full(len(last), len(self.vocabulary))
+        self.word[~last] = uncounted(b)
+        self.owner = np.repeat(np.arange(n), size)
+        self.place = np.arange(len(last)) - self.first[self.owner]
+        self.trained = ~self.apart[self.owner]
+        self.hashes = Words([joined]).hashes
+        self.by_hash = np.argsort(self.hashes)
+        own = np.concatenate((self.hashes, [END]))[self.word]
+        self.grams, self.valid = [mix(own)], [np.arange(len(own))]
+        for k in range(1, DEPTH + 1):
+            before = np.where(self.place >= k, np.roll(own, k), START)
+            self.grams.append(mix(self.grams[-1] * ODD + mix(before + np.uint64(k))))
+            self.valid.append(np.flatnonzero(self.place >= k - 1))
+        self.keys, self.inverse = np.unique(np.concatenate([g[v] for g, v in zip(self.grams[1:], self.valid[1:], strict=True)]), return_inverse=True)
+
+    def asked(self, buckets: int) -> list[tuple]:
+        """(kind, bucket, a, b): words and sequences with how often training texts of this chunk hold them."""
+        held = np.bincount(self.word[self.trained], minlength=len(self.vocabulary) + 1)[self.by_hash]
+        words = [self.vocabulary[i] for i in self.by_hash.tolist()]
+        out = [(WORDS, bucket, zlib.compress(b" ".join(words[s]), 1), counts(held[s])) for bucket, s in ranges(self.hashes[self.by_hash], buckets)]
+        held = np.bincount(self.inverse, np.concatenate([self.trained[v] for v in self.valid[1:]]), len(self.keys))
+        return out + [(SEQUENCES, bucket, packed(self.keys[s]), counts(held[s])) for bucket, s in ranges(self.keys, buckets)]
+
+    def told(self, answers: dict[int, list[bytes]], tokens: int, texts: int) -> None:
+        """Counts of all training texts: ``seen[k]`` of the sequences that end at a token, ``stood[k]`` of the k words before it."""
+        whole = lambda kind: np.concatenate([uncounted(x) for x in answers[kind]]) if answers.get(kind) else np.zeros(0, np.int64)
+        words = np.empty(len(self.vocabulary) + 1)
+        words[self.by_hash], words[-1] = whole(WORDS), texts
+        of_keys = whole(SEQUENCES)[self.inverse]
+        self.seen, self.stood, at = [words[self.word]], [np.full(len(self.word), float(tokens))], 0
+        for v in self.valid[1:]:
+            self.stood.append(np.where(self.place > 0, np.roll(self.seen[-1], 1), texts))
+            self.seen.append(np.zeros(len(self.word)))
+            self.seen[-1][v] = of_keys[at : at + len(v)]
+            at += len(v)
+
+    def contexts(self) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Places of each length whose context training texts hold often enough, the distinct contexts' keys, and which of them stands there."""
+        places, keys = [], []
+        for k in range(1, DEPTH + 1):
+            at = self.valid[k][self.stood[k][self.valid[k]] >= LEAST]
+            places.append(at)
+            keys.append(mix(np.where(self.place[at] > 0, self.grams[k - 1][at - 1], START) + np.uint64(k)))
+        unique, to = np.unique(np.concatenate(keys), return_inverse=True)
+        return places, unique, to
+
+    def diverged(self, buckets: int) -> list[tuple]:
+        """(kind, bucket, a, b, c): contexts with this chunk's part of their divergence and of their number of next symbols."""
+        places, keys, to = self.contexts()
+        gain, kinds = [], []
+        for k, at in enumerate(places, 1):
+            here = self.trained[at]
+            seen, below = np.where(here, self.seen[k][at], 1.0), np.where(here, self.seen[k - 1][at], 1.0)
+            gain.append(np.where(here, np.log(seen / self.stood[k][at] / (below / self.stood[k - 1][at])), 0.0))
+            kinds.append(here / seen)
+        gain, kinds = (np.bincount(to, np.concatenate(x), len(keys)).astype("<f4") for x in (gain, kinds))
+        return [(CONTEXTS, bucket, packed(keys[s]), gain[s].tobytes(), kinds[s].tobytes()) for bucket, s in ranges(keys, buckets)]
+
+    def scores(self, answers: dict[int, list[bytes]], tree: Tree, tokens: int, distinct: int) -> dict:
+        places, keys, to = self.contexts()
+        kinds = (np.concatenate([uncounted(x) for x in answers[CONTEXTS]]) if answers.get(CONTEXTS) else np.zeros(0, np.int64))[to].astype(np.float64)
+        spelled = np.append(tree.log10(self.vocabulary), tree.text_end())[self.word]
+        seen = self.seen[0]
+        new = seen == 0  # spelled in logarithms: the probability of a long one is less than the least number
+        p = np.where(new, 1.0, (seen + distinct * 10.0 ** np.maximum(spelled, -300)) / max(1, tokens + distinct))
+        at = 0
+        for k, here in enumerate(places, 1):
+            n = kinds[at : at + len(here)]
+            at += len(here)
+            here, n = here[n > 0], n[n > 0]
+            p[here] = (self.seen[k][here] + n * p[here]) / (self.stood[k][here] + n)
+        log_p = np.log10(p)
+        log_p[new] += spelled[new] + (math.log10(distinct / (tokens + distinct)) if distinct else 0.0)
+        base = np.log10(seen + 1) - math.log10(tokens + distinct + 1)
+        of_text = lambda x: np.add.reduceat(x, self.first)
+        return {"doc_id": self.ids, "held_out": self.apart.tolist(), "n_tokens": self.size.tolist(), "n_known": of_text((seen > 0).astype(np.int64)).tolist(), "train_tokens": [tokens] * len(self.ids), "base_score": of_text(base).tolist(), "score": of_text(log_p).tolist()}
+
+
+def answered(requests: DataFrame, spellings: int) -> DataFrame:
+    """Each request's keys with what all chunks hold of them; of a bucket of words also how words are spelled, for ``spellings`` tasks."""
+    sent = requests.repartitionById(partitions(requests.sparkSession), F.expr(f"pmod(dest, {partitions(requests.sparkSession)})")).sortWithinPartitions("dest", "kind", "src")
+
+    def of_words(dest, rows):
+        words, held = [zlib.decompress(a).split(b" ") for *_, a, _, _ in rows], {}
+        for own, (*_, b, _) in zip(words, rows, strict=True):
+            for w, n in zip(own, uncounted(b).tolist(), strict=True):
+                held[w] = held.get(w, 0) + n
+        known = [w for w, n in held.items() if n]
+        yield columns([message(src, at, WORDS, dest, counts(np.array([held[w] for w in own])), n=len(known) if k == 0 else 0) for k, (own, (src, at, *_)) in enumerate(zip(words, rows, strict=True))])
+        for i in range(0, len(known), 200_000):
+            codes, n = transitions(known[i : i + 200_000])
+            share = codes % spellings
+            yield columns([message(dest, s, SPELLED, s, packed(codes[share == s]), counts(n[share == s])) for s in np.unique(share).tolist()])
+
+    def added(dest, kind, rows):
+        keys = [unpacked(a) for *_, a, _, _ in rows]
+        unique, to = np.unique(np.concatenate(keys), return_inverse=True)
+        if kind == SEQUENCES:
+            out = np.bincount(to, np.concatenate([uncounted(b) for *_, b, _ in rows]), len(unique))
+        else:
+            gain, kinds = (np.bincount(to, np.concatenate([np.frombuffer(r[i], "<f4") for r in rows]), len(unique)) for i in (3, 4))
+            out = np.where(gain >= DIVERGENCE * kinds, np.maximum(np.rint(kinds), 0), 0)
+        end = np.cumsum([0, *map(len, keys)])
+        yield columns([message(src, at, kind, dest, counts(out[to[a:b]])) for (src, at, *_), a, b in zip(rows, end[:-1], end[1:], strict=True)])
+
+    def work(batches):
+        for (dest, kind), rows in grouped(batches, 2):
+            yield from of_words(dest, rows) if kind == WORDS else added(dest, kind, rows)
+
+    return map_rows(sent, ["dest", "kind", "src", "at", "a", "b", "c"], MESSAGE, work)
+
 
+def with_answers(*tables: DataFrame) -> DataFrame:
+    """The rows of each chunk together: its texts, then the answers in the order of its keys."""
+    rows = tables[0]
+    for more in tables[1:]:
+        rows = rows.unionByName(more)
+    return rows.repartitionById(partitions(rows.sparkSession), "at").sortWithinPartitions("src", "kind", "dest").select("src", "at", "kind", "a", "b", "c")
+
+
+def each_chunk(rows: DataFrame, schema: str, of) -> DataFrame:
     def work(batches):
-        end = sent.value.log10_of(TEXT_END)
-        rows, sums, size = [], [], 0
-        about: list[tuple[list, list, list]] = []
-
-        def flush():
-            """A row for each task of ``places`` whose documents stand here, not for each document."""
-            out: dict[str, list] = {c: [] for c in target.names}
-            if rows:
-                unique, to = np.unique(np.concatenate(rows), return_inverse=True)
-                base, score, known = (np.bincount(to, x, len(unique)) for x in np.concatenate(sums, axis=1))
-                part = unique >> 40
-                first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-                for a, b in zip(first.tolist(), [*first[1:].tolist(), len(unique)], strict=True):
-                    for c, v in zip(out.values(), (int(part[a]), unique[a:b], base[a:b], score[a:b], known[a:b], None, None), strict=True):
-                        c.append(v)
-            for at, ids, n_tokens in about:
-                one = np.ones(len(at))
-                for c, v in zip(out.values(), (at[0] >> 40, at, one * end_base, one * end, one * (texts > 0), ids, n_tokens), strict=True):
-                    c.append(v)
-            rows.clear()
-            sums.clear()
-            about.clear()
-            return pa.RecordBatch.from_pydict(out, schema=target)
-
-        for batch in batches:
-            words, at, times, ids, n_tokens, counts, log_p = batch.columns
-            long, of_documents = np.diff(at.offsets.to_numpy()), ids.is_valid().to_numpy(zero_copy_only=False)
-            plain = np.flatnonzero(~of_documents)
-            if len(plain):
-                own = np.repeat(~of_documents, long)
-                n = times.flatten().to_numpy()[own].astype(np.float64)
-                c = counts.fill_null(0).to_numpy()[plain].astype(np.float64)
-                spelled_out = log_p.fill_null(0.0).to_numpy()[plain]
-                unknown = np.flatnonzero(c == 0)
-                spelled_out[unknown] = sent.value.log10(words.take(pa.array(plain[unknown])).to_pylist())
-                each = np.repeat(np.stack((np.log10(c + 1) - below, spelled_out, c > 0)), long[plain], axis=1) * n
-                rows.append(at.flatten().to_numpy()[own])
-                sums.append(each)
-                size += len(n)
-            for k in np.flatnonzero(of_documents).tolist():
-                if len(at[k]):
-                    about.append((at[k].as_py(), ids[k].as_py(), n_tokens[k].as_py()))
-                    size += len(at[k])
-            if size > HELD:
-                yield flush()
-                size = 0
-        yield flush()
-
-    def spell(batches):
-        for words, counts in batches:
-            yield {"word": words, "count": counts, "log_p": sent.value.log10([bytes(w) for w in words]).tolist()}
-
-    # a known word is spelled once, not where it stands
-    known_words = map_rows(vocabulary, ["word", "count"], "word binary, count long, log_p double", spell)
-    joined = places(docs).join(known_words, "word", "left")
-    parts = prepared(joined).select("word", "rows", "times", "ids", "tokens", "count", "log_p").mapInArrow(work, schema)
-    whole = parts.repartition(partitions(docs.sparkSession), "part").sortWithinPartitions("part")
-    result = "doc_id long, n_tokens long, n_known long, base_score double, score double"
-    shaped = to_arrow_schema(StructType.fromDDL(result))
-
-    def gather(batches):
-        now, held, about = None, [], []
-
-        def sums():
-            ids = np.concatenate([r for r, *_ in about]) & ((1 << 40) - 1)
-            low = int(ids.min())
-            total = np.zeros((3, int(ids.max()) - low + 1))
-            for own, *values in held:
-                total[:, (own & ((1 << 40) - 1)) - low] += np.stack(values)  # a document once in each list
-            base, score, known = total[:, ids - low]
-            doc_ids, n_tokens = (pa.concat_arrays([pa.array(x[k], pa.int64()) for x in about]) for k in (1, 2))
-            return pa.RecordBatch.from_arrays([doc_ids, n_tokens, pa.array(known.round().astype(np.int64)), pa.array(base), pa.array(score)], schema=shaped)
-
-        for batch in batches:
-            part, rows, base, score, known, ids, n_tokens = batch.columns
-            for k in range(len(batch)):
-                if part[k].as_py() != now and about:
-                    yield sums()
-                    held, about = [], []
-                now = part[k].as_py()
-                own = rows[k].values.to_numpy()
-                held.append((own, *(c[k].values.to_numpy() for c in (base, score, known))))
-                if ids[k].is_valid:
-                    about.append((own, ids[k].as_py(), n_tokens[k].as_py()))
-        if about:
-            yield sums()
-
-    return whole.mapInArrow(gather, result)
+        for (src, at), own in grouped(batches, 2):
+            answers: dict[int, list[bytes]] = {}
+            for kind, a, _, _ in own[1:]:
+                answers.setdefault(kind, []).append(a)
+            yield of(src, at, Chunk(*own[0][1:]), answers)
+
+    return map_rows(rows, ["src", "at", "kind", "a", "b", "c"], schema, work)
+
+
+def spelling(spelled: DataFrame) -> Tree:
+    """The suffix tree of all distinct training words' spellings, and of one end of text."""
+    sent = spelled.repartitionById(partitions(spelled.sparkSession), "dest").sortWithinPartitions("dest", "src")
+
+    def work(batches):
+        for _, rows in grouped(batches, 1):
+            codes, to = np.unique(np.concatenate([unpacked(a) for a, _ in rows]).astype(np.int64), return_inverse=True)
+            yield {"code": codes.tolist(), "c": np.bincount(to, np.concatenate([uncounted(b) for _, b in rows]), len(codes)).astype(np.int64).tolist()}
+
+    entries = saved(map_rows(sent, ["dest", "a", "b"], "code long, c long", work))
+    got = retained(entries).toArrow()  # bounded, see ``retained``
+    forget(entries)
+    ends, n = transitions([], 1) if len(got) else (np.zeros(0, np.int64),) * 2
+    return Tree.build(np.concatenate((got["code"].to_numpy(), ends)), np.concatenate((got["c"].to_numpy(), n)))
 
 
 def lm_scores(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); held_out: of a row, not learnt from."""
     apart = (crc_text("doc_id") % 7 == 2) if held_out is None else held_out
-    docs = docs.select("doc_id", "text")
-    training = docs.where(~apart)
-    vocabulary = saved(word_counts(training))
-    texts = training.count()
-    tokens, distinct = vocabulary.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count(F.lit(1))).first()
-    tokens, distinct = tokens + texts, distinct + (texts > 0)
-    out = scored(docs, vocabulary, texts, tokens, distinct, fit(vocabulary, texts))
-    return out.select("doc_id", apart.alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    chunks = saved(chunked(docs.select("doc_id", "text", F.coalesce(apart, F.lit(False)).alias("apart"))))
+    tokens, texts = (int(x or 0) for x in chunks.agg(F.sum("n"), F.sum("dest")).first())
+    spark, buckets = docs.sparkSession, max(partitions(docs.sparkSession), -(-tokens // BUCKET))
+    parts = partitions(spark)
+
+    def ask(batches):
+        for src, at, a, b, c in batches:
+            for x, y, *own in zip(src, at, a, b, c, strict=True):
+                yield columns([message(x, y, *row) for row in Chunk(*own).asked(buckets)])
+
+    first = saved(answered(map_rows(chunks, ["src", "at", "a", "b", "c"], MESSAGE, ask), parts))
+    distinct = int(first.agg(F.sum("n")).first()[0] or 0) + (texts > 0)
+    tree = spark.sparkContext.broadcast(spelling(first.where(F.col("kind") == SPELLED)))
+    first = first.where(F.col("kind") != SPELLED)
+
+    def diverge(src, at, chunk, answers):
+        chunk.told(answers, tokens, texts)
+        return columns([message(src, at, *row) for row in chunk.diverged(buckets)])
+
+    second = saved(answered(each_chunk(with_answers(chunks, first), MESSAGE, diverge), parts))
+
+    def score(src, at, chunk, answers):
+        chunk.told(answers, tokens, texts)
+        return chunk.scores(answers, tree.value, tokens, distinct)
+
+    return each_chunk(with_answers(chunks, first, second), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double", score)
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

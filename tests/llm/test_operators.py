@@ -10,6 +10,7 @@ import re
 import struct
 import zlib
 from collections import Counter, defaultdict
+from itertools import chain
 
 import duckdb
 import numpy as np
@@ -19,7 +20,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from orbita.llm import components, hashing, queries
+from orbita.llm import components, hashing, queries, spelling
 from orbita.llm import op1_bpe_codec as op1
 from orbita.llm import op2_lm_scoring as op2
 from orbita.llm import op3_html_extraction as op3
@@ -125,46 +126,115 @@ def test_op2(spark, docs, none):
     assert op2.lm_scores(none).count() == 0
 
 
-def test_op2_tree_is_a_distribution_and_scores_the_longest_suffix():
-    words = {b"the": 50, b"then": 20, b"other": 9, b"zz": 1}
-    codes, counts = op2.transitions(list(words), np.array(list(words.values()), float))
-    ends = [int(op2.entry_code(k, np.int64(op2.START if k else 0), np.int64(s))) for k in (0, 1) for s in (op2.TEXT_END, op2.UNKNOWN)]
-    tree = op2.Tree.build(np.concatenate([codes, ends]), np.concatenate([counts, [10, 1, 10, 1]]))
-    assert tree.log10([b"the"])[0] > tree.log10([b"teh"])[0]
-    for before in (b"", b"t", b"th", b"othe", b"q"):
-        places = np.arange(1, len(before) + 2)
-        known = tree.of_symbols(np.array([*before], np.int64), places[:-1]).sum()
-        total = sum(10 ** (tree.of_symbols(np.array([*before, s], np.int64), places).sum() - known) for s in range(op2.SYMBOLS))
-        assert total == pytest.approx(1.0)
-
-
-def test_op2_keeps_every_context_that_diverges(spark):
-    rng = np.random.default_rng(5)
-    words = sorted({bytes(w) for w in rng.integers(97, 123, (60_000, 4)).astype(np.uint8)})
+def spelling_by_hand(words):
+    """log10 p of a symbol after the symbols before it in a word, from distinct words and one end of text."""
     follow = defaultdict(Counter)
-    for w in words:
-        s = [op2.START, *w, op2.WORD_END]
+    for w in [*words, None] if words else []:
+        s = [spelling.START, spelling.TEXT_END] if w is None else [spelling.START, *w, spelling.WORD_END]
         for i in range(1, len(s)):
-            for k in range(min(i, op2.DEPTH) + 1):
-                follow[tuple(s[i - k : i])][s[i]] += 100
-    want = 1
+            for k in range(min(i, spelling.DEPTH if w is not None else 1) + 1):
+                follow[tuple(s[i - k : i])][s[i]] += 1
+    total = sum(map(len, words)) + len(words)
+    kept = {()}
+    for context, own in follow.items():
+        n, below = sum(own.values()), follow[context[1:]]
+        m = sum(below.values())
+        own = {x: c for x, c in own.items() if x != spelling.TEXT_END}
+        if context and sum(c * math.log((c / n) / (below[x] / m)) for x, c in own.items()) >= spelling.GAIN * total:
+            kept.add(context)
+
+    def p(context, symbol):
+        while context not in kept:
+            context = context[1:]
+        own = follow[context]
+        lower = p(context[1:], symbol) if context else 1 / spelling.SYMBOLS
+        n = sum(own.values())
+        return (own[symbol] + len(own) * lower) / (n + len(own)) if n else lower
+
+    def log10(w):
+        s = [spelling.START, spelling.TEXT_END] if w is None else [spelling.START, *w, spelling.WORD_END]
+        return sum(math.log10(p(tuple(s[max(0, i - spelling.DEPTH) : i]), s[i])) for i in range(1, len(s)))
+
+    return log10
+
+
+def scores_by_hand(rows, held):
+    """(doc_id, score) by the definition: counts of all word sequences in dictionaries."""
+    texts = {True: [], False: []}
+    for i, t in rows:
+        texts[held(i)].append((i, [w.encode() for w in words_of(t)]))
+    padded = lambda own: [b" start"] * op2.DEPTH + own + [None]
+    follow, count = defaultdict(Counter), Counter()
+    for _, own in texts[False]:
+        s = padded(own)
+        for i in range(op2.DEPTH, len(s)):
+            count[s[i]] += 1
+            for k in range(1, min(op2.DEPTH, i - op2.DEPTH + 1) + 1):
+                follow[tuple(s[i - k : i])][s[i]] += 1
+    n, distinct = sum(count.values()), len(count)
+    spell = spelling_by_hand([w for w in count if w is not None])
+    kept = set()
     for context, own in follow.items():
-        if context:
-            n, below = sum(own.values()), follow[context[1:]]
-            m = sum(below.values())
-            want += sum(c * math.log((c / n) / (below[x] / m)) for x, c in own.items()) >= op2.DIVERGENCE * len(own)
-    tree = op2.fit(spark.createDataFrame([(w, 100) for w in words], "word binary, count long"), 0)
-    assert len(tree.states) == want > 60_000
+        below = follow[context[1:]] if len(context) > 1 else count
+        gain = sum(c * math.log((c / sum(own.values())) / (below[w] / sum(below.values()))) for w, c in own.items())
+        if sum(own.values()) >= op2.LEAST and gain >= op2.DIVERGENCE * len(own):
+            kept.add(context)
+    out = []
+    for i, own in chain(*texts.values()):
+        s, score = padded(own), 0.0
+        for j in range(op2.DEPTH, len(s)):
+            log_p = spell(s[j]) + math.log10(distinct / (n + distinct)) if distinct else spell(s[j])
+            if count[s[j]]:
+                log_p = math.log10((count[s[j]] + distinct * 10 ** spell(s[j])) / (n + distinct))
+            for k in range(1, min(op2.DEPTH, j - op2.DEPTH + 1) + 1):
+                context = tuple(s[j - k : j])
+                if context in kept:
+                    m, kinds = sum(follow[context].values()), len(follow[context])
+                    log_p += math.log10((follow[context][s[j]] / 10**log_p + kinds) / (m + kinds)) if log_p > -300 else math.log10(kinds / (m + kinds))
+            score += log_p
+        out.append((i, score))
+    return out
+
+
+def test_op2_scores_equal_those_by_hand(spark, docs):
+    held = lambda i: zlib.crc32(str(i).encode() if i is not None else b"") % 7 == 2
+    sample = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    for df, rows in ((docs, ROWS), (spark.read.parquet(f"{SF}/documents.parquet").repartition(3), sample)):
+        got = sorted(((r.doc_id is not None, r.doc_id, r.score) for r in op2.lm_scores(df).collect()), key=lambda x: (x[0], x[1] or 0, x[2]))
+        want = sorted(((i is not None, i, x) for i, x in scores_by_hand(rows, held)), key=lambda x: (x[0], x[1] or 0, x[2]))
+        assert [x[:2] for x in got] == [x[:2] for x in want]
+        assert [x[2] for x in got] == pytest.approx([x[2] for x in want], rel=1e-6)
+
 
+def test_op2_chunks_and_buckets_change_nothing(spark, docs, monkeypatch):
+    key = lambda r: (r.doc_id is not None, r.doc_id or 0, r.score)
+    whole = sorted(op2.lm_scores(docs.coalesce(1)).collect(), key=key)
+    monkeypatch.setattr(op2, "BUCKET", 900)
+    parts = sorted(op2.lm_scores(docs.repartition(7)).collect(), key=key)
+    assert [r[:5] for r in parts] == [r[:5] for r in whole] and [r.score for r in parts] == pytest.approx([r.score for r in whole], rel=1e-6)
 
-def test_op2_spells_unknown_words(spark):
-    rows = [(1, "the other then"), (2, "the then"), (10, "thenthe"), (11, "\u00e9q" * 20), (12, "the thenthe thenthe")]
+
+def test_op2_reads_order_and_unknown_words(spark):
+    rows = [(i, "the cat sat on the mat and the dog sat on the rug") for i in range(4)] + [(10, "the cat sat on the rug"), (11, "rug the on sat cat the"), (12, "the cats"), (13, "the qqzx"), (14, "the " + "qqzx" * 3000)]
     got = {r.doc_id: r for r in op2.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") >= 10).collect()}
-    words = Counter(w.encode() for i, t in rows if i < 10 for w in t.split())
-    tree = op2.fit(spark.createDataFrame(list(words.items()), "word binary, count long"), 2)
-    for i, text in rows:
-        assert got[i].score == pytest.approx(tree.log10([w.encode() for w in text.split()]).sum() + tree.log10_of(op2.TEXT_END))
-    assert got[10].n_known == got[11].n_known and got[10].score > got[11].score + 10
+    assert got[10].score > got[11].score + 1 and got[10].base_score == pytest.approx(got[11].base_score)
+    assert got[12].score > got[13].score > got[14].score + 1000 and got[12].n_known == got[14].n_known == 2
+
+
+def test_op2_beats_its_base_where_all_words_are_known(spark):
+    rows = [r for r in op2.op2_lm_scoring(spark, "/root/testdata/sf0.01").collect() if r.held_out and r.n_known == r.n_tokens]
+    assert len(rows) > 20 and sum(r.score for r in rows) > 0.7 * sum(r.base_score for r in rows)
+
+
+def test_op2_spelling_is_a_distribution_and_bounded():
+    words = [b"the", b"then", b"other", b"zz"]
+    tree = spelling.Tree.build(*spelling.transitions(words, 1))
+    assert tree.log10([b"the"])[0] > tree.log10([b"teh"])[0]
+    for before in (b"", b"t", b"th", b"othe", b"q"):
+        places = np.arange(1, len(before) + 2)
+        known = tree.of_symbols(np.array([*before], np.int64), places[:-1]).sum()
+        total = sum(10 ** (tree.of_symbols(np.array([*before, s], np.int64), places).sum() - known) for s in range(spelling.SYMBOLS))
+        assert total == pytest.approx(1.0)
 
 
 PAGES = [
