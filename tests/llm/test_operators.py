@@ -8,6 +8,7 @@ import math
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 from itertools import chain
@@ -252,6 +253,44 @@ def test_op3(spark):
     assert op3.extract_pages(pages.limit(0)).count() == 0
 
 
+LEAD = "<p>A long enough text stands here, to win.<p>And another one of words."
+LEAD_TEXT = "A long enough text stands here, to win. And another one of words."
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f"<body><div class='layout has-sidebar'><nav>x</nav><div>{LEAD}</div></div>", LEAD_TEXT),
+        (f"<body><form id=aspnet><nav>x</nav><div>{LEAD}</div></form>", LEAD_TEXT),
+        (f"<body><div id='content-with-header'>{LEAD}</div>", LEAD_TEXT),
+        (f"<body><div class=sidebar>{LEAD}</div><div class=advert>buy</div>", LEAD_TEXT),
+        (f"<article><div class='post-header'><h1>Title</h1></div>{LEAD}</article>", f"Title {LEAD_TEXT}"),
+        (f"<body><div id=w><div id=t><h1>Title</h1></div><div id=b>{LEAD}</div></div><div class=share>s</div>", f"Title {LEAD_TEXT}"),
+        (f"<main><article><h1>T</h1>{LEAD}</article><article class=c><p>nice one</article></main>", f"T {LEAD_TEXT}"),
+        (f"<article>{LEAD}<article><p>nice one</article></article>", LEAD_TEXT),
+        ("<body><div id=text><p>A text of some words stands here.</div><div id=comments><p>a long comment stands here which is longer than the text, really<p>and another one that is long as well</div>", "A text of some words stands here."),
+        ("<div><ul>" + "<li><a href=x>a long enough label of a link</a>" * 30 + f"</ul><div>{LEAD}</div></div>", LEAD_TEXT),
+        ("a < b and <3 c &#99999999999; &lt;x <a href='q>z</a> y", "a < b and <3 c \ufffd <x z y"),
+    ],
+)
+def test_op3_density_decides(html, text):
+    assert op3.extract(html) == text
+
+
+def test_op3_reads_long_and_deep_pages_in_linear_time():
+    began = time.perf_counter()
+    for html in ("<a " * 350_000, "<div>" * 50_000 + "x", "<b>" * 50_000 + "</i>" * 50_000, "<a \"' >" * 50_000, "<p><b>" * 50_000, "<!-- -->" * 50_000, "&#" + "1" * 100_000):
+        op3.extract(html)
+    assert time.perf_counter() - began < 30
+    assert op3.extract("<article><p>" + "word " * 400_000 + "</article>") == ("word " * 400_000).strip()
+
+
+def test_op3_repeated_rows_and_null_columns(spark):
+    rows = [(1, "u", PAGES[0][0])] * 3 + [(None, None, PAGES[0][0]), (None, None, None)]
+    got = op3.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert Counter(map(tuple, got)) == Counter([(1, "u", PAGES[0][1], len(PAGES[0][1]))] * 3 + [(None, None, PAGES[0][1], len(PAGES[0][1])), (None, None, "", 0)])
+
+
 def test_op3_on_the_pages(spark):
     from html import unescape
 
