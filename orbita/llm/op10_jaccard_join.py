@@ -3,17 +3,21 @@
 Sets are dealt to size bands of ratio 1.25 and compared in spaces of two neighbouring bands. In a space that allows at
 most d differing shingles a set is sketched as p > d parts; a shingle's hash picks its part and is XORed into it, so a
 shingle more or less changes one part and the number of differing parts is at most the symmetric difference. Two
-linked sets thus agree in at least p - d parts, and a join on equal parts finds them. Empty parts say nothing: a set
-with p - d or more of them also sends its prefix (its least hashes, enough that linked sets share one); two linked sets
-that agree in empty parts only are both such sets.
-
-Sets that share a part are first compared with the least set there (a star, not all pairs): parity sketches of about
-as many bits as shingles rule out most chance meetings, texts decide. Then the parts whose sets still carry different
-labels are gone through: sets that sketches leave a possible partner of another label meet in a task, which verifies
-the nearest pairs first and skips pairs that links found so far connect. An eighth of the parts goes first, so that
-large groups of copies have one label before all parts are looked at; only the links found are sent on.
-
-Equal sets are one node from the start. A node is a 64-bit digest of its set. Null or empty texts have no shingles and
+linked sets thus agree in at least p - d parts, those that are empty in both included. A set with e empty parts may
+therefore leave out its p - d - e - 1 commonest parts, and linked sets still meet in one: passages that many documents
+share are left out without loss. A set with p - d or more empty parts also sends its single shingles, of which four
+fifths less one may be left out alike.
+
+How many sets hold a part is told by rounds of requests (see ``rounds``). Sets that still meet in a part of more than
+``MANY`` sets take part in a second join, on their rarest shingles: what is common even there makes up four fifths of a
+set. Sets that share a part are first compared with one set there (a star, not all pairs): parity sketches of about as
+many bits as shingles rule out most chance meetings, texts decide. Then the parts whose sets still carry different
+labels are gone through: sets that sketches leave a possible partner of another label meet in a task, which verifies the
+nearest pairs first and skips pairs that links found so far connect. Parts of more than ``MANY`` sets are dealt to
+blocks; only sets without the commonest label there go to all of them. An eighth of the parts goes first, so that large
+groups of copies have one label before all parts are looked at; only the links found are sent on.
+
+Equal sets are one node from the start. A node is a 128-bit digest of its set. Null or empty texts have no shingles and
 link with nothing; null doc_ids are the smallest id and give a null component only among themselves. Every row gives
 one row; other columns are not read; an empty table gives an empty result.
 """
@@ -24,21 +28,25 @@ import hashlib
 import zlib
 
 import numpy as np
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, partitions, saved, table
+from .blobs import counts, grouped, packed, ranges, uncounted, unpacked
+from .common import forget, map_rows, partitions, saved, table
 from .components import components
 from .hashing import mix, shingle_sets
+from .rounds import MESSAGE, TEXTS, columns, common_keys, each_chunk, message, place, to_buckets, to_chunks
 
 SHINGLE, PERCENT = 5, 80
-#: Bits of a part that are sent; what agrees by chance is verified like anything else.
-KEY_BITS = 48
-#: Members of one group that a task compares with each other; larger groups are compared block by block.
-BLOCK = 1000
+#: Keys in a chunk of sets, and keys of all sets for each bucket of the key space.
+CHUNK, BUCKET = 2_000_000, 8_000_000
+#: Sets of one part that a task compares with each other; larger groups are compared block by block.
+MANY = 1000
 #: So many ids (16 bytes each) are broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 NO_ID = -(2**63)
+KEYS = 1
 
 
 def band_edges(most: int = 1 << 40) -> list[int]:
@@ -51,9 +59,9 @@ def band_edges(most: int = 1 << 40) -> list[int]:
 EDGES = np.array(band_edges())
 
 
-def node_of(hashes: np.ndarray) -> int | None:
-    """A signed 64-bit digest of a set; none for the empty set."""
-    return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True) if len(hashes) else None
+def node_of(hashes: np.ndarray) -> bytes | None:
+    """A 128-bit digest of a set; none for the empty set."""
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest() if len(hashes) else None
 
 
 def allowed(space: int) -> int:
@@ -61,8 +69,13 @@ def allowed(space: int) -> int:
     return int(EDGES[space + 1] - 1) // 4
 
 
-def keys_of(hashes: np.ndarray) -> np.ndarray:
-    """The keys of a set's parts (and prefix) in its two spaces."""
+def needed(n: int) -> int:
+    """Shingles that a set of n has in common with any linked one, at least."""
+    return -(-n * PERCENT // 100)
+
+
+def parts_of(hashes: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """(keys, how many of the commonest may be left out) in a set's two spaces."""
     n, out = len(hashes), []
     band = int(np.searchsorted(EDGES, n, "right")) - 1
     for space in (band - 1, band):
@@ -75,11 +88,16 @@ def keys_of(hashes: np.ndarray) -> np.ndarray:
         part, seeded = part[order], seeded[order]
         first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
         parity = np.bitwise_xor.reduceat(seeded, first)
-        out.append(mix(parity + mix(part[first] + np.uint64(space << 40))))
-        if p - len(first) >= p - d:
-            prefix = hashes[: n - -(-n * PERCENT // 100) + 1]
-            out.append(mix(prefix ^ np.uint64((space << 1 | 1) << 48)))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        empty = p - len(first)
+        out.append((mix(parity + mix(part[first] + np.uint64(space << 40))), max(0, p - d - empty - 1)))
+        if empty >= p - d:
+            out.append((mix(hashes ^ np.uint64((space << 1 | 1) << 48)), needed(n) - 1))
+    return out
+
+
+def shingles_of(hashes: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """A set's shingles, of which any two linked sets have ``needed`` in common."""
+    return [(hashes, needed(len(hashes)) - 1)]
 
 
 def sketch_of(hashes: np.ndarray, times: int = 1) -> bytes:
@@ -110,17 +128,6 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * shared >= PERCENT * (len(a) + len(b) - shared) > 0
 
 
-def packed(numbers: np.ndarray) -> bytes:
-    """Sorted unsigned numbers as differences, byte planes and deflate."""
-    steps = np.diff(numbers, prepend=np.uint64(0)).astype("<u8")
-    return zlib.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
-
-
 def shingled(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, node, sketch) of every row."""
 
@@ -129,119 +136,132 @@ def shingled(docs: DataFrame) -> DataFrame:
             sets = shingle_sets(texts, SHINGLE)
             yield {"doc_id": ids, "n_shingles": [len(s) for s in sets], "node": [node_of(s) for s in sets], "sketch": [sketch_of(s) for s in sets]}
 
-    return map_rows(docs, ["doc_id", "text"], "doc_id long, n_shingles long, node long, sketch binary", work)
+    return map_rows(docs, ["doc_id", "text"], "doc_id long, n_shingles long, node binary, sketch binary", work)
 
 
-def posted(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, keys, nodes, at): the keys of some thousand sets, a row for each bucket; equal sets once."""
+def chunked(texts: DataFrame, keyed) -> DataFrame:
+    """Chunks of sets, equal ones once: nodes and what ``keyed`` lets them leave out (c), sorted keys (a) and whose they are (b)."""
+    parts = partitions(texts.sparkSession)
 
     def work(batches):
-        held: list[tuple[int, np.ndarray]] = []
-        seen: set[int] = set()
-
-        def flush():
-            out: dict[str, list] = {c: [] for c in ("bucket", "keys", "nodes", "at")}
-            if not held:
-                return out
-            nodes = np.array([h[0] for h in held], "<i8")
-            keys = np.concatenate([h[1] for h in held])
-            owner = np.repeat(np.arange(len(held), dtype=np.uint32), [len(h[1]) for h in held])
-            held.clear()
-            bucket = (keys >> np.uint64(KEY_BITS)) * np.uint64(buckets) >> np.uint64(64 - KEY_BITS)
-            value = keys & np.uint64((1 << KEY_BITS) - 1)
-            order = np.lexsort((value, bucket))
-            bucket, value, owner = bucket[order], value[order], owner[order]
-            first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else []
-            for a, b in zip(first, [*first[1:], len(bucket)], strict=True):
-                here, at = np.unique(owner[a:b], return_inverse=True)
-                out["bucket"].append(int(bucket[a]))
-                out["keys"].append(packed(value[a:b]))
-                out["nodes"].append(nodes[here].tobytes())
-                out["at"].append(zlib.compress(at.astype("<u4" if len(here) > 65535 else "<u2").tobytes(), 1))
-            return out
-
-        total = 0
-        for (texts,) in batches:
-            for s in shingle_sets(texts, SHINGLE):
+        task, k = TaskContext.get().partitionId(), 0
+        held: dict[bytes, list[tuple[np.ndarray, int]]] = {}
+        size = 0
+
+        def chunk():
+            owner = np.repeat(np.arange(len(held)), [len(x) for x in held.values()])
+            lists = [x for own in held.values() for x in own]
+            of = np.repeat(np.arange(len(lists)), [len(x) for x, _ in lists])
+            keys = np.concatenate([x for x, _ in lists]) if lists else np.zeros(0, np.uint64)
+            order = np.argsort(keys, kind="stable")
+            about = np.int64(len(held)).tobytes() + b"".join(held) + owner.astype("<i8").tobytes() + np.array([n for _, n in lists], "<i8").tobytes()
+            return message(*place(task, k, parts), TEXTS, 0, packed(keys[order]), counts(of[order]), zlib.compress(about, 1), len(keys))
+
+        for (texts_,) in batches:
+            for s in shingle_sets(texts_, SHINGLE):
                 node = node_of(s)
-                if node is None or node in seen:
-                    continue
-                seen.add(node)
-                keys = keys_of(s)
-                total += len(keys)
-                held.append((node, keys))
-            if total > 4_000_000:
-                yield flush()
-                seen.clear()
-                total = 0
-        yield flush()
-
-    return map_rows(docs, ["text"], "bucket long, keys binary, nodes binary, at binary", work)
-
-
-def runs(rows: list[tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys and nodes of one bucket, sorted and without repeats, and where each key begins."""
-    keys, nodes = [], []
-    for k, n, at in rows:
-        own = np.frombuffer(n, "<i8")
-        keys.append(unpacked(k))
-        nodes.append(own[np.frombuffer(zlib.decompress(at), "<u4" if len(own) > 65535 else "<u2")])
-    key, node = np.concatenate(keys), np.concatenate(nodes)
-    order = np.lexsort((node, key))
-    key, node = key[order], node[order]
-    new = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))
-    key, node = key[new], node[new]
-    return key, node, np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-
-
-def met(posts: DataFrame) -> DataFrame:
-    """Where sets share a part: (a, b), each with the least set there, and members where they are three or more; each once for the bucket."""
-    sent = posts.repartition(partitions(posts.sparkSession), "bucket").sortWithinPartitions("bucket")
-
-    def of(rows):
-        key, node, first = runs(rows)
-        end = np.concatenate((first[1:], [len(key)]))
-        center = np.repeat(node[first], end - first)
-        off = center != node
-        pairs = np.unique(np.stack((center[off], node[off]), 1), axis=0)
-        groups = sorted({node[a:b].tobytes() for a, b in zip(first[end - first > 2].tolist(), end[end - first > 2].tolist(), strict=True)})
-        return {"a": pairs[:, 0].tolist() + [None] * len(groups), "b": pairs[:, 1].tolist() + [None] * len(groups), "members": [None] * len(pairs) + [np.frombuffer(g, "<i8").tolist() for g in groups]}
+                if node is not None and node not in held:
+                    held[node] = keyed(s)
+                    size += sum(len(x) for x, _ in held[node])
+            if size >= CHUNK:
+                yield columns([chunk()])
+                held, size, k = {}, 0, k + 1
+        if held:
+            yield columns([chunk()])
+
+    return map_rows(texts, ["text"], MESSAGE, work)
+
+
+def chunk_keys(a: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A chunk's distinct keys, and which of them each of its sorted keys is."""
+    return np.unique(unpacked(a), return_inverse=True)
+
+
+def postings(texts: DataFrame, keyed) -> DataFrame:
+    """(key, node, n) of all sets, saved: the keys that n > 1 sets hold, without what each set may leave out."""
+    chunks = saved(chunked(texts, keyed))
+    total = chunks.agg(F.sum("n")).first()[0] or 0
+    buckets = max(partitions(texts.sparkSession), -(-total // BUCKET))
+
+    def ask(batches):
+        for src, at, a in batches:
+            for x, y, blob in zip(src, at, a, strict=True):
+                keys, of = chunk_keys(blob)
+                held = np.bincount(of, minlength=len(keys))
+                yield columns([message(x, y, KEYS, bucket, packed(keys[s]), counts(held[s])) for bucket, s in ranges(keys, buckets)])
+
+    def answer(batches):
+        for (dest,), rows in grouped(batches, 1):
+            keys, to = common_keys(rows)
+            held = np.bincount(np.concatenate(to), np.concatenate([uncounted(r[3]) for r in rows]), len(keys))
+            yield columns([message(src, at, KEYS, dest, counts(held[here])) for (src, at, *_), here in zip(rows, to, strict=True)])
+
+    asked = to_buckets(map_rows(chunks, ["src", "at", "a"], MESSAGE, ask))
+    answers = saved(map_rows(asked, ["dest", "src", "at", "a", "b", "c"], MESSAGE, answer))
+
+    def live(src, at, blobs, told):
+        keys, of = chunk_keys(blobs[0])
+        n = np.concatenate([uncounted(x) for x in told[KEYS]])[of] if len(of) else np.zeros(0, np.int64)
+        keys, lists = keys[of], uncounted(blobs[1])
+        about = zlib.decompress(blobs[2])
+        nodes = np.frombuffer(about, "<i8", 1)[0]
+        owner, out = np.frombuffer(about, "<i8", offset=8 + 16 * nodes).reshape(2, -1)
+        order = np.lexsort((keys, -n, lists))  # of each list the commonest first
+        of_list = lists[order]
+        first = np.flatnonzero(np.concatenate(([True], of_list[1:] != of_list[:-1]))) if len(order) else np.zeros(0, np.int64)
+        rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+        kept = order[(rank >= out[of_list]) & (n[order] > 1)]
+        whose = owner[lists[kept]]
+        return {"key": keys[kept].astype(np.int64).tolist(), "node": [about[8 + 16 * i : 24 + 16 * i] for i in whose.tolist()], "n": n[kept].tolist()}
+
+    out = saved(each_chunk(to_chunks(chunks, answers), "key long, node binary, n long", live).distinct())
+    forget(chunks, answers)
+    return out
 
-    def work(batches):
-        bucket, rows = None, []
-        for now, *blobs in batches:
-            for b, *blob in zip(now, *blobs, strict=True):
-                if b != bucket and rows:
-                    yield of(rows)
-                    rows = []
-                bucket = b
-                rows.append(tuple(blob))
-        if rows:
-            yield of(rows)
 
-    return map_rows(sent, ["bucket", "keys", "nodes", "at"], "a long, b long, members array<long>", work)
+def salted(rows: DataFrame) -> DataFrame:
+    """A part (key, n) in cells of about ``MANY`` rows: n is their number at least."""
+    return rows.withColumn("cell", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / MANY)).cast("int"))
+
+
+def cells(parts: DataFrame) -> DataFrame:
+    """A row for each cell of each part (key, n, ...)."""
+    return parts.withColumn("cell", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / MANY).cast("int") - 1)))
+
+
+def stars(posts: DataFrame) -> DataFrame:
+    """Distinct edges (a, b) from one set of each part, another for every part, to its others."""
+    least = posts.groupBy("key", "n").agg(F.min(F.struct(F.xxhash64("key", "node"), "node")).alias("least")).select("key", "n", F.col("least.node").alias("a"))
+    return salted(posts).join(cells(least), ["key", "n", "cell"]).where("a <> node").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+
+
+def with_shares(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, share, b), and (a, share): edges of a node with many are dealt to shares of about ``MANY``."""
+    spread = edges.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MANY).cast("int").alias("shares"))
+    broad = spread.where("shares > 1")
+    share = F.pmod(F.xxhash64("b"), F.coalesce("shares", F.lit(1))).cast("int").alias("share")
+    return edges.join(broad, "a", "left").select("a", share, "b"), spread.select("a", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
 
 
 def likely(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """The edges (a, b) that sketches do not rule out."""
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
-    both = edges.join(side("a"), "a").join(side("b"), "b")
+    dealt, centers = with_shares(edges)
+    both = dealt.join(side("b"), "b").join(centers.join(side("a"), "a"), ["a", "share"])
 
     def work(batches):
         for a, b, n, s, m, t in batches:
             keep = [near(*x) for x in zip(n, s, m, t, strict=True)]
             yield {"a": [x for x, k in zip(a, keep, strict=True) if k], "b": [x for x, k in zip(b, keep, strict=True) if k]}
 
-    return map_rows(both, ["a", "b", "n_a", "s_a", "n_b", "s_b"], "a long, b long", work)
+    return map_rows(both, ["a", "b", "n_a", "s_a", "n_b", "s_b"], "a binary, b binary", work)
 
 
 def verified_stars(edges: DataFrame, texts: DataFrame) -> DataFrame:
     """The edges (a, b) whose sets are linked; a center with many edges is sent to several tasks."""
-    spread = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).select("a", F.ceil(F.col("n") / BLOCK).cast("int").alias("shares"))
-    salted = edges.join(spread, "a").select("a", F.col("b").alias("node"), F.pmod(F.xxhash64("b"), "shares").cast("int").alias("share"), F.lit(1).alias("role"))
-    centers = spread.select("a", F.col("a").alias("node"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("role"))
-    rows = salted.unionByName(centers).join(texts, "node").select("a", "share", "role", "node", "text")
-    sent = rows.repartition(partitions(edges.sparkSession), "a", "share").sortWithinPartitions("a", "share", "role")
+    dealt, centers = with_shares(edges)
+    rows = dealt.select("a", "share", F.col("b").alias("node"), F.lit(1).alias("role")).unionByName(centers.select("a", "share", F.col("a").alias("node"), F.lit(0).alias("role")))
+    sent = rows.join(texts, "node").select("a", "share", "role", "node", "text").repartition(partitions(edges.sparkSession), "a", "share").sortWithinPartitions("a", "share", "role")
 
     def work(batches):
         center, own = None, None
@@ -255,49 +275,47 @@ def verified_stars(edges: DataFrame, texts: DataFrame) -> DataFrame:
                     out["b"].append(y)
             yield out
 
-    return map_rows(sent, ["a", "share", "role", "node", "text"], "a long, b long", work)
+    return map_rows(sent, ["a", "share", "role", "node", "text"], "a binary, b binary", work)
 
 
-def unsettled(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(g, i, j, node, label) of sets that sketches leave a possible partner of another label in their group (g, node, label).
+def unsettled(posts: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(key, block, node, label) of sets that sketches leave a possible partner of another label in a part's block.
 
-    Blocks of a large group meet in pairs (i, j).
+    A part of up to ``MANY`` sets is one block. Of a larger one each set stands in its own block, and those that do not
+    have the commonest label there in all blocks.
     """
-    groups = members.groupBy("g").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y").select("g", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    rows = members.join(groups, "g").join(nodes.select("node", "n_shingles", "sketch"), "node").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "label", "n_shingles", "sketch")
+    labelled = saved(posts.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label")))
+    mixed = labelled.groupBy("key", "n").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("held"), F.bit_xor(F.xxhash64("node")).alias("s"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("t")).where("x <> y")
+    # parts of the same sets are gone through once
+    once = saved(mixed.groupBy("held", "s", "t").agg(F.min(F.struct("key", "n")).alias("part")).select("part.key", "part.n", F.ceil(F.col("held") / MANY).cast("int").alias("blocks")))
+    of_label = salted(labelled).join(cells(once.where("blocks > 1")), ["key", "n", "cell"]).groupBy("key", "n", "label").agg(F.count(F.lit(1)).alias("held"))
+    commonest = of_label.groupBy("key", "n").agg(F.max(F.struct("held", "label")).alias("top")).select("key", "n", F.col("top.label").alias("common"))
+    own = F.array(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    blocks = F.when((F.col("blocks") == 1) | (F.col("label") == F.col("common")), own).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rows = salted(labelled).join(cells(once.join(commonest, ["key", "n"], "left")), ["key", "n", "cell"]).select("key", F.explode(blocks).alias("block"), "node", "label")
+    rows = rows.join(nodes.select("node", "n_shingles", "sketch"), "node")
 
     def of(task, held):
         rows = [held[k] for k in sorted({x for pair in crossing([(r[1], r[2], r[3]) for r in held]) for x in pair[1:]})]
-        g, i, j = task
-        return {"g": [g] * len(rows), "i": [i] * len(rows), "j": [j] * len(rows), "node": [r[0] for r in rows], "label": [r[1] for r in rows]}
+        return {"key": [task[0]] * len(rows), "block": [task[1]] * len(rows), "node": [r[0] for r in rows], "label": [r[1] for r in rows]}
 
-    return by_task(rows, ["node", "label", "n_shingles", "sketch"], "g long, i int, j int, node long, label long", of)
+    return by_task(rows, ["node", "label", "n_shingles", "sketch"], "key long, block int, node binary, label binary", of)
 
 
-def by_task(rows: DataFrame, columns: list[str], schema: str, of) -> DataFrame:
-    """``of`` the task (g, i, j) and its rows."""
-    sent = rows.repartition(partitions(rows.sparkSession), "g", "i", "j").sortWithinPartitions("g", "i", "j", "node")
+def by_task(rows: DataFrame, more: list[str], schema: str, of) -> DataFrame:
+    """``of`` the task (key, block) and its rows."""
+    sent = rows.repartition(partitions(rows.sparkSession), "key", "block").sortWithinPartitions("key", "block", "node")
 
     def work(batches):
-        now, held = None, []
-        for g, i, j, *rest in batches:
-            for x, y, z, *row in zip(g, i, j, *rest, strict=True):
-                if (x, y, z) != now and held:
-                    yield of(now, held)
-                    held = []
-                now = (x, y, z)
-                held.append(row)
-        if held:
-            yield of(now, held)
+        for task, held in grouped(batches, 2):
+            yield of(task, held)
 
-    return map_rows(sent, ["g", "i", "j", *columns], schema, work)
+    return map_rows(sent, ["key", "block", *more], schema, work)
 
 
-def crossing(rows: list[tuple[int, int, bytes]]) -> list[tuple[int, int, int]]:
+def crossing(rows: list[tuple[bytes, int, bytes]]) -> list[tuple[int, int, int]]:
     """(Hamming distance, place, place) of rows (label, size, sketch) with different labels that may be linked, the nearest first."""
-    label, n = (np.array([r[k] for r in rows], np.int64) for k in range(2))
+    label, n = np.unique([r[0].hex() for r in rows], return_inverse=True)[1], np.array([r[1] for r in rows], np.int64)
     words = min(len(r[2]) for r in rows) // 8
     sketch = np.stack([folded(r[2], words) for r in rows])
     out = []
@@ -330,14 +348,35 @@ def settled(rows: DataFrame, texts: DataFrame) -> DataFrame:
                 b.append(held[j][0])
         return {"a": a, "b": b}
 
-    return by_task(rows.join(texts, "node"), ["node", "label", "text"], "a long, b long", of)
+    return by_task(rows.join(texts, "node"), ["node", "label", "text"], "a binary, b binary", of)
 
 
 def texts_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, text) of all wanted sets (node). Few enough ids are broadcast, so that no other text is shuffled."""
-    speaks = saved(nodes.join(wanted.select("node").distinct(), "node").select("node", "id"))
-    speaks = F.broadcast(speaks) if speaks.count() <= BROADCAST_IDS else speaks
-    return with_nodes(docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text").join(speaks, "id").select("node", "text")).dropDuplicates(["node"])
+    """(node, text) of all wanted sets (node), once each. Few enough ids are broadcast, so that no other text is shuffled."""
+    wanted = saved(nodes.join(wanted.select("node").distinct(), "node").select("node", "id"))
+    ids = wanted.select("id").distinct()
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    # a doc_id may stand for several texts: their sets are told apart by their nodes
+    found = with_nodes(docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text").join(ids, "id", "left_semi"))
+    return found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
+
+
+def with_nodes(texts: DataFrame) -> DataFrame:
+    def work(batches):
+        for (text,) in batches:
+            yield {"node": [node_of(s) for s in shingle_sets(text, SHINGLE)], "text": text}
+
+    return map_rows(texts, ["text"], "node binary, text string", work)
+
+
+def star_links(posts: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (a, b) between the sets of each part and one of them, saved."""
+    met = saved(stars(posts))
+    edges = saved(likely(met, nodes))
+    forget(met)
+    links = saved(verified_stars(edges, texts_of(docs, nodes, edges.select(F.explode(F.array("a", "b")).alias("node")))))
+    forget(edges)
+    return links
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -345,35 +384,27 @@ def classes(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     each = saved(shingled(docs))
     nodes = saved(each.where("node IS NOT NULL").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("id")))
-    meetings = saved(met(posted(docs, partitions(docs.sparkSession))))
-    edges = saved(likely(meetings.where("members IS NULL").select("a", "b").distinct(), nodes))
-    links = saved(verified_stars(edges, texts_of(docs, nodes, edges.select(F.explode(F.array("a", "b")).alias("node")))))
+    posts = postings(docs, parts_of)
+    links = star_links(posts, docs, nodes)
+    hot = posts.where(F.col("n") > MANY).select("node")
+    if not hot.isEmpty():
+        rarest = postings(texts_of(docs, nodes, hot), shingles_of)
+        links = links.unionByName(star_links(rarest, docs, nodes))
+        posts = posts.where(F.col("n") <= MANY).unionByName(rarest)
     labels = components(links)
-    groups = saved(meetings.where("members IS NOT NULL").select("members").distinct().select(F.xxhash64("members").alias("g"), F.explode("members").alias("node")))
-    for part in (groups.where(F.pmod("g", F.lit(8)) == 0), groups):
-        labelled = part.join(labels, "node", "left").select("g", "node", F.coalesce("label", "node").alias("label"))
-        rows = saved(unsettled(saved(labelled), nodes))
+    for part in (posts.where(F.pmod(F.xxhash64("key"), F.lit(8)) == 0), posts):
+        rows = saved(unsettled(part, labels, nodes))
         if not rows.isEmpty():
             links = links.unionByName(saved(settled(rows, texts_of(docs, nodes, rows))))
             labels = components(links)
+        forget(rows)
     return each.join(labels, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("label", "node").alias("class"))
 
 
-def with_nodes(texts: DataFrame) -> DataFrame:
-    """Keep a row where the text really has the node: a doc_id may stand for several texts."""
-
-    def work(batches):
-        for nodes, text in batches:
-            keep = [n == node_of(s) for n, s in zip(nodes, shingle_sets(text, SHINGLE), strict=True)]
-            yield {"node": [n for n, k in zip(nodes, keep, strict=True) if k], "text": [t for t, k in zip(text, keep, strict=True) if k]}
-
-    return map_rows(texts, ["node", "text"], "node long, text string", work)
-
-
 def linked_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     each = saved(classes(docs))
-    least = each.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
+    least = each.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("held")).where("held > 1")
     return each.join(least, "class", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 

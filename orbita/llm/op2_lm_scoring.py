@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from .blobs import counts, grouped, packed, ranges, uncounted, unpacked
 from .common import crc_text, forget, map_rows, partitions, saved, table
 from .hashing import LOWER, Words, mix
+from .rounds import MESSAGE, TEXTS, columns, common_keys, each_chunk, message, place, to_buckets, to_chunks
 from .spelling import Tree, retained, transitions
 
 DEPTH, LEAST, DIVERGENCE = 2, 2, 2.0
@@ -39,17 +40,7 @@ CHUNK, BUCKET = 1_000_000, 4_000_000
 START, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Kinds of rows: a chunk itself, words, word sequences, transitions of spelled words, contexts.
-TEXTS, WORDS, SEQUENCES, SPELLED, CONTEXTS = range(5)
-MESSAGE = "src long, at int, kind int, dest int, a binary, b binary, c binary, n long"
-
-
-def message(src, at, kind, dest, a, b=None, c=None, n=0) -> tuple:
-    return src, at, kind, dest, a, b, c, n
-
-
-def columns(rows: list[tuple]) -> dict:
-    names = [f.split()[0] for f in MESSAGE.split(", ")]
-    return dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)) if rows else {name: [] for name in names}
+WORDS, SEQUENCES, SPELLED, CONTEXTS = range(1, 5)
 
 
 def chunked(docs: DataFrame) -> DataFrame:
@@ -73,7 +64,7 @@ def chunked(docs: DataFrame) -> DataFrame:
             valid = np.array([i is not None for i in ids], np.uint8)
             about = lengths.astype("<u4").tobytes() + apart.astype(np.uint8).tobytes() + valid.tobytes() + np.array([i or 0 for i in ids], "<i8").tobytes()
             trained = int((lengths + 1)[~apart].sum())
-            return message(task << 24 | k, (task + 7919 * k) % parts, TEXTS, int((~apart).sum()), zlib.compress(b" ".join([words[i] for i in first[order].tolist()]), 1), counts(rank[numbers]), zlib.compress(about, 1), trained)
+            return message(*place(task, k, parts), TEXTS, int((~apart).sum()), zlib.compress(b" ".join([words[i] for i in first[order].tolist()]), 1), counts(rank[numbers]), zlib.compress(about, 1), trained)
 
         size = 0
         for ids, texts, apart in batches:
@@ -186,8 +177,6 @@ class Chunk:
 
 def answered(requests: DataFrame, spellings: int) -> DataFrame:
     """Each request's keys with what all chunks hold of them; of a bucket of words also how words are spelled, for ``spellings`` tasks."""
-    sent = requests.repartitionById(partitions(requests.sparkSession), F.expr(f"pmod(dest, {partitions(requests.sparkSession)})")).sortWithinPartitions("dest", "kind", "src")
-
     def of_words(dest, rows):
         words, held = [zlib.decompress(a).split(b" ") for *_, a, _, _ in rows], {}
         for own, (*_, b, _) in zip(words, rows, strict=True):
@@ -201,40 +190,20 @@ def answered(requests: DataFrame, spellings: int) -> DataFrame:
             yield columns([message(dest, s, SPELLED, s, packed(codes[share == s]), counts(n[share == s])) for s in np.unique(share).tolist()])
 
     def added(dest, kind, rows):
-        keys = [unpacked(a) for *_, a, _, _ in rows]
-        unique, to = np.unique(np.concatenate(keys), return_inverse=True)
+        keys, to = common_keys(rows)
+        total = lambda values: np.bincount(np.concatenate(to), np.concatenate(values), len(keys))
         if kind == SEQUENCES:
-            out = np.bincount(to, np.concatenate([uncounted(b) for *_, b, _ in rows]), len(unique))
+            out = total([uncounted(b) for *_, b, _ in rows])
         else:
-            gain, kinds = (np.bincount(to, np.concatenate([np.frombuffer(r[i], "<f4") for r in rows]), len(unique)) for i in (3, 4))
+            gain, kinds = (total([np.frombuffer(r[i], "<f4") for r in rows]) for i in (3, 4))
             out = np.where(gain >= DIVERGENCE * kinds, np.maximum(np.rint(kinds), 0), 0)
-        end = np.cumsum([0, *map(len, keys)])
-        yield columns([message(src, at, kind, dest, counts(out[to[a:b]])) for (src, at, *_), a, b in zip(rows, end[:-1], end[1:], strict=True)])
+        yield columns([message(src, at, kind, dest, counts(out[here])) for (src, at, *_), here in zip(rows, to, strict=True)])
 
     def work(batches):
         for (dest, kind), rows in grouped(batches, 2):
             yield from of_words(dest, rows) if kind == WORDS else added(dest, kind, rows)
 
-    return map_rows(sent, ["dest", "kind", "src", "at", "a", "b", "c"], MESSAGE, work)
-
-
-def with_answers(*tables: DataFrame) -> DataFrame:
-    """The rows of each chunk together: its texts, then the answers in the order of its keys."""
-    rows = tables[0]
-    for more in tables[1:]:
-        rows = rows.unionByName(more)
-    return rows.repartitionById(partitions(rows.sparkSession), "at").sortWithinPartitions("src", "kind", "dest").select("src", "at", "kind", "a", "b", "c")
-
-
-def each_chunk(rows: DataFrame, schema: str, of) -> DataFrame:
-    def work(batches):
-        for (src, at), own in grouped(batches, 2):
-            answers: dict[int, list[bytes]] = {}
-            for kind, a, _, _ in own[1:]:
-                answers.setdefault(kind, []).append(a)
-            yield of(src, at, Chunk(*own[0][1:]), answers)
-
-    return map_rows(rows, ["src", "at", "kind", "a", "b", "c"], schema, work)
+    return map_rows(to_buckets(requests), ["dest", "kind", "src", "at", "a", "b", "c"], MESSAGE, work)
 
 
 def spelling(spelled: DataFrame) -> Tree:
@@ -271,17 +240,19 @@ def lm_scores(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
     tree = spark.sparkContext.broadcast(spelling(first.where(F.col("kind") == SPELLED)))
     first = first.where(F.col("kind") != SPELLED)
 
-    def diverge(src, at, chunk, answers):
+    def diverge(src, at, blobs, answers):
+        chunk = Chunk(*blobs)
         chunk.told(answers, tokens, texts)
         return columns([message(src, at, *row) for row in chunk.diverged(buckets)])
 
-    second = saved(answered(each_chunk(with_answers(chunks, first), MESSAGE, diverge), parts))
+    second = saved(answered(each_chunk(to_chunks(chunks, first), MESSAGE, diverge), parts))
 
-    def score(src, at, chunk, answers):
+    def score(src, at, blobs, answers):
+        chunk = Chunk(*blobs)
         chunk.told(answers, tokens, texts)
         return chunk.scores(answers, tree.value, tokens, distinct)
 
-    return each_chunk(with_answers(chunks, first, second), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double", score)
+    return each_chunk(to_chunks(chunks, first, second), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double", score)
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -478,18 +478,58 @@ def test_op10_on_random_sets(spark):
 
 def test_op10_keys_never_lose_a_link():
     rng = np.random.default_rng(0)
+
+    def kept(s, keyed, turn):
+        """The keys without as many of the commonest as may be left out; a hash stands for how many sets hold a key."""
+        out = []
+        for keys, leave in keyed(s):
+            order = np.argsort(hashing.mix(keys + np.uint64(turn)))
+            out.append(keys[order[leave:]])
+        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
     for n in (4, 5, 7, 11, 20, 33, 70, 150, 400):
-        for _ in range(40):
+        for turn in range(40):
             a = np.unique(rng.integers(0, 1 << 62, n, dtype=np.uint64))
             b = a.copy()
             gone = rng.choice(len(b), int(rng.integers(0, n // 9 + 2)), replace=False)
             b[gone] = rng.integers(0, 1 << 62, len(gone), dtype=np.uint64)
             b = np.unique(b)
             if op10.linked(a, b) and not np.array_equal(a, b):
-                assert len(np.intersect1d(op10.keys_of(a), op10.keys_of(b)))
+                for keyed in (op10.parts_of, op10.shingles_of):
+                    assert len(np.intersect1d(kept(a, keyed, turn), kept(b, keyed, turn)))
                 assert op10.near(len(a), op10.sketch_of(a), len(b), op10.sketch_of(b))
 
 
+def test_op10_hot_parts(spark, monkeypatch):
+    """Passages, near copies of one text and a third of all rows in one part, in blocks of a few sets."""
+    monkeypatch.setattr(op10, "MANY", 6)
+    rng, rows = random.Random(5), []
+    passage, base = [f"p{j}" for j in range(60)], [f"b{j}" for j in range(50)]
+    for i in range(60):
+        rows.append((i, " ".join(passage + [f"o{i}_{j}" for j in range(rng.choice([5, 9, 20, 60]))])))
+    for i in range(60):
+        own = list(base)
+        for at in rng.sample(range(50), rng.choice([0, 1, 1, 2])):
+            own[at] = f"n{i}_{at}"
+        rows.append((1000 + i, " ".join(own)))
+    for i in range(30):  # two families that only differ in their last quarter
+        rows.append((2000 + i, " ".join(passage + [f"f{i % 2}_{j}" for j in range(12 + i % 3)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert ordered(map(tuple, op10.linked_documents(df).collect())) == ordered(brute_components(rows))
+
+
+def test_op10_many_null_ids(spark):
+    rows = [(None if i % 2 else i, f"some words of a text that goes on with number {i // 4} and ends here x{i % 4 // 2}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = op10.linked_documents(df).collect()
+    assert ordered((r.doc_id, r.component_id) for r in got) == ordered((i, k - k % 4) for k, (i, _) in enumerate(rows))
+
+
+def test_op10_keep_one(spark, docs, none):
+    want = {c for i, n, c in brute_components(ROWS)}
+    assert {r.doc_id for r in op10.keep_one(docs).collect()} == want and op10.keep_one(none).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
