@@ -6,7 +6,7 @@ import base64
 import json
 import struct
 from collections.abc import Callable
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from heapq import heapify, heappop, heappush
 from itertools import chain
 
@@ -328,6 +328,8 @@ class WordEncoder:
         self.odd = re.compile("[\x1c-\x1f]").search
         self.blank = re.compile(f"[{WHITE}]+").split
         self.nfc = unicodedata.normalize
+        self.path = path
+        self.strange = re.compile(strange_letters()).search
         self.counts, self.word_counts = Memo(self._count), Memo(lambda w: count_after_merges(self.symbols(w), self.ranks, self.merged))
         self.ids, self.word_ids = Memo(self._ids), Memo(self._word_ids)
         self.lockstep = Lockstep(self.ranks, self.merged)
@@ -339,14 +341,24 @@ class WordEncoder:
         return out
 
     def _count(self, chunk: str) -> int:
-        return sum(map(self.word_counts.__getitem__, self.words(chunk)))
+        return sum(map(self.word_counts.__getitem__, self.split(chunk)))
+
+    def split(self, chunk: str) -> list[str]:
+        """The words of a chunk; a chunk with a strange letter is one."""
+        return [chunk] if not chunk.isascii() and self.strange(chunk) else self.words(chunk)
+
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     def _word_ids(self, word: str) -> bytes:
         out = merge(self.symbols(word), self.ranks, self.merged)
         return struct.pack(f"<{len(out)}I", *out)
 
     def _ids(self, chunk: str) -> bytes:
-        found = self.words(chunk)
+        found = self.split(chunk)
         return self.word_ids[found[0]] if len(found) == 1 else b"".join(map(self.word_ids.__getitem__, found))
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
@@ -359,7 +371,7 @@ class WordEncoder:
         for own in chunks:
             fresh.update(own or ())
         fresh.difference_update(ids)
-        found = {c: self.words(c) for c in fresh if c not in old_ids}
+        found = {c: self.split(c) for c in fresh if c not in old_ids}
         new = {w for own in found.values() for w in own if w not in words and w not in old_words and len(w) <= Lockstep.LONGEST // 4}
         new = sorted(new)
         for begin in range(0, len(new), 8192):
@@ -370,8 +382,11 @@ class WordEncoder:
         return [self.encode(text) if own is None else b"".join([ids[c] for c in own]) for text, own in zip(texts, chunks, strict=True)]
 
     def chunks(self, text: str) -> list[str]:
-        """Lower-cased stretches between white space; no word of the pattern crosses it."""
+        """Lower-cased stretches between white space, no word of the pattern crosses it; single words, as the library tells them, of a text with strange letters."""
         if not text.isascii():
+            if self.strange(text):
+                text = self.library.normalizer.normalize_str(text)
+                return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
             text = self.nfc("NFC", text).replace("Σ", "σ")  # each letter is lowered by itself, so no final sigma
         text = text.lower()
         return [x for x in self.blank(text) if x] if self.odd(text) else text.split()
@@ -392,6 +407,17 @@ class WordEncoder:
         return b"".join(struct.pack("<I", self.special[part]) if part in self.special else b"".join(map(self.ids.__getitem__, self.chunks(part))) for part in self.parts(text))
 
 
+@lru_cache(maxsize=1)
+def strange_letters() -> str:
+    """The letters of which Python's tables know less than the library's: those not assigned, and three whose order among marks differs."""
+    from unicodedata import category
+
+    unknown = [c for c in range(0x80, 0x32400) if category(chr(c)) == "Cn"] + [0x1DF6, 0x1E4EC, 0x1E4ED]
+    first = [c for c, before in zip(unknown, [-1, *unknown], strict=False) if c != before + 1]
+    last = [c for c, after in zip(unknown, [*unknown[1:], -1], strict=True) if after != c + 1]
+    return "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(first, last, strict=True)) + "]"
+
+
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte in byte-level vocabularies: itself where printable, else from U+0100 on."""
     plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}

@@ -95,3 +95,22 @@ def crc_text(doc_id: str | Column) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Rows of one key that a task takes; and so many keys are broadcast at most, more are joined by a shuffle.
+MANY, BROADCAST_KEYS = 1000, 1_000_000
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` left-joined with ``counted``, which has a row for each key and in ``held`` the number of its rows (or more).
+
+    The rows of a key with many are dealt to cells, so that no task holds them all.
+    """
+    cells = F.greatest(F.lit(1), F.ceil(F.col("held") / MANY)).cast("int")
+    heavy = saved(counted.where(F.col("held") > MANY).select(*keys, cells.alias("cells")))
+    n = heavy.count()
+    if not n:
+        return rows.join(counted.drop("held"), keys, "left")
+    heavy = F.broadcast(heavy) if n <= BROADCAST_KEYS else heavy
+    dealt = rows.join(heavy, keys, "left").withColumn("cell", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("cells", F.lit(1))).cast("int")).drop("cells")
+    return dealt.join(counted.withColumn("cell", F.explode(F.sequence(F.lit(0), cells - 1))).drop("held"), [*keys, "cell"], "left").drop("cell")

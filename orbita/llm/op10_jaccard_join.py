@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blobs import counts, grouped, packed, ranges, uncounted, unpacked
-from .common import forget, map_rows, partitions, saved, table
+from .common import forget, join_counted, map_rows, partitions, saved, table
 from .components import components
 from .hashing import mix, shingle_sets
 from .rounds import MESSAGE, TEXTS, columns, common_keys, each_chunk, message, place, to_buckets, to_chunks
@@ -379,11 +379,8 @@ def star_links(posts: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame
     return links
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, node, class): class is equal for documents that links connect; null without shingles."""
-    docs = docs.select("doc_id", "text")
-    each = saved(shingled(docs))
-    nodes = saved(each.where("node IS NOT NULL").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("id")))
+def node_labels(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, label) of the nodes that links connect to others; the label is equal for those of one component."""
     posts = postings(docs, parts_of)
     links = star_links(posts, docs, nodes)
     hot = posts.where(F.col("n") > MANY).select("node")
@@ -398,14 +395,21 @@ def classes(docs: DataFrame) -> DataFrame:
             links = links.unionByName(saved(settled(rows, texts_of(docs, nodes, rows))))
             labels = components(links)
         forget(rows)
-    return each.join(labels, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("label", "node").alias("class"))
+    return labels
 
 
 def linked_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
-    each = saved(classes(docs))
-    least = each.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("held")).where("held > 1")
-    return each.join(least, "class", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    docs = docs.select("doc_id", "text")
+    each = saved(shingled(docs))
+    of_node = each.where("node IS NOT NULL").groupBy("node")
+    nodes = saved(of_node.agg(F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("id"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("held")))
+    labelled = saved(nodes.select("node", "least", F.col("held").alias("rows")).join(node_labels(docs, nodes), "node", "left").withColumn("label", F.coalesce("label", "node")))
+    least = labelled.groupBy("label").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("held"))
+    components_ = join_counted(labelled.drop("least"), saved(least), ["label"]).select("node", "component_id", F.col("rows").alias("held"))
+    found = join_counted(each.where("node IS NOT NULL").drop("sketch"), saved(components_), ["node"])
+    without = each.where("node IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return found.select("doc_id", "n_shingles", "component_id").unionByName(without)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 A word's embedding is the sum of a row for its hash and a row for the hash of its first bytes. Filters of several
 widths slide over the words, each keeps its maximum over the text, and a linear layer makes a logit. A threshold for
-each language, which is told from the text's own function words, moves the logit so that 0.5 is the best cut there.
+each language, which is told from the text's own function words, moves the logit so that 0.5 is the best cut there. The
+weights are learnt from a bounded sample of the labelled rows, the thresholds from all others of them, counted by
+language, label and logit on the cluster.
 Neither labels nor the columns lang, source and doc_id are inputs of a score.
 
 Null texts count as empty; a text without words scores what the bias says. Labels that are null or of unknown
@@ -139,15 +141,13 @@ class Adam:
 
 
 def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed: int = SEED) -> Model:
-    """A fifth of the rows is kept from the weights and sets the thresholds."""
+    """The weights; thresholds are 0."""
     model, y = Model.new(seed), np.array(labels, np.float32)
     if not len(y) or y.min() == y.max():
         model.constant = float(y.mean()) if len(y) else 0.0
         return model
     rng, step = np.random.default_rng(seed), Adam()
-    order = rng.permutation(len(y))
-    own, apart = order[len(y) // 5 :], order[: len(y) // 5]
-    bias = np.zeros(1, np.float32)
+    own, bias = np.arange(len(y)), np.zeros(1, np.float32)
     for _ in range(max(epochs, STEPS // -(-len(own) // BATCH))):  # few rows are gone through more often
         own = rng.permutation(own)
         for begin in range(0, len(own), BATCH):
@@ -186,37 +186,73 @@ def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed
                     total[unique == 0] = 0
                     step(name, weights, total, unique)
     model.bias = float(bias[0])
-    calibrate(model, [texts[i] for i in apart], y[apart])
     return model
 
 
-def calibrate(model: Model, texts: list[str | None], y: np.ndarray) -> None:
-    """For each language the middle of the cuts with the least weighted share of errors; for few rows the common one."""
-    found = [(model.logits(t := prepare(texts[i : i + 512])), t.languages) for i in range(0, len(texts), 512)]
-    logits, languages = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+#: Logits are counted in steps of one of so many parts, between -LIMIT and LIMIT.
+STEP, LIMIT = 20, 40
 
-    def best(z: np.ndarray, labels: np.ndarray) -> float:
-        cuts = np.unique(z)
-        cuts = np.concatenate(([cuts[0] - 1], (cuts[1:] + cuts[:-1]) / 2, [cuts[-1] + 1]))
-        wrong = [(labels[z < c] == 1).sum() / max(1, (labels == 1).sum()) + CLEAN_WEIGHT * (labels[z >= c] == 0).sum() / max(1, (labels == 0).sum()) for c in cuts]
-        tied = cuts[np.isclose(wrong, min(wrong))]
-        return float((tied[0] + tied[-1]) / 2)
 
-    common = best(logits, y) if len(set(y.tolist())) == 2 else 0.0
+def thresholds(counted: list[tuple[int, int, int, int]]) -> np.ndarray:
+    """For each language the middle of the cuts with the least weighted share of errors, from counts (language, label, step, n); for few rows the common one."""
+
+    def best(rows: list[tuple[int, int, int]]) -> float:
+        held = np.zeros((2, 2 * STEP * LIMIT + 3))
+        for label, step, n in rows:
+            held[label, step + STEP * LIMIT + 1] += n
+        share = held / np.maximum(held.sum(1, keepdims=True), 1)
+        below = np.concatenate((np.zeros((2, 1)), np.cumsum(share, axis=1)[:, :-1]), axis=1)  # a cut stands at the lower end of its step
+        wrong = below[1] + CLEAN_WEIGHT * (1 - below[0]) * (held[0].sum() > 0)
+        tied = np.flatnonzero(np.isclose(wrong, wrong.min()))
+        return ((tied[0] + tied[-1]) / 2 - STEP * LIMIT - 1) / STEP
+
+    of = lambda label, rows: sum(n for y, _, n in rows if y == label)
+    all_ = [row[1:] for row in counted]
+    common = best(all_) if of(0, all_) and of(1, all_) else 0.0
+    out = np.full(len(LANGUAGES), common)
     for k in range(len(LANGUAGES)):
-        mine = languages == k
-        enough = mine.sum() >= 50 and min((y[mine] == 1).sum(), (y[mine] == 0).sum()) >= 10
-        model.thresholds[k] = best(logits[mine], y[mine]) if enough else common
+        mine = [row[1:] for row in counted if row[0] == k]
+        if of(0, mine) + of(1, mine) >= 50 and min(of(0, mine), of(1, mine)) >= 10:
+            out[k] = best(mine)
+    return out
+
+
+def logit_counts(rows: DataFrame, model: Model) -> DataFrame:
+    """(language, toxic, step, n) of rows (text, toxic): counted by each task, then over all."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+
+    def work(batches):
+        held: dict[tuple[int, int, int], int] = {}
+        for texts, labels in batches:
+            for i in range(0, len(texts), 64):
+                text = prepare(texts[i : i + 64])
+                step = np.floor(np.clip(sent.value.logits(text), -LIMIT, LIMIT) * STEP).astype(int)
+                for key in zip(text.languages.tolist(), labels[i : i + 64], step.tolist(), strict=True):
+                    held[key] = held.get(key, 0) + 1
+        language, label, step = (list(x) for x in zip(*held, strict=True)) if held else ([], [], [])
+        yield {"language": language, "toxic": label, "step": step, "n": list(held.values())}
+
+    counted = map_rows(rows, ["text", "toxic"], "language int, toxic int, step int, n long", work)
+    return counted.groupBy("language", "toxic", "step").agg(F.sum("n").alias("n"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learn from labelled rows whose crc32(doc_id as text) mod 5 is not 0: for each class the ``sample`` rows of least hash."""
+    """Learn from labelled rows whose crc32(doc_id as text) mod 5 is not 0.
+
+    The weights take for each class the ``sample`` rows of least hash, but every fifth; the thresholds all other rows.
+    """
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(crc_text("doc_id") % 5 != 0).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    one = lambda c: known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    picked = one(0).unionByName(one(1))
+    for_weights = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(5)) > 0
+    one = lambda c: known.where(for_weights & (F.col("toxic") == c)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    picked = one(0).unionByName(one(1)).collect()  # at most 2 * sample ids
+    picked = docs.sparkSession.createDataFrame(picked, "doc_id long, toxic int")
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select(F.xxhash64("doc_id").alias("h"), "text", "toxic").collect()  # at most 2 * sample labels
     rows.sort(key=lambda r: (r["h"], r["text"] or "", r["toxic"]))
-    return train([r["text"] for r in rows], [r["toxic"] for r in rows])
+    model = train([r["text"] for r in rows], [r["toxic"] for r in rows])
+    if model.constant is None:
+        others = docs.select("doc_id", "text").join(known.join(F.broadcast(picked.select("doc_id")), "doc_id", "left_anti"), "doc_id")
+        model.thresholds = thresholds([tuple(r) for r in logit_counts(others, model).collect()])  # bounded by languages and steps
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

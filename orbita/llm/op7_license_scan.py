@@ -1,12 +1,13 @@
 """Licence scan by a positional index of rare words, in DataFrame functions only.
 
-Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after A-Z became a-z. Over all documents the document frequency of every
-word of the templates is counted; each template is known by the two words of highest IDF in its mandatory key phrase
-and their offsets. In a document the places of such anchor words are looked up, template starts are intersected by relative position, the
-words there compared with the template, and a label given where the mandatory key phrase stands in full.
+Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after A-Z became a-z. Texts are read once: of each document the words that
+stand in some template are kept with their places, and written. From them the document frequency of every such word is
+counted, and postings are made: the word of highest IDF in each template's mandatory key phrase, and the next one, with
+template and offset. A document looks its words up in both postings; starts on which the two agree by relative position
+are verified on the whole key phrase, and scored by the share of the template's words that stand in their places.
 
 Null texts count as empty: no words, no places, null first_word and last_word, empty labels, score 0. Every row gives
-one row; columns besides doc_id and text are not read; an empty table gives an empty result.
+one row, also repeated ones; columns besides doc_id and text are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import saved, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -74,61 +75,88 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(f"({WORD})"), F.lit(1))
 
 
+#: A start's code: the template, the place of the key phrase's first word, and its number among the words kept.
+PLACE_BITS = 28
+
+
 def literal(words: list[str]) -> Column:
     return F.array(*map(F.lit, words))
 
 
-def idf(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> dict[str, float]:
-    """IDF over all documents of the templates' words: one row for each of them at most, whatever the table."""
+def kept_words(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
+    """(doc_id, n_words, at): the words of templates in a document with their places, in their order."""
     vocabulary = sorted({w for t in templates for w in t.words})
-    found = F.array_intersect(words_of(F.col("text")), literal(vocabulary))
-    counted = {r[0]: r[1] for r in docs.select(F.explode(F.concat(found, F.array(F.lit("")))).alias("word")).groupBy("word").count().collect()}
+    worded = docs.select("doc_id", words_of(F.col("text")).alias("words"))
+    at = F.array_compact(F.transform("words", lambda w, i: F.when(w.isin(vocabulary), F.struct(w.alias("word"), i.alias("place")))))
+    return worded.select("doc_id", F.size("words").cast("long").alias("n_words"), at.alias("at"))
+
+
+def idf(kept: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> dict[str, float]:
+    """IDF over all documents of the templates' words: one row for each of them at most, whatever the table."""
+    words = F.array_distinct(F.transform("at", lambda x: x["word"]))
+    counted = {r[0]: r[1] for r in kept.select(F.explode(F.concat(words, F.array(F.lit("")))).alias("word")).groupBy("word").count().collect()}
     total = counted.pop("", 0)
-    return {w: math.log((1 + total) / (1 + counted.get(w, 0))) for w in vocabulary}
+    return {w: math.log((1 + total) / (1 + counted.get(w, 0))) for w in sorted({w for t in templates for w in t.words})}
 
 
 def anchors(template: Template, weight: dict[str, float]) -> list[tuple[str, int]]:
-    """The two rarest words of the key phrase with their offsets, the rarest first; one for a phrase of one word."""
+    """The two rarest words of the key phrase with their offsets in it, the rarest first; twice the same for a phrase of one word."""
     first, n = template.key
-    ranked = sorted(range(first, first + n), key=lambda i: (-weight[template.words[i]], i))
-    return [(template.words[i], i) for i in ranked[:2]]
+    ranked = sorted(range(n), key=lambda i: (-weight[template.words[first + i]], i))
+    return [(template.words[first + i], i) for i in (ranked * 2)[:2]]
+
+
+def postings(templates: tuple[Template, ...], weight: dict[str, float], which: int) -> Column:
+    """A map from the first or second anchor words to their (template, offset)."""
+    entries: dict[str, list[Column]] = {}
+    for k, t in enumerate(templates):
+        word, offset = anchors(t, weight)[which]
+        entries.setdefault(word, []).append(F.struct(F.lit(k).cast("long").alias("template"), F.lit(offset).alias("offset")))
+    return F.create_map(*[x for word, own in entries.items() for x in (F.lit(word), F.array(*own))])
+
+
+def matched(kept: DataFrame, templates: tuple[Template, ...], weight: dict[str, float]) -> DataFrame:
+    """(doc_id, n_words, found): array<struct<template, place, share>> of all verified starts."""
+    code = lambda template, place, number: F.shiftleft(template, 2 * PLACE_BITS) + F.shiftleft(place.cast("long"), PLACE_BITS) + number
+
+    def starts(which: int) -> Column:
+        index = postings(templates, weight, which)
+        own = lambda x, number: F.transform(F.coalesce(F.try_element_at(index, x["word"]), F.array().cast("array<struct<template:bigint,offset:int>>")), lambda p: F.when((x["place"] >= p["offset"]) & (number >= p["offset"]), code(p["template"], x["place"] - p["offset"], number - p["offset"])))
+        return F.array_compact(F.flatten(F.transform("at", own)))
+
+    keys, firsts = F.array(*[literal(t.words[t.key[0] : sum(t.key)]) for t in templates]), F.array(*[F.lit(t.key[0]) for t in templates])
+    tokens = F.array(*[literal([f"{i}:{w}" for i, w in enumerate(t.words)]) for t in templates])
+    low = (1 << PLACE_BITS) - 1
+    agreed = F.transform(F.array_intersect(starts(0), starts(1)), lambda c: F.struct(F.shiftright(c, 2 * PLACE_BITS).cast("int").alias("template"), F.shiftright(c, PLACE_BITS).bitwiseAND(low).cast("int").alias("place"), c.bitwiseAND(low).cast("int").alias("number")))
+
+    def whole(s: Column) -> Column:
+        """The key phrase stands there word by word, without a word between."""
+        key = F.get(keys, s["template"])
+        here = F.slice("at", s["number"] + 1, F.size(key))
+        return (F.transform(here, lambda x: x["word"]) == key) & (F.get(here, F.size(key) - 1)["place"] - s["place"] == F.size(key) - 1)
+
+    def share(s: Column) -> Column:
+        token, first = F.get(tokens, s["template"]), F.get(firsts, s["template"])
+        begin = F.greatest(F.lit(0), s["number"] - first)
+        here = F.slice("at", begin + 1, F.size(token) + first)
+        return F.size(F.array_intersect(F.transform(here, lambda x: F.concat((x["place"] - s["place"] + first).cast("string"), F.lit(":"), x["word"])), token)) / F.size(token)
+
+    found = F.transform(F.filter("agreed", whole), lambda s: F.struct(s["template"].alias("template"), s["place"].alias("place"), share(s).alias("share")))
+    return kept.select("doc_id", "n_words", "at", agreed.alias("agreed")).select("doc_id", "n_words", found.alias("found"))
 
 
 def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, weight: dict[str, float] | None = None) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score); weight: IDF, counted over docs if not given."""
-    weight = idf(docs, templates) if weight is None else weight
-    rare = sorted({anchors(t, weight)[0][0] for t in templates})
-    at = lambda i: F.get(F.col("words"), i)
-    worded = docs.select("doc_id", words_of(F.col("text")).alias("words"))
-    places = F.array_compact(F.transform("words", lambda w, i: F.when(w.isin(rare), i)))
-    posted = worded.select("doc_id", "words", F.size("words").cast("long").alias("n_words"), F.when(F.arrays_overlap("words", literal(rare)), places).otherwise(F.array().cast("array<int>")).alias("places"))
-
-    def starts(t: Template) -> Column:
-        """Starts on which the anchors agree and where the key phrase stands whole."""
-        (first, a), *second = anchors(t, weight)
-        here = F.transform(F.filter("places", lambda i: at(i) == first), lambda i: i - a)
-        here = F.filter(here, lambda s: (s >= 0) & (F.coalesce(at(s + second[0][1]) == second[0][0], F.lit(False)) if second else F.lit(True)))
-        k, n = t.key
-        return F.filter(here, lambda s: F.slice("words", s + 1 + k, F.lit(n)) == literal(t.words[k : k + n]))
-
-    def coverage(t: Template, found: Column) -> Column:
-        """The largest share of the template's words that stand at their places; null without a start."""
-        share = lambda s: sum((F.coalesce(at(s + i) == w, F.lit(False)).cast("int") for i, w in enumerate(t.words)), F.lit(0)) / len(t.words)
-        return F.array_max(F.transform(found, share))
-
-    found = posted.select("doc_id", "n_words", "words", *[starts(t).alias(f"at{i}") for i, t in enumerate(templates)])
-    base = [i for i, t in enumerate(templates) if t.base]
-    scored = found.select(
-        "doc_id", "n_words", F.concat(*[F.col(f"at{i}") for i in base]).alias("base_at"),
-        F.array_compact(F.array(*[F.when(F.size(f"at{i}") > 0, F.lit(templates[i].label)) for i in base])).alias("base_labels"),
-        F.array(*[F.struct(F.lit(t.label).alias("label"), (coverage(t, F.col(f"at{i}")) if t.key[1] < len(t.words) else F.when(F.size(f"at{i}") > 0, 1.0)).alias("share")) for i, t in enumerate(templates)]).alias("all"),
-    )
-    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
-    return scored.select(
-        "doc_id", "n_words", F.size("base_at").cast("long").alias("n_base"), F.array_min("base_at").cast("long").alias("first_word"), F.array_max("base_at").cast("long").alias("last_word"),
-        joined(F.col("base_labels")).alias("base_labels"),
-        joined(F.transform(F.filter("all", lambda x: x["share"] >= COVERAGE), lambda x: x["label"])).alias("labels"),
-        F.coalesce(F.array_max(F.transform("all", lambda x: x["share"])), F.lit(0.0)).cast("double").alias("score"),
+    kept = saved(kept_words(docs, templates))
+    found = matched(kept, templates, idf(kept, templates) if weight is None else weight)
+    is_base, label = F.array(*[F.lit(t.base) for t in templates]), literal([t.label for t in templates])
+    base_at = F.transform(F.filter("found", lambda x: F.get(is_base, x["template"])), lambda x: x)
+    places = F.transform(base_at, lambda x: x["place"].cast("long"))
+    joined = lambda rows: F.array_join(F.array_sort(F.array_distinct(F.transform(rows, lambda x: F.get(label, x["template"])))), ",")
+    return found.select(
+        "doc_id", "n_words", F.size(base_at).cast("long").alias("n_base"), F.array_min(places).alias("first_word"), F.array_max(places).alias("last_word"),
+        joined(base_at).alias("base_labels"), joined(F.filter("found", lambda x: x["share"] >= COVERAGE)).alias("labels"),
+        F.coalesce(F.array_max(F.transform("found", lambda x: x["share"])), F.lit(0.0)).cast("double").alias("score"),
     )
 
 

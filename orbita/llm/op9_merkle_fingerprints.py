@@ -3,7 +3,9 @@
 Sections end at blank lines, paragraphs at line ends, pieces at sentence ends or PIECE code points; every separator
 stays with what it ends, so the pieces joined are the text. A node is the SHA-256 of its children's digests, a piece's
 of its characters. Roots are equal for equal texts only (up to SHA-256); the fingerprint also carries shortened inner
-nodes and pieces, by which differing branches are located and likeness is told.
+nodes and pieces. Two trees are compared from the root down: what stands in equal sections is alike, of the others the
+equal paragraphs, of the others the equal pieces. Likeness is the number of pieces alike by that of all; a branch that
+repeats among the differing ones counts once. It is 1 for equal texts only. Differing paragraphs locate an edit.
 
 Null texts count as empty: a tree of no sections. Null doc_ids sort first, equal doc_ids by text. Every row gives one
 row; columns besides doc_id and text are not read; an empty table gives an empty result.
@@ -49,27 +51,53 @@ def fingerprint(text: Column) -> Column:
     return serialised(tree(text))
 
 
-def leaves_of(print_: Column) -> Column:
-    """The distinct shortened pieces of a fingerprint."""
-    packed = F.regexp_replace(F.substring_index(print_, "|", -1), r"[0-9a-f]{16}(?:=[0-9a-f]{16})?-|[,;]", "")
-    return F.array_distinct(F.regexp_extract_all(packed, F.lit(f"([0-9a-f]{{{LEAF}}})"), F.lit(1)))
+def sections(print_: Column) -> Column:
+    """The serialised sections of a fingerprint."""
+    return F.filter(F.split(F.substring_index(print_, "|", -1), ";"), lambda s: s != "")
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Of two fingerprints' leaves: 1 for equal ones, else the shared ones by the number of the larger side."""
-    return F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.size(b), F.lit(1))
+def paragraphs(of: Column) -> Column:
+    """The serialised paragraphs of sections."""
+    return F.flatten(F.transform(of, lambda s: F.split(F.substring_index(s, "=", -1), ",")))
+
+
+def pieces(of: Column) -> Column:
+    """The shortened pieces of paragraphs."""
+    return F.flatten(F.transform(of, lambda p: F.regexp_extract_all(F.substring_index(p, "-", -1), F.lit(f"([0-9a-f]{{{LEAF}}})"), F.lit(1))))
+
+
+def n_pieces(print_: Column) -> Column:
+    """How many pieces a fingerprint has, from its length: a section has NODE + 1 characters of its own, a paragraph NODE + 2."""
+    body, split = F.substring_index(print_, "|", -1), F.size(sections(print_))
+    of_paragraphs = F.length(body) - F.length(F.replace(body, F.lit("-"), F.lit("")))
+    return F.when(split == 0, 0).otherwise((F.length(body) + 1 - (NODE + 1) * split - (NODE + 2) * of_paragraphs) / LEAF)
 
 
 def root(print_: Column) -> Column:
     return F.substring_index(print_, "|", 1)
 
 
+def likeness(rows: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """``rows`` with the likeness of two fingerprints, found by walking down the branches that differ."""
+    kept, side = rows.columns, lambda c: F.col(f"_{c}")
+    only = lambda x, y: F.array_except(side(x), side(y))
+    rows = rows.withColumns({"_a": sections(F.col(a)), "_b": sections(F.col(b))})
+    rows = rows.withColumns({"_c": paragraphs(only("a", "b")), "_d": paragraphs(only("b", "a"))})
+    rows = rows.withColumns({"_e": pieces(only("c", "d")), "_f": pieces(only("d", "c")), "_n": n_pieces(F.col(a)), "_m": n_pieces(F.col(b))})
+    alike = F.least(side("n") - F.size(only("e", "f")), side("m") - F.size(only("f", "e")))
+    all_ = side("n") + side("m")
+    told = F.when(root(F.col(a)) == root(F.col(b)), 1.0).otherwise(F.greatest(F.lit(0.0), F.least(alike / F.greatest(F.lit(1.0), all_ - alike), 1 - 1 / (all_ + 1))))
+    return rows.select(*kept, told.alias(name))
+
+
 def differing_paragraphs(a: Column, b: Column) -> Column:
-    """Numbers, from 0, of the paragraphs of ``a`` that stand in no equal section and equal no paragraph of ``b``."""
-    sections = lambda x: F.filter(F.split(F.substring_index(x, "|", -1), ";"), lambda s: s != "")
-    nodes = lambda x: F.flatten(F.transform(sections(x), lambda s: F.transform(F.split(F.substring_index(s, "=", -1), ","), lambda p: F.left(p, F.lit(NODE)))))
-    other = nodes(b)
-    return F.when(root(a) == root(b), F.array().cast("array<int>")).otherwise(F.array_compact(F.transform(nodes(a), lambda p, i: F.when(~F.array_contains(other, p), i))))
+    """struct<first, last>: numbers, from 0, of the first and last paragraph of ``a`` that differ from ``b``; null for equal texts, last < first where only ``b`` has some."""
+    nodes = lambda x: F.transform(paragraphs(sections(x)), lambda p: F.left(p, F.lit(NODE)))
+    differ = lambda x, y: F.array_position(F.zip_with(x, y, lambda p, q: p.eqNullSafe(q)), False)
+    own, other = nodes(a), nodes(b)
+    first = differ(own, other) - 1
+    last = F.size(own) - differ(F.reverse(own), F.reverse(other))
+    return F.when(root(a) != root(b), F.struct(first.alias("first"), F.greatest(first - 1, last).alias("last")))
 
 
 def ranged_rows(docs: DataFrame) -> DataFrame:
@@ -85,7 +113,7 @@ def ranged_rows(docs: DataFrame) -> DataFrame:
     bounds = sorted(set(bounds or []))
     low = F.lit(0)
     if bounds:  # how many bounds are at most the id, by halving steps
-        ends = F.array(*[F.lit(x).cast("long") for x in bounds])
+        ends = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")  # folded into one literal
         steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
         take = lambda at, step: F.when((at + step <= len(bounds)) & (F.get(ends, at + step - 1) <= F.col("doc_id")), at + step).otherwise(at)
         low = F.aggregate(steps, F.lit(0), take)
@@ -108,9 +136,9 @@ def edited_prints(docs: DataFrame) -> DataFrame:
     half = F.floor(n / 2).cast("int")
     rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "fingerprint", "next_print", F.concat(F.left("text", n - half), F.left("next_text", half)).alias("edited"))
     rows = rows.withColumn("edited_fingerprint", fingerprint(F.col("edited")))
-    rows = rows.withColumns({"own": leaves_of(F.col("fingerprint")), "changed": leaves_of(F.col("edited_fingerprint")), "next": leaves_of(F.col("next_print"))})
-    near = lambda print_, leaves: F.when(root(F.col("fingerprint")) == root(F.col(print_)), 1.0).otherwise(likeness(F.col("own"), F.col(leaves)))
-    return rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", near("edited_fingerprint", "changed").alias("near_edited"), near("next_print", "next").alias("near_next"))
+    rows = likeness(likeness(rows, "fingerprint", "edited_fingerprint", "near_edited"), "fingerprint", "next_print", "near_next")
+    edit = differing_paragraphs(F.col("fingerprint"), F.col("edited_fingerprint"))
+    return rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next", edit["first"].alias("edit_first_paragraph"), edit["last"].alias("edit_last_paragraph"))
 
 
 def op9_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -357,10 +357,25 @@ def test_op5_evolution_improves_on_best_fit():
     lengths = [rng.choice([34, 33, 33, 26, 25, 24, 51, 49]) for _ in range(300)]
     first = op5.Bins(100, lengths)
     first.fit(list(range(300)))
-    best = op5.evolve(lengths, 100, 1, [], 30, 6)
+    best = op5.evolve(lengths, 100, 1, [], 0, 30, 6)[0]
     assert sorted(i for b in best for i in b) == list(range(300)) and len(best) <= len(first.bins)
 
 
+@pytest.mark.parametrize(("low", "high", "gain"), [(300, 1500, 15), (700, 1700, 60), (1000, 2000, 150)])
+def test_op5_evolution_beats_best_fit_with_production_values(spark, low, high, gain):
+    rng = random.Random(3)
+    lengths = [rng.randint(low, high) for _ in range(op5.BLOCK)]
+    first = op5.Bins(op5.CAPACITY, lengths)
+    first.fit(list(range(len(lengths))))
+    blocks = spark.createDataFrame([(0, list(range(len(lengths))), lengths)], "block long, ids array<long>, lengths array<int>")
+    (r,) = op5.solved(blocks, op5.CAPACITY, True).collect()
+    bins = op5.lists(r.bins)
+    assert max(sum(lengths[i] for i in b) for b in bins) <= op5.CAPACITY and sorted(i for b in bins for i in b) == list(range(len(lengths)))
+    assert len(bins) <= len(first.bins) - gain
+    start = min((op5.evolve(lengths, op5.CAPACITY, k, [], 0, 0, 2)[0] for k in range(2)), key=len)
+    assert len(bins) < len(start)  # better than both ways to begin
+
+
 def test_op6(spark, docs, none):
     bad, ok = ["vile", "rotten", "scumword"], "the plain words of every day go here and there with more to say".split()
     rng = random.Random(2)
@@ -382,6 +397,38 @@ def test_op6(spark, docs, none):
     clean = op6.keep_clean(df, model)
     assert clean.columns == df.columns and clean.count() == sum(not r.predicted for r in got)
     assert op6.fit(none, labels.limit(0)).scores(["x", None]).tolist() == [0.0, 0.0]
+    assert op6.keep_clean(none, model).count() == 0
+
+
+def test_op6_scores_equal_those_by_hand():
+    model = op6.train(["one vile word", "a good word", "vile", "good words of a kind"] * 20, [1, 0, 1, 0] * 20)
+    model.thresholds[:] = [0.3, -0.2, 0.1, 0.0, 0.7]
+    for text in ["the vile word of the day", "Good words", "a", "", None, "le mot de la vile " * 30]:
+        words = re.findall("[A-Za-z\x80-\U0010ffff]+", (text or "").lower())
+        place = lambda h: int(h >> np.uint64(20)) % (op6.BUCKETS - 1) + 1
+        rows = [model.words[place(w.hashes[0])] + model.prefixes[place(w.prefixes[0])] for w in (hashing.Words([x.encode()], hashing.NO_LETTER, op6.PREFIX) for x in words)]
+        rows = np.array(rows + [np.zeros(op6.WIDTH)] * 2 * max(op6.FILTERS))
+        logit, at = model.bias, 0
+        for width, n in op6.FILTERS.items():
+            for f in range(n):
+                best = max(model.biases[width][f] + sum(rows[i + k] @ model.filters[width][k * op6.WIDTH : (k + 1) * op6.WIDTH, f] for k in range(width)) for i in range(len(words) + max(op6.FILTERS)))
+                logit += max(best, 0) * model.out[at]
+                at += 1
+        votes = [sum(w in told.split() for w in words) for told in op6.FUNCTION_WORDS.values()]
+        language = votes.index(max(votes)) if max(votes) else len(votes)
+        assert model.scores([text])[0] == pytest.approx(1 / (1 + math.exp(-(logit - model.thresholds[language]))), abs=1e-5)
+
+
+def test_op6_thresholds_by_language_take_all_rows():
+    counted = [(0, 0, s, 10) for s in range(-40, 0)] + [(0, 1, s, 10) for s in range(20, 40)] + [(1, 0, s, 10) for s in range(-40, -30)] + [(1, 1, s, 10) for s in range(-20, 40)] + [(2, 1, 0, 3)]
+    cuts = op6.thresholds(counted)
+    assert cuts[0] == pytest.approx(0.5) and cuts[1] == pytest.approx(-1.25, abs=0.3) and cuts[2] == cuts[3] == cuts[4]
+
+
+def test_op6_held_out_rows(spark):
+    got = op6.op6_toxicity(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").where("held_out").groupBy("toxic", "predicted").count().collect()
+    n = {(r.toxic, r.predicted): r["count"] for r in got}
+    assert n[1, 1] / (n[1, 1] + n.get((1, 0), 0)) > 0.75 and n.get((0, 1), 0) / (n[0, 0] + n.get((0, 1), 0)) < 0.02
 
 
 def test_op7(spark, docs, none):
@@ -399,6 +446,29 @@ def test_op7(spark, docs, none):
     assert {r.doc_id: r.labels for r in op7.scan(more).collect()} == {1: "apache-2.0", 2: "mit", 3: "", 4: "bsd"}
 
 
+def labels_by_hand(text, templates):
+    """(labels, score) of a text: a key phrase in full, and the share of the template's words around it."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+    labels, score = set(), 0.0
+    for t in templates:
+        k, n = t.key
+        for s in range(len(words) - n + 1):
+            if words[s : s + n] == t.words[k : k + n]:
+                share = sum(0 <= s - k + i < len(words) and words[s - k + i] == w for i, w in enumerate(t.words)) / len(t.words)
+                score = max(score, share)
+                if share >= op7.COVERAGE:
+                    labels.add(t.label)
+    return ",".join(sorted(labels)), score
+
+
+def test_op7_labels_equal_those_by_hand(spark, docs):
+    rng, pieces = random.Random(8), [w for t in op7.TEMPLATES for w in (t.text, " ".join(t.words[t.key[0] : sum(t.key)]), t.words[0], "the")]
+    rows = [(i, "; ".join(rng.choice([*pieces, "Other", "x1"]) for _ in range(rng.randint(0, 12)))) for i in range(400)]
+    for df, own in ((docs, ROWS), (spark.createDataFrame(rows, "doc_id long, text string"), rows)):
+        got = op7.scan(df).collect()
+        assert ordered((r.doc_id, r.labels, round(r.score, 9)) for r in got) == ordered((i, x, round(y, 9)) for i, t in own for x, y in [labels_by_hand(t, op7.TEMPLATES)])
+
+
 def test_op8(spark, docs, none):
     _, hf = libraries()
     path = public_tokenizers.path(op8.VOCABULARY)
@@ -421,13 +491,54 @@ def test_op9(spark, docs, none):
     assert op9.edited_prints(none).count() == 0
 
 
-def test_op9_tree_locates_edits(spark):
-    from pyspark.sql import functions as F
+def tree_by_hand(text):
+    """(fingerprint, sections as lists of paragraphs as lists of pieces) of a text."""
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    sections = []
+    for section in filter(None, re.split(r"(?<=\n\n)(?!\n)", text)):
+        sections.append([[m[0] for m in re.finditer(rf"[^.!?]{{1,{op9.PIECE}}}(?:[.!?]+[ \t\n\x0b\f\r]*)?|[.!?]+[ \t\n\x0b\f\r]*", p, re.S)] for p in filter(None, re.split(r"(?<=\n)(?!\n)", section))])
+    nodes = [[("".join(map(sha, p)), p) for p in s] for s in sections]
+    paragraph = lambda p: sha("".join(map(sha, p)))
+    section = lambda s: sha("".join(map(paragraph, s)))
+    body = ";".join(section(s)[:16] + "=" + ",".join(paragraph(p)[:16] + "-" + "".join(sha(x)[:8] for x in p) for p in s) for s in sections)
+    assert all("".join(x for p in s for x in p) for s in sections) and nodes is not None
+    return sha("".join(map(section, sections))) + "|" + body, sections
+
+
+def likeness_by_hand(a, b):
+    if a == b:
+        return 1.0
+    a, b = tree_by_hand(a)[1], tree_by_hand(b)[1]
+    n, m = (sum(len(p) for s in x for p in s) for x in (a, b))
+    key = lambda rows: [tuple(map(tuple, s)) for s in rows]
+    once = lambda rows, other: [x for x in dict.fromkeys(rows) if x not in set(other)]
+    sa, sb = key(a), key(b)
+    pa, pb = [p for s in once(sa, sb) for p in s], [p for s in once(sb, sa) for p in s]
+    xa, xb = [x for p in once(pa, pb) for x in p], [x for p in once(pb, pa) for x in p]
+    alike = min(n - len(once(xa, xb)), m - len(once(xb, xa)))
+    return max(0.0, min(alike / max(1.0, n + m - alike), 1 - 1 / (n + m + 1)))
+
+
+def test_op9_prints_and_likeness_equal_those_by_hand(spark, docs):
+    sample = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    for df, own in ((docs, ROWS), (spark.read.parquet(f"{SF}/documents.parquet"), sample)):
+        rows = sorted(own, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+        want = []
+        for k, (i, t) in enumerate(rows):
+            t, after = t or "", rows[(k + 1) % len(rows)][1] or ""
+            edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+            want.append((i, tree_by_hand(t)[0], tree_by_hand(edited)[0], round(likeness_by_hand(t, edited), 9), round(likeness_by_hand(t, after), 9)))
+        got = [(r.doc_id, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in op9.edited_prints(df).collect()]
+        assert ordered(got) == ordered(want)
 
+
+def test_op9_tree_locates_edits(spark):
     a = "p one. x\np two\n\nq three\nq four\n"
-    df = spark.createDataFrame([(a, a.replace("two", "2")), (a, a), ("", "x"), (a, a.replace("\n\n", "\n\n\n"))], "a string, b string").select(op9.fingerprint(F.col("a")).alias("a"), op9.fingerprint(F.col("b")).alias("b"))
-    got = [(r.same, r.d) for r in df.select((op9.root(F.col("a")) == op9.root(F.col("b"))).alias("same"), op9.differing_paragraphs(F.col("a"), F.col("b")).alias("d")).collect()]
-    assert got[0] == (False, [1]) and got[1] == (True, []) and got[2][0] is False and got[3][0] is False
+    rows = [(a, a.replace("two", "2")), (a, a), ("", "x"), (a, a.replace("\n\n", "\n\n\n")), (a, a + "more\n"), (a, "p one. x\n" + a), ("s\n\n" * 5, "s\n\n")]
+    df = spark.createDataFrame(rows, "a string, b string").select(op9.fingerprint(F.col("a")).alias("a"), op9.fingerprint(F.col("b")).alias("b"))
+    got = [(r.same, r.d and tuple(r.d), r.near) for r in op9.likeness(df, "a", "b", "near").select((op9.root(F.col("a")) == op9.root(F.col("b"))).alias("same"), op9.differing_paragraphs(F.col("a"), F.col("b")).alias("d"), "near").collect()]
+    assert got[0][:2] == (False, (1, 1)) and got[1] == (True, None, 1.0) and got[2][:2] == (False, (0, -1)) and got[3][0] is False
+    assert got[4][:2] == (False, (4, 3)) and got[5][0] is False and got[6][2] < 0.5
 
 
 def brute_components(rows):
