@@ -1,10 +1,11 @@
 """Toxicity by a convolutional classifier over hashed word embeddings, trained in numpy.
 
 A word's embedding is the sum of a row for its hash and a row for the hash of its first bytes. Filters of several
-widths slide over the words, each keeps its maximum over the text, and a linear layer makes a logit. A threshold for
-each language, which is told from the text's own function words, moves the logit so that 0.5 is the best cut there. The
-weights are learnt from a bounded sample of the labelled rows, the thresholds from all others of them, counted by
-language, label and logit on the cluster.
+widths slide over the words, each keeps its maximum over the text, and a linear layer makes a logit; the logits of a few
+networks are averaged. A threshold for each language, which is told from the text's own function words, moves the logit
+so that 0.5 is the best cut there. The weights are learnt from a bounded sample of the labelled rows, each network's
+without one of FOLDS folds; the thresholds from all rows that some network has not learnt from, by its logit (by the mean
+where none has), counted by language, label and logit on the cluster.
 Neither labels nor the columns lang, source and doc_id are inputs of a score.
 
 Null texts count as empty; a text without words scores what the bias says. Labels that are null or of unknown
@@ -28,8 +29,10 @@ SAMPLE = 3000
 BUCKETS, WIDTH, PREFIX = 1 << 15, 12, 4
 FILTERS = {1: 16, 2: 8, 3: 8}
 EPOCHS, STEPS, BATCH, RATE, SEED = 5, 400, 64, 0.01, 7
+#: Networks that are averaged, folds of the labelled rows, and the bound of each one's logit.
+MEMBERS, FOLDS, MOST = 3, 5, 12.0
 #: What a share of clean rows above a threshold weighs against a share of toxic rows below it.
-CLEAN_WEIGHT = 3
+CLEAN_WEIGHT = 2
 #: Function words that tell a language, and the order of languages; "other" where none stands out.
 FUNCTION_WORDS = {
     "en": "the of and to in is that for was with it as be are this from at by not or have an",
@@ -82,18 +85,16 @@ def prepare(texts: list[str | None]) -> Text:
 
 
 @dataclass
-class Model:
+class Network:
     words: np.ndarray
     prefixes: np.ndarray
     filters: dict[int, np.ndarray]
     biases: dict[int, np.ndarray]
     out: np.ndarray
     bias: float = 0.0
-    constant: float | None = None
-    thresholds: np.ndarray = field(default_factory=lambda: np.zeros(len(LANGUAGES)))
 
     @classmethod
-    def new(cls, seed: int = SEED) -> Model:
+    def new(cls, seed: int = SEED) -> Network:
         rng = np.random.default_rng(seed)
         small = lambda *n: (rng.standard_normal(n) * 0.1).astype(np.float32)
         model = cls(small(BUCKETS, WIDTH), small(BUCKETS, WIDTH), {w: small(w * WIDTH, n) * 3 for w, n in FILTERS.items()}, {w: np.zeros(n, np.float32) for w, n in FILTERS.items()}, small(sum(FILTERS.values())))
@@ -115,6 +116,16 @@ class Model:
     def logits(self, text: Text) -> np.ndarray:
         return self.pooled(text)[0] @ self.out + self.bias
 
+
+@dataclass
+class Model:
+    members: list[Network]
+    constant: float | None = None
+    thresholds: np.ndarray = field(default_factory=lambda: np.zeros(len(LANGUAGES)))
+
+    def logits(self, text: Text) -> np.ndarray:
+        return np.mean([np.clip(m.logits(text), -MOST, MOST) for m in self.members], axis=0)
+
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if self.constant is not None or not texts:
             return np.full(len(texts), self.constant or 0.0)
@@ -140,13 +151,21 @@ class Adam:
         value[at] -= self.rate * (m[at] / (1 - 0.9**t)) / (np.sqrt(v[at] / (1 - 0.99**t)) + 1e-6)
 
 
-def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed: int = SEED) -> Model:
-    """The weights; thresholds are 0."""
-    model, y = Model.new(seed), np.array(labels, np.float32)
+def train(texts: list[str | None], labels: list[int], folds: list[int] | None = None, epochs: int = EPOCHS, seed: int = SEED) -> Model:
+    """The networks' weights, each without the rows of its own fold; thresholds are 0."""
+    y, folds = np.array(labels, np.float32), np.array([-1] * len(labels) if folds is None else folds)
     if not len(y) or y.min() == y.max():
-        model.constant = float(y.mean()) if len(y) else 0.0
-        return model
-    rng, step = np.random.default_rng(seed), Adam()
+        return Model([], float(y.mean()) if len(y) else 0.0)
+    members = []
+    for k in range(MEMBERS):
+        own = np.flatnonzero(folds != k)
+        own = own if y[own].min(initial=1) < y[own].max(initial=0) else np.arange(len(y))
+        members.append(network([texts[i] for i in own.tolist()], y[own], epochs, seed + k))
+    return Model(members)
+
+
+def network(texts: list[str | None], y: np.ndarray, epochs: int, seed: int) -> Network:
+    model, rng, step = Network.new(seed), np.random.default_rng(seed), Adam()
     own, bias = np.arange(len(y)), np.zeros(1, np.float32)
     for _ in range(max(epochs, STEPS // -(-len(own) // BATCH))):  # few rows are gone through more often
         own = rng.permutation(own)
@@ -208,7 +227,7 @@ def thresholds(counted: list[tuple[int, int, int, int]]) -> np.ndarray:
 
     of = lambda label, rows: sum(n for y, _, n in rows if y == label)
     all_ = [row[1:] for row in counted]
-    common = best(all_) if of(0, all_) and of(1, all_) else 0.0
+    common = best(all_) if min(of(0, all_), of(1, all_)) >= 10 else 0.0
     out = np.full(len(LANGUAGES), common)
     for k in range(len(LANGUAGES)):
         mine = [row[1:] for row in counted if row[0] == k]
@@ -218,40 +237,41 @@ def thresholds(counted: list[tuple[int, int, int, int]]) -> np.ndarray:
 
 
 def logit_counts(rows: DataFrame, model: Model) -> DataFrame:
-    """(language, toxic, step, n) of rows (text, toxic): counted by each task, then over all."""
+    """(language, toxic, step, n) of rows (text, toxic, member): by one network's logit, by the mean where member is -1."""
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def work(batches):
         held: dict[tuple[int, int, int], int] = {}
-        for texts, labels in batches:
+        for texts, labels, members in batches:
             for i in range(0, len(texts), 64):
-                text = prepare(texts[i : i + 64])
-                step = np.floor(np.clip(sent.value.logits(text), -LIMIT, LIMIT) * STEP).astype(int)
+                text, of = prepare(texts[i : i + 64]), np.array(members[i : i + 64])
+                each = np.stack([np.clip(m.logits(text), -MOST, MOST) for m in sent.value.members])
+                logits = np.where(of < 0, each.mean(0), each[np.maximum(of, 0), np.arange(len(of))])
+                step = np.floor(np.clip(logits, -LIMIT, LIMIT) * STEP).astype(int)
                 for key in zip(text.languages.tolist(), labels[i : i + 64], step.tolist(), strict=True):
                     held[key] = held.get(key, 0) + 1
         language, label, step = (list(x) for x in zip(*held, strict=True)) if held else ([], [], [])
         yield {"language": language, "toxic": label, "step": step, "n": list(held.values())}
 
-    counted = map_rows(rows, ["text", "toxic"], "language int, toxic int, step int, n long", work)
+    counted = map_rows(rows, ["text", "toxic", "member"], "language int, toxic int, step int, n long", work)
     return counted.groupBy("language", "toxic", "step").agg(F.sum("n").alias("n"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learn from labelled rows whose crc32(doc_id as text) mod 5 is not 0.
-
-    The weights take for each class the ``sample`` rows of least hash, but every fifth; the thresholds all other rows.
-    """
+    """Learn from labelled rows whose crc32(doc_id as text) mod 5 is not 0; the weights from the ``sample`` rows of least hash for each class."""
+    fold = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(FOLDS)).cast("int").alias("fold")
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(crc_text("doc_id") % 5 != 0).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    for_weights = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(5)) > 0
-    one = lambda c: known.where(for_weights & (F.col("toxic") == c)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    one = lambda c: known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     picked = one(0).unionByName(one(1)).collect()  # at most 2 * sample ids
     picked = docs.sparkSession.createDataFrame(picked, "doc_id long, toxic int")
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select(F.xxhash64("doc_id").alias("h"), "text", "toxic").collect()  # at most 2 * sample labels
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select(F.xxhash64("doc_id").alias("h"), "text", "toxic", fold).collect()  # at most 2 * sample labels
     rows.sort(key=lambda r: (r["h"], r["text"] or "", r["toxic"]))
-    model = train([r["text"] for r in rows], [r["toxic"] for r in rows])
+    model = train([r["text"] for r in rows], [r["toxic"] for r in rows], [r["fold"] for r in rows])
     if model.constant is None:
-        others = docs.select("doc_id", "text").join(known.join(F.broadcast(picked.select("doc_id")), "doc_id", "left_anti"), "doc_id")
-        model.thresholds = thresholds([tuple(r) for r in logit_counts(others, model).collect()])  # bounded by languages and steps
+        learnt = F.broadcast(picked.select("doc_id", F.lit(True).alias("learnt")).distinct())
+        member = F.when(F.col("learnt"), F.when(F.col("fold") < MEMBERS, F.col("fold"))).otherwise(-1).alias("member")
+        apart = known.join(learnt, "doc_id", "left").select("doc_id", "toxic", "learnt", fold).select("doc_id", "toxic", member).where("member IS NOT NULL")
+        model.thresholds = thresholds([tuple(r) for r in logit_counts(docs.select("doc_id", "text").join(apart, "doc_id"), model).collect()])  # bounded by languages and steps
     return model
 
 
