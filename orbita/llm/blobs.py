@@ -32,6 +32,17 @@ def uncounted(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel().astype(np.int64)
 
 
+def floats(numbers: np.ndarray) -> bytes:
+    """Numbers with 12 significant bits, as byte planes and deflate."""
+    bits = numbers.astype("<f4").view("<u4") + np.uint32(1 << 11) & np.uint32(0xFFFFF000)
+    return zlib.compress(np.ascontiguousarray(bits.view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def unfloats(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<f4").ravel()
+
+
 def ranges(keys: np.ndarray, buckets: int) -> list[tuple[int, slice]]:
     """(bucket, slice) of sorted 64-bit keys: equal shares of the key space."""
     bucket = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)

@@ -69,6 +69,11 @@ def forget(*tables: DataFrame) -> None:
             files.delete(where, True)
 
 
+def free(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that are gone: it does so when the driver's JVM collects garbage."""
+    spark._jvm.System.gc()
+
+
 def prepared(df: DataFrame) -> DataFrame:
     """``df``, once its session is ready for Python on the workers."""
     ship.ensure(df.sparkSession)

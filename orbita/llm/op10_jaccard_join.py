@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blobs import counts, grouped, packed, ranges, uncounted, unpacked
-from .common import forget, join_counted, map_rows, partitions, saved, table
+from .common import forget, free, join_counted, map_rows, partitions, saved, table
 from .components import components
 from .hashing import mix, shingle_sets
 from .rounds import MESSAGE, TEXTS, columns, common_keys, each_chunk, message, place, to_buckets, to_chunks
@@ -216,6 +216,7 @@ def postings(texts: DataFrame, keyed) -> DataFrame:
 
     out = saved(each_chunk(to_chunks(chunks, answers), "key long, node binary, n long", live).distinct())
     forget(chunks, answers)
+    free(texts.sparkSession)
     return out
 
 

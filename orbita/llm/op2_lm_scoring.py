@@ -11,7 +11,7 @@ what stands before it. score is log10 of the probability of the text's words in
 Counts come from whole texts and stay on the cluster: chunks of texts ask for the counts of their distinct words and
 word sequences, a bucket of the key space adds up what all chunks hold and answers each, so that a key which a third of
 all texts share is one number per chunk. A second such round adds up the divergences of contexts. Words are compared as
-they are; sequences by 64-bit hashes, where n different ones give about n * n / 2^65 chance meetings.
+they are; sequences by hashes of KEY_BITS bits, where of n different ones about n * n / 2^53 meet another by chance.
 
 Null texts count as empty: the end only. A null doc_id counts as the empty id, which is learnt from. Without training
 texts the model is the uniform spelling. Every row gives one row, also repeated ones; other columns are not read; an
@@ -28,15 +28,17 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blobs import counts, grouped, packed, ranges, uncounted, unpacked
-from .common import crc_text, forget, map_rows, partitions, saved, table
+from .blobs import counts, floats, grouped, packed, ranges, uncounted, unfloats, unpacked
+from .common import crc_text, forget, free, map_rows, partitions, saved, table
 from .hashing import LOWER, Words, mix
 from .rounds import MESSAGE, TEXTS, columns, common_keys, each_chunk, message, place, to_buckets, to_chunks
 from .spelling import Tree, retained, transitions
 
 DEPTH, LEAST, DIVERGENCE = 2, 2, 2.0
 #: Words of texts in a chunk (one text at least), and words of all texts for each bucket of the key space.
-CHUNK, BUCKET = 1_000_000, 4_000_000
+CHUNK, BUCKET = 600_000, 2_000_000
+KEY_BITS = 52
+SHORT = np.uint64((1 << 64) - (1 << 64 - KEY_BITS))
 START, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Kinds of rows: a chunk itself, words, word sequences, transitions of spelled words, contexts.
@@ -110,7 +112,7 @@ class Chunk:
             before = np.where(self.place >= k, np.roll(own, k), START)
             self.grams.append(mix(self.grams[-1] * ODD + mix(before + np.uint64(k))))
             self.valid.append(np.flatnonzero(self.place >= k - 1))
-        self.keys, self.inverse = np.unique(np.concatenate([g[v] for g, v in zip(self.grams[1:], self.valid[1:], strict=True)]), return_inverse=True)
+        self.keys, self.inverse = np.unique(np.concatenate([g[v] & SHORT for g, v in zip(self.grams[1:], self.valid[1:], strict=True)]), return_inverse=True)
 
     def asked(self, buckets: int) -> list[tuple]:
         """(kind, bucket, a, b): words and sequences with how often training texts of this chunk hold them."""
@@ -139,7 +141,7 @@ class Chunk:
         for k in range(1, DEPTH + 1):
             at = self.valid[k][self.stood[k][self.valid[k]] >= LEAST]
             places.append(at)
-            keys.append(mix(np.where(self.place[at] > 0, self.grams[k - 1][at - 1], START) + np.uint64(k)))
+            keys.append(mix(np.where(self.place[at] > 0, self.grams[k - 1][at - 1], START) + np.uint64(k)) & SHORT)
         unique, to = np.unique(np.concatenate(keys), return_inverse=True)
         return places, unique, to
 
@@ -152,8 +154,8 @@ class Chunk:
             seen, below = np.where(here, self.seen[k][at], 1.0), np.where(here, self.seen[k - 1][at], 1.0)
             gain.append(np.where(here, np.log(seen / self.stood[k][at] / (below / self.stood[k - 1][at])), 0.0))
             kinds.append(here / seen)
-        gain, kinds = (np.bincount(to, np.concatenate(x), len(keys)).astype("<f4") for x in (gain, kinds))
-        return [(CONTEXTS, bucket, packed(keys[s]), gain[s].tobytes(), kinds[s].tobytes()) for bucket, s in ranges(keys, buckets)]
+        gain, kinds = (np.bincount(to, np.concatenate(x), len(keys)) for x in (gain, kinds))
+        return [(CONTEXTS, bucket, packed(keys[s]), floats(gain[s]), floats(kinds[s])) for bucket, s in ranges(keys, buckets)]
 
     def scores(self, answers: dict[int, list[bytes]], tree: Tree, tokens: int, distinct: int) -> dict:
         places, keys, to = self.contexts()
@@ -195,7 +197,7 @@ def answered(requests: DataFrame, spellings: int) -> DataFrame:
         if kind == SEQUENCES:
             out = total([uncounted(b) for *_, b, _ in rows])
         else:
-            gain, kinds = (total([np.frombuffer(r[i], "<f4") for r in rows]) for i in (3, 4))
+            gain, kinds = (total([unfloats(r[i]) for r in rows]) for i in (3, 4))
             out = np.where(gain >= DIVERGENCE * kinds, np.maximum(np.rint(kinds), 0), 0)
         yield columns([message(src, at, kind, dest, counts(out[here])) for (src, at, *_), here in zip(rows, to, strict=True)])
 
@@ -237,6 +239,7 @@ def lm_scores(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
 
     first = saved(answered(map_rows(chunks, ["src", "at", "a", "b", "c"], MESSAGE, ask), parts))
     distinct = int(first.agg(F.sum("n")).first()[0] or 0) + (texts > 0)
+    free(spark)
     tree = spark.sparkContext.broadcast(spelling(first.where(F.col("kind") == SPELLED)))
     first = first.where(F.col("kind") != SPELLED)
 
@@ -247,6 +250,8 @@ def lm_scores(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
 
     second = saved(answered(each_chunk(to_chunks(chunks, first), MESSAGE, diverge), parts))
 
+    free(spark)
+
     def score(src, at, blobs, answers):
         chunk = Chunk(*blobs)
         chunk.told(answers, tokens, texts)
