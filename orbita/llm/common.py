@@ -16,6 +16,7 @@ from orbita import ship
 
 #: Rows in one Arrow batch: long texts make batches of 10,000 rows too large for a worker.
 BATCH_ROWS = 512
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,11 +45,16 @@ def shared_dir(spark: SparkSession) -> str:
 def saved(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again: cuts lineage, survives lost executors.
 
-    What ``forget`` has not deleted goes when the driver ends.
+    The write's shuffle files are deleted as soon as it is done. What ``forget`` has not deleted goes when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/orbita-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     where, files = at(spark, path)
     files.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
@@ -69,11 +75,6 @@ def forget(*tables: DataFrame) -> None:
             files.delete(where, True)
 
 
-def free(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that are gone: it does so when the driver's JVM collects garbage."""
-    spark._jvm.System.gc()
-
-
 def prepared(df: DataFrame) -> DataFrame:
     """``df``, once its session is ready for Python on the workers."""
     ship.ensure(df.sparkSession)
