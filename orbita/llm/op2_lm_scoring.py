@@ -11,7 +11,7 @@ what stands before it. score is log10 of the probability of the text's words in
 Counts come from whole texts and stay on the cluster: chunks of texts ask for the counts of their distinct words and
 word sequences, a bucket of the key space adds up what all chunks hold and answers each, so that a key which a third of
 all texts share is one number per chunk. A second such round adds up the divergences of contexts. Words are compared as
-they are; sequences by hashes of KEY_BITS bits, where of n different ones about n * n / 2^53 meet another by chance.
+they are; sequences by hashes of KEY_BITS bits, where of n different ones about n * n / 2^49 meet another by chance.
 
 Null texts count as empty: the end only. A null doc_id counts as the empty id, which is learnt from. Without training
 texts the model is the uniform spelling. Every row gives one row, also repeated ones; other columns are not read; an
@@ -28,16 +28,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blobs import counts, floats, grouped, packed, ranges, uncounted, unfloats, unpacked
+from .blobs import counts, floats, grouped, packed, ranges, trim, uncounted, unfloats, unpacked
 from .common import crc_text, forget, map_rows, partitions, saved, table
 from .hashing import LOWER, Words, mix
 from .rounds import MESSAGE, TEXTS, columns, common_keys, each_chunk, message, place, to_buckets, to_chunks
 from .spelling import Tree, retained, transitions
 
-DEPTH, LEAST, DIVERGENCE = 2, 2, 2.0
+DEPTH, LEAST, DIVERGENCE = 2, 3, 2.0
 #: Words of texts in a chunk (one text at least), and words of all texts for each bucket of the key space.
-CHUNK, BUCKET = 600_000, 2_000_000
-KEY_BITS = 52
+CHUNK, BUCKET = 400_000, 1_500_000
+KEY_BITS = 48
 SHORT = np.uint64((1 << 64) - (1 << 64 - KEY_BITS))
 START, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -204,6 +204,8 @@ def answered(requests: DataFrame, spellings: int) -> DataFrame:
     def work(batches):
         for (dest, kind), rows in grouped(batches, 2):
             yield from of_words(dest, rows) if kind == WORDS else added(dest, kind, rows)
+            del rows
+            trim()
 
     return map_rows(to_buckets(requests), ["dest", "kind", "src", "at", "a", "b", "c"], MESSAGE, work)
 

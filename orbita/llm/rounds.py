@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import grouped, unpacked
+from .blobs import grouped, trim, unpacked
 from .common import map_rows, partitions
 
 MESSAGE = "src long, at int, kind int, dest int, a binary, b binary, c binary, n long"
@@ -55,6 +55,8 @@ def each_chunk(rows: DataFrame, schema: str, of) -> DataFrame:
             for kind, a, _, _ in own[1:]:
                 answers.setdefault(kind, []).append(a)
             yield of(src, at, own[0][1:], answers)
+            del own, answers
+            trim()
 
     return map_rows(rows, ["src", "at", "kind", "a", "b", "c"], schema, work)
 
