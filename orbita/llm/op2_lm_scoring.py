@@ -34,7 +34,7 @@ from .hashing import LOWER, Words, mix
 from .rounds import MESSAGE, TEXTS, columns, common_keys, each_chunk, message, place, to_buckets, to_chunks
 from .spelling import Tree, retained, transitions
 
-DEPTH, LEAST, DIVERGENCE = 2, 3, 2.0
+DEPTH, LEAST, DIVERGENCE = 2, 4, 2.0
 #: Words of texts in a chunk (one text at least), and words of all texts for each bucket of the key space.
 CHUNK, BUCKET = 400_000, 1_500_000
 KEY_BITS = 48
