@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from orbita import ship
 from orbita.geo import cells, kernels, overlay
 from orbita.geo import sphere as S
-from orbita.geo.geometry import Geography, GeographyError, from_wkb, from_wkt, to_wkb, to_wkt
+from orbita.geo.geometry import COLLECTION, POLYGON, Geography, GeographyError, from_wkb, from_wkt, point, polygon, to_wkb, to_wkt, vertices
 from orbita.geo.kernels import Shape
 
 BOX = "struct<xmin: double, ymin: double, xmax: double, ymax: double>"
@@ -126,6 +126,41 @@ def tessellate(a: Shape, metres: float) -> Geography:
     return walk(a.g)
 
 
+def centroid_of_parts(a: Shape):
+    """Unit vector; of a collection the sum of its parts' unit centroids."""
+    if a.g.type == COLLECTION:
+        parts = [centroid_of_parts(s) for s in map(Shape, a.g.parts) if not s.is_empty]
+        return S.unit(sum(parts)) if parts else kernels.centroid_vector(a)
+    return S.unit(kernels.centroid_vector(a))
+
+
+def hull_polygon(a: Shape) -> Geography:
+    """The convex hull as a polygon; of one place a triangle of some micrometres, of an edge one with its middle as a third vertex."""
+    import numpy as np
+
+    out = kernels.convex_hull(a)
+    v = S.xyz(out.all_vertices())
+    if out.type == POLYGON or not len(v):
+        return out
+    if len(v) == 1:
+        across = np.cross(v[0], np.eye(3)[int(np.abs(v[0]).argmin())])
+        ring = S.unit(np.stack((v[0], v[0] + 1e-12 * across, v[0] + 1e-12 * np.cross(v[0], across))))
+    else:
+        ring = np.stack((v[0], S.unit(v[0] + v[-1]), v[-1]))
+    return polygon([vertices(S.lnglat(np.concatenate((ring, ring[:1]))))])
+
+
+def surface_point(a: Shape) -> Geography:
+    if not a.is_empty and (a.chains or len(a.points)):
+        raise GeographyError("expected polygons only")
+    return kernels.point_on_surface(a)
+
+
+def interpolate_normalized(a: Shape, fraction: float) -> Geography | None:
+    """Of an empty geography the zero vector, which has longitude and latitude 0."""
+    return point([0.0, 0.0, float("nan"), float("nan")]) if a.is_empty else kernels.line_interpolate(a.g, fraction)
+
+
 def intersects_box(a: Shape, xmin: float, ymin: float, xmax: float, ymax: float, tolerance: float = 0.1) -> bool:
     """The box follows its parallels within a tolerance in degrees."""
     from orbita.geo.geometry import polygon, vertices
@@ -196,6 +231,8 @@ kernel("st_longestline", "gg", "binary", kernels.longest_line)
 kernel("st_boundingbox", "g", BOX, lambda a: as_box(kernels.bounds(a)))
 kernel("st_pointonsurface", "g", "binary", kernels.point_on_surface)
 kernel("st_geogfromwkt", "s", "binary", from_wkt)
+kernel("st_geogfromwkb", "g", "binary", lambda a: a.g)
+kernel("st_asbinary", "g", "binary", lambda a: a.g)
 kernel("st_geogfromtext", "s", "binary", from_wkt)
 kernel("st_astext", "gi", "string", lambda a, p=16: to_wkt(a.g, p), 1)
 kernel("st_checkwkb", "g", "binary", lambda a: a.g)
@@ -226,10 +263,10 @@ kernel("s2_is_collection", "g", "boolean", lambda a: kernels.is_collection(a.g))
 kernel("s2_x", "g", "double", lambda a: kernels.coordinate(a.g, 0))
 kernel("s2_y", "g", "double", lambda a: kernels.coordinate(a.g, 1))
 kernel("s2_find_validation_error", "g", "string", lambda a: kernels.validation_error(a.g))
-kernel("s2_centroid", "g", XYZ, lambda a: as_xyz(S.unit(kernels.centroid_vector(a))))
+kernel("s2_centroid", "g", XYZ, lambda a: as_xyz(centroid_of_parts(a)))
 kernel("s2_boundary", "g", "binary", lambda a: kernels.boundary(a.g))
-kernel("s2_convex_hull", "g", "binary", kernels.convex_hull)
-kernel("s2_point_on_surface", "g", "binary", kernels.point_on_surface)
+kernel("s2_convex_hull", "g", "binary", hull_polygon)
+kernel("s2_point_on_surface", "g", "binary", surface_point)
 kernel("s2_intersects", "gg", "boolean", kernels.intersects)
 kernel("s2_equals", "gg", "boolean", kernels.equals)
 kernel("s2_contains", "gg", "boolean", kernels.contains)
@@ -242,7 +279,7 @@ kernel("s2_build_point", "g", "binary", lambda a: overlay.rebuild(a.g, "include"
 kernel("s2_build_polyline", "g", "binary", lambda a: overlay.rebuild(a.g, "error", "include", "error"))
 kernel("s2_build_polygon", "g", "binary", lambda a: overlay.rebuild(a.g, "error", "error", "include"))
 kernel("s2_project_normalized", "gg", "double", project_normalized)
-kernel("s2_interpolate_normalized", "gd", "binary", lambda a, f: kernels.line_interpolate(a.g, f))
+kernel("s2_interpolate_normalized", "gd", "binary", interpolate_normalized)
 kernel("s2_covering", "giii", "array<bigint>", lambda a, n=8, low=0, high=30: cells.covering(a, n, low, high), 1)
 kernel("s2_interior_covering", "gii", "array<bigint>", lambda a, n=8, high=12: cells.covering(a, n, 0, high, True), 1)
 kernel("s2_covering_buffered", "gdi", "array<bigint>", lambda a, r, n=8: cells.buffered_covering(a, r, n), 2)

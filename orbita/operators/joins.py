@@ -70,7 +70,7 @@ def point_wkb(lng: Column, lat: Column) -> Column:
 def spatial_join(left: DataFrame, right: DataFrame, left_geog: str, right_geog: str, predicate: str = "st_intersects", level: int = 4, how: str = "inner", left_id: str | None = None) -> DataFrame:
     """Pairs of shapes for which ``predicate(left, right)`` holds; columns of both sides must differ in name.
 
-    Predicates hold for nothing empty, but for st_disjoint and st_equals, which cells can't join: use ``disjoint_join``.
+    Predicates hold for nothing empty, but for st_disjoint and st_equals, which cells can't join.
     """
     cut = lambda df, g, c: df.withColumn(c, registry.call("s2_covering", F.col(g), F.lit(1 << 20), F.lit(level), F.lit(level)))
     a = cut(left, left_geog, "_cells_a").withColumn("_cell", F.explode("_cells_a"))
