@@ -329,7 +329,8 @@ class WordEncoder:
         self.blank = re.compile(f"[{WHITE}]+").split
         self.nfc = unicodedata.normalize
         self.path = path
-        self.strange = re.compile(strange_letters()).search
+        self.strange_low, self.strange_high = (re.compile(x).search for x in strange_letters())
+        self.high = re.compile("[\U00010000-\U0010ffff]").search
         self.counts, self.word_counts = Memo(self._count), Memo(lambda w: count_after_merges(self.symbols(w), self.ranks, self.merged))
         self.ids, self.word_ids = Memo(self._ids), Memo(self._word_ids)
         self.lockstep = Lockstep(self.ranks, self.merged)
@@ -347,6 +348,10 @@ class WordEncoder:
         """The words of a chunk; a chunk with a strange letter is one."""
         return [chunk] if not chunk.isascii() and self.strange(chunk) else self.words(chunk)
 
+    def strange(self, text: str) -> bool:
+        """Whether a letter is strange. Classes up to U+FFFF are compiled to bitmaps, others are tried range by range, so they are asked of few texts."""
+        return self.strange_low(text) is not None or (self.high(text) is not None and self.strange_high(text) is not None)
+
     @cached_property
     def library(self):
         from tokenizers import Tokenizer
@@ -408,13 +413,17 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=1)
-def strange_letters() -> str:
-    """The letters of which Python's tables know less than the library's: those not assigned, and three whose order among marks differs."""
+def strange_letters() -> tuple[str, str]:
+    """Classes of the letters of which Python's tables know less than the library's, up to U+FFFF and beyond: those not assigned, and three whose order among marks differs."""
     from unicodedata import category
 
     unknown = [c for c in range(0x80, 0x32400) if category(chr(c)) == "Cn"] + [0x1DF6, 0x1E4EC, 0x1E4ED]
-    first = [c for c, before in zip(unknown, [-1, *unknown], strict=False) if c != before + 1]
-    last = [c for c, after in zip(unknown, [*unknown[1:], -1], strict=True) if after != c + 1]
+    return letter_class([c for c in unknown if c < 0x10000]), letter_class([c for c in unknown if c >= 0x10000])
+
+
+def letter_class(letters: list[int]) -> str:
+    first = [c for c, before in zip(letters, [-1, *letters], strict=False) if c != before + 1]
+    last = [c for c, after in zip(letters, [*letters[1:], -1], strict=True) if after != c + 1]
     return "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(first, last, strict=True)) + "]"
 
 
