@@ -330,6 +330,7 @@ class WordEncoder:
         self.nfc = unicodedata.normalize
         self.path = path
         self.strange_low, self.strange_high = (re.compile(x).search for x in strange_letters())
+        self.split = self.words  # until a text with strange letters comes
         self.high = re.compile("[\U00010000-\U0010ffff]").search
         self.counts, self.word_counts = Memo(self._count), Memo(lambda w: count_after_merges(self.symbols(w), self.ranks, self.merged))
         self.ids, self.word_ids = Memo(self._ids), Memo(self._word_ids)
@@ -344,7 +345,7 @@ class WordEncoder:
     def _count(self, chunk: str) -> int:
         return sum(map(self.word_counts.__getitem__, self.split(chunk)))
 
-    def split(self, chunk: str) -> list[str]:
+    def split_strange(self, chunk: str) -> list[str]:
         """The words of a chunk; a chunk with a strange letter is one."""
         return [chunk] if not chunk.isascii() and self.strange(chunk) else self.words(chunk)
 
@@ -375,10 +376,8 @@ class WordEncoder:
         fresh: set[str] = set()
         for own in chunks:
             fresh.update(own or ())
-        fresh.difference_update(ids)
-        found = {c: self.split(c) for c in fresh if c not in old_ids}
-        new = {w for own in found.values() for w in own if w not in words and w not in old_words and len(w) <= Lockstep.LONGEST // 4}
-        new = sorted(new)
+        found = {c: self.split(c) for c in fresh if c not in ids and c not in old_ids}
+        new = list({w for own in found.values() for w in own if w not in words and w not in old_words and len(w) <= Lockstep.LONGEST // 4})
         for begin in range(0, len(new), 8192):
             part = new[begin : begin + 8192]
             words.update(zip(part, self.lockstep.merge([self.symbols(w) for w in part]), strict=True))
@@ -390,6 +389,7 @@ class WordEncoder:
         """Lower-cased stretches between white space, no word of the pattern crosses it; single words, as the library tells them, of a text with strange letters."""
         if not text.isascii():
             if self.strange(text):
+                self.split = self.split_strange
                 text = self.library.normalizer.normalize_str(text)
                 return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
             text = self.nfc("NFC", text).replace("Σ", "σ")  # each letter is lowered by itself, so no final sigma
