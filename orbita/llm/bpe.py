@@ -171,6 +171,9 @@ class PerfectHash:
 #: White space as Unicode's White_Space property has it; str.split() and \s of ``re`` also take U+001C to U+001F.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
+#: Marks that end a word and are no part of one.
+MARKS = frozenset(",.;:!?)")
+
 
 class RankEncoder:
     """Byte-level BPE by a file of ranks, as the tiktoken library encodes ordinary text, and back.
@@ -237,7 +240,7 @@ class Lockstep:
     LONGEST, NONE, BITS = 128, 1 << 30, 18
 
     def __init__(self, ranks: dict[int, int], merged: list[int]):
-        self.merged = np.array(merged, dtype=np.int64)
+        self.merged = np.array(merged, dtype=np.int32)
         self.bits = max(self.BITS, (4 * len(ranks)).bit_length())
         size = 1 << self.bits
         self.keys, self.ranks = np.full(size, -1, np.int64), np.full(size, self.NONE, np.int32)
@@ -251,7 +254,7 @@ class Lockstep:
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs; NONE where there is no merge or the right side is empty (-1)."""
-        keys = np.where(right < 0, -2, (left << SYMBOL_BITS) | right)
+        keys = np.where(right < 0, -2, (left.astype(np.int64) << SYMBOL_BITS) | right)
         at = self.home(keys)
         there = self.keys[at]
         out = np.where(there == keys, self.ranks[at], self.NONE)
@@ -266,18 +269,24 @@ class Lockstep:
         return flat_out.reshape(out.shape)
 
     def merge(self, words: list[list[int]]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(words)
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        size = np.array(list(map(len, words)), np.int64)
+        return self.merge_flat(np.fromiter(chain.from_iterable(words), np.int32, int(size.sum())), size)
+
+    def merge_flat(self, symbols: np.ndarray, size: np.ndarray) -> list[bytes]:
+        """``merge`` of words that stand one after another in ``symbols``."""
+        out: list[bytes] = [b""] * len(size)
+        order, first = np.argsort(size, kind="stable"), np.cumsum(size) - size
         for begin in range(0, len(order), 4096):
-            self._merge([words[i] for i in order[begin : begin + 4096]], order[begin : begin + 4096], out)
+            rows = order[begin : begin + 4096]
+            there = np.arange(int(size[rows].max()))[None, :] < size[rows][:, None]
+            words = np.full(there.shape, -1, np.int32)
+            words[there] = symbols[(first[rows][:, None] + np.arange(there.shape[1]))[there]]
+            self._merge(words, rows, out)
         return out
 
-    def _merge(self, words: list[list[int]], places: list[int], out: list[bytes]) -> None:
-        size = np.array(list(map(len, words)))
-        wide, live = int(size.max()), np.array(places)
-        symbols = np.full((len(words), wide), -1, np.int64)
-        symbols[np.arange(wide)[None, :] < size[:, None]] = np.fromiter(chain.from_iterable(words), np.int64, int(size.sum()))
-        ranks = np.full((len(words), wide), self.NONE, np.int32)
+    def _merge(self, symbols: np.ndarray, live: np.ndarray, out: list[bytes]) -> None:
+        wide = symbols.shape[1]
+        ranks = np.full(symbols.shape, self.NONE, np.int32)
         ranks[:, :-1] = self.rank(symbols[:, :-1], symbols[:, 1:])
         while len(live):
             at = ranks.argmin(1)
@@ -335,6 +344,7 @@ class WordEncoder:
         self.counts, self.word_counts = Memo(self._count), Memo(lambda w: count_after_merges(self.symbols(w), self.ranks, self.merged))
         self.ids, self.word_ids = Memo(self._ids), Memo(self._word_ids)
         self.lockstep = Lockstep(self.ranks, self.merged)
+        self.inner_of, self.last_of = np.array(self.inner, np.int32), np.array(self.last, np.int32)
 
     def symbols(self, word: str) -> list[int]:
         data = word.encode("utf-8")
@@ -342,8 +352,23 @@ class WordEncoder:
         out[-1] = self.last[data[-1]]
         return out
 
+    def merged_words(self, words: list[str]) -> list[bytes]:
+        """Identifiers of short words, in lockstep."""
+        data = [w.encode("utf-8") for w in words]
+        size = np.array(list(map(len, data)), np.int64)
+        letters = np.frombuffer(b"".join(data), np.uint8)
+        symbols, last = self.inner_of[letters], np.cumsum(size) - 1
+        symbols[last] = self.last_of[letters[last]]
+        return self.lockstep.merge_flat(symbols, size)
+
+    def words_of(self, chunk: str) -> list[str]:
+        """``split``, without the pattern for letters alone or with one mark after them."""
+        if chunk.isalpha():
+            return [chunk]
+        return [chunk[:-1], chunk[-1]] if chunk[-1] in MARKS and chunk[:-1].isalpha() else self.split(chunk)
+
     def _count(self, chunk: str) -> int:
-        return sum(map(self.word_counts.__getitem__, self.split(chunk)))
+        return sum(map(self.word_counts.__getitem__, self.words_of(chunk)))
 
     def split_strange(self, chunk: str) -> list[str]:
         """The words of a chunk; a chunk with a strange letter is one."""
@@ -364,7 +389,7 @@ class WordEncoder:
         return struct.pack(f"<{len(out)}I", *out)
 
     def _ids(self, chunk: str) -> bytes:
-        found = self.split(chunk)
+        found = self.words_of(chunk)
         return self.word_ids[found[0]] if len(found) == 1 else b"".join(map(self.word_ids.__getitem__, found))
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
@@ -376,11 +401,11 @@ class WordEncoder:
         fresh: set[str] = set()
         for own in chunks:
             fresh.update(own or ())
-        found = {c: self.split(c) for c in fresh if c not in ids and c not in old_ids}
+        found = {c: self.words_of(c) for c in fresh if c not in ids and c not in old_ids}
         new = list({w for own in found.values() for w in own if w not in words and w not in old_words and len(w) <= Lockstep.LONGEST // 4})
         for begin in range(0, len(new), 8192):
             part = new[begin : begin + 8192]
-            words.update(zip(part, self.lockstep.merge([self.symbols(w) for w in part]), strict=True))
+            words.update(zip(part, self.merged_words(part), strict=True))
         for c, own in found.items():
             ids[c] = words[own[0]] if len(own) == 1 else b"".join([words[w] for w in own])
         return [self.encode(text) if own is None else b"".join([ids[c] for c in own]) for text, own in zip(texts, chunks, strict=True)]

@@ -94,6 +94,14 @@ def test_encoders_equal_libraries_on_random_texts():
         assert words.count(text) == len(ids) and words.encode(text) == struct.pack(f"<{len(ids)}I", *ids) == words.encode_many([text])[0]
 
 
+def test_words_of_letters_and_a_mark_are_split_as_by_the_pattern():
+    words = word_encoder(public_tokenizers.path(op8.VOCABULARY))
+    for chunk in ("a", "ab", "é", "한국", "ab.", "é,", "ab..", "a1", "a1.", ".", "..", "'s", "a's", "ab!", "ab-", "²", "a²", "a̱", "a̱.", "ª", "(ab)", "ab\x00", "ⅷ", "ⅷ."):
+        assert words.words_of(chunk) == words.words(chunk)
+    many = ["a", "é", "thninthre", "x" * 32, "한국", "x" * 32, "zq"]
+    assert words.merged_words(many) == [words._word_ids(w) for w in many] and words.merged_words([]) == []
+
+
 def test_op1(spark, docs, none):
     tik, _ = libraries()
     path = public_tokenizers.path(op1.VOCABULARY)
