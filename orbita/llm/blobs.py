@@ -18,10 +18,16 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def deflated(rows: np.ndarray, planes: int) -> bytes:
+    """The first byte planes of rows of bytes, one after another: no copy of all planes is made."""
+    deflate = zlib.compressobj(1)
+    return b"".join([*(deflate.compress(np.ascontiguousarray(rows[:, k])) for k in range(planes)), deflate.flush()])
+
+
 def packed(numbers: np.ndarray) -> bytes:
     """Sorted unsigned numbers as differences, byte planes and deflate."""
-    steps = np.diff(numbers.astype("<u8"), prepend=np.uint64(0))
-    return zlib.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+    steps = np.diff(numbers.astype("<u8", copy=False), prepend=np.uint64(0))
+    return deflated(steps.view(np.uint8).reshape(-1, 8), 8)
 
 
 def unpacked(data: bytes) -> np.ndarray:
@@ -31,8 +37,7 @@ def unpacked(data: bytes) -> np.ndarray:
 
 def counts(numbers: np.ndarray) -> bytes:
     """Numbers below 2^40 in any order, most of them small, as byte planes and deflate."""
-    planes = np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].T)
-    return zlib.compress(planes.tobytes(), 1)
+    return deflated(np.ascontiguousarray(numbers.astype("<i8", copy=False)).view(np.uint8).reshape(-1, 8), 5)
 
 
 def uncounted(data: bytes) -> np.ndarray:

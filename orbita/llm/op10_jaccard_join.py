@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blobs import counts, grouped, packed, ranges, uncounted, unpacked
+from .blobs import counts, grouped, packed, ranges, trim, uncounted, unpacked
 from .common import forget, join_counted, map_rows, partitions, saved, table
 from .components import components
 from .hashing import mix, shingle_sets
@@ -47,6 +47,8 @@ MANY = 1000
 BROADCAST_IDS = 1_000_000
 NO_ID = -(2**63)
 KEYS = 1
+#: Rows of postings that a task hands over at once.
+ROWS = 50_000
 
 
 def band_edges(most: int = 1 << 40) -> list[int]:
@@ -144,37 +146,53 @@ def chunked(texts: DataFrame, keyed) -> DataFrame:
     parts = partitions(texts.sparkSession)
 
     def work(batches):
-        task, k = TaskContext.get().partitionId(), 0
-        held: dict[bytes, list[tuple[np.ndarray, int]]] = {}
-        size = 0
+        task, k, size = TaskContext.get().partitionId(), 0, 0
+        held: dict[bytes, int] = {}
+        # of each batch the keys; of each list its length, its owner, and what may be left out
+        own: list[np.ndarray] = []
+        lists: list[tuple[int, int, int]] = []
 
         def chunk():
-            owner = np.repeat(np.arange(len(held)), [len(x) for x in held.values()])
-            lists = [x for own in held.values() for x in own]
-            of = np.repeat(np.arange(len(lists)), [len(x) for x, _ in lists])
-            keys = np.concatenate([x for x, _ in lists]) if lists else np.zeros(0, np.uint64)
+            lengths, owner, out = np.array(lists, "<i8").reshape(-1, 3).T
+            about = np.int64(len(held)).tobytes() + b"".join(held) + owner.tobytes() + out.tobytes()
+            keys = np.concatenate(own)
+            for x in (held, own, lists):
+                x.clear()
+            of = np.repeat(np.arange(len(lengths), dtype=np.uint32), lengths)
             order = np.argsort(keys, kind="stable")
-            about = np.int64(len(held)).tobytes() + b"".join(held) + owner.astype("<i8").tobytes() + np.array([n for _, n in lists], "<i8").tobytes()
-            return message(*place(task, k, parts), TEXTS, 0, packed(keys[order]), counts(of[order]), zlib.compress(about, 1), len(keys))
+            keys, of = keys[order], of[order]
+            del order
+            return message(*place(task, k, parts), TEXTS, 0, packed(keys), counts(of), zlib.compress(about, 1), len(keys))
 
         for (texts_,) in batches:
+            new = []
             for s in shingle_sets(texts_, SHINGLE):
                 node = node_of(s)
                 if node is not None and node not in held:
-                    held[node] = keyed(s)
-                    size += sum(len(x) for x, _ in held[node])
+                    held[node] = len(held)
+                    for keys, out in keyed(s):
+                        new.append(keys)
+                        lists.append((len(keys), held[node], out))
+            own.append(np.concatenate(new) if new else np.zeros(0, np.uint64))
+            size += len(own[-1])
+            del new
+            trim()
             if size >= CHUNK:
                 yield columns([chunk()])
-                held, size, k = {}, 0, k + 1
+                trim()
+                size, k = 0, k + 1
         if held:
             yield columns([chunk()])
+            trim()
 
     return map_rows(texts, ["text"], MESSAGE, work)
 
 
 def chunk_keys(a: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """A chunk's distinct keys, and which of them each of its sorted keys is."""
-    return np.unique(unpacked(a), return_inverse=True)
+    """A chunk's distinct keys, and how many of its sorted keys each of them is."""
+    keys = unpacked(a)
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
+    return keys[first], np.diff(first, append=len(keys))
 
 
 def postings(texts: DataFrame, keyed) -> DataFrame:
@@ -186,24 +204,28 @@ def postings(texts: DataFrame, keyed) -> DataFrame:
     def ask(batches):
         for src, at, a in batches:
             for x, y, blob in zip(src, at, a, strict=True):
-                keys, of = chunk_keys(blob)
-                held = np.bincount(of, minlength=len(keys))
+                keys, held = chunk_keys(blob)
                 yield columns([message(x, y, KEYS, bucket, packed(keys[s]), counts(held[s])) for bucket, s in ranges(keys, buckets)])
+                del keys, held
+                trim()
 
     def answer(batches):
         for (dest,), rows in grouped(batches, 1):
             keys, to = common_keys(rows)
             held = np.bincount(np.concatenate(to), np.concatenate([uncounted(r[3]) for r in rows]), len(keys))
             yield columns([message(src, at, KEYS, dest, counts(held[here])) for (src, at, *_), here in zip(rows, to, strict=True)])
+            del rows, keys, to, held
+            trim()
 
     asked = to_buckets(map_rows(chunks, ["src", "at", "a"], MESSAGE, ask))
     answers = saved(map_rows(asked, ["dest", "src", "at", "a", "b", "c"], MESSAGE, answer))
 
     def live(src, at, blobs, told):
-        keys, of = chunk_keys(blobs[0])
-        n = np.concatenate([uncounted(x) for x in told[KEYS]])[of] if len(of) else np.zeros(0, np.int64)
-        keys, lists = keys[of], uncounted(blobs[1])
-        about = zlib.decompress(blobs[2])
+        keys, times = chunk_keys(blobs[0])
+        n = np.concatenate([uncounted(x) for x in told[KEYS]]) if len(keys) else np.zeros(0, np.int64)
+        n, keys = np.repeat(n, times), np.repeat(keys, times)
+        del times
+        lists, about = uncounted(blobs[1]).astype(np.uint32), zlib.decompress(blobs[2])
         nodes = np.frombuffer(about, "<i8", 1)[0]
         owner, out = np.frombuffer(about, "<i8", offset=8 + 16 * nodes).reshape(2, -1)
         order = np.lexsort((keys, -n, lists))  # of each list the commonest first
@@ -211,8 +233,11 @@ def postings(texts: DataFrame, keyed) -> DataFrame:
         first = np.flatnonzero(np.concatenate(([True], of_list[1:] != of_list[:-1]))) if len(order) else np.zeros(0, np.int64)
         rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
         kept = order[(rank >= out[of_list]) & (n[order] > 1)]
-        whose = owner[lists[kept]]
-        return {"key": keys[kept].astype(np.int64).tolist(), "node": [about[8 + 16 * i : 24 + 16 * i] for i in whose.tolist()], "n": n[kept].tolist()}
+        del order, of_list, first, rank
+        whose, keys, n = owner[lists[kept]], keys[kept].astype(np.int64), n[kept]
+        del kept, lists
+        for s in (slice(i, i + ROWS) for i in range(0, len(keys), ROWS)):
+            yield {"key": keys[s].tolist(), "node": [about[8 + 16 * i : 24 + 16 * i] for i in whose[s].tolist()], "n": n[s].tolist()}
 
     out = saved(each_chunk(to_chunks(chunks, answers), "key long, node binary, n long", live).distinct())
     forget(chunks, answers)

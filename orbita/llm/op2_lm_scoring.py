@@ -247,14 +247,14 @@ def lm_scores(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
     def diverge(src, at, blobs, answers):
         chunk = Chunk(*blobs)
         chunk.told(answers, tokens, texts)
-        return columns([message(src, at, *row) for row in chunk.diverged(buckets)])
+        yield columns([message(src, at, *row) for row in chunk.diverged(buckets)])
 
     second = saved(answered(each_chunk(to_chunks(chunks, first), MESSAGE, diverge), parts))
 
     def score(src, at, blobs, answers):
         chunk = Chunk(*blobs)
         chunk.told(answers, tokens, texts)
-        return chunk.scores(answers, tree.value, tokens, distinct)
+        yield chunk.scores(answers, tree.value, tokens, distinct)
 
     return each_chunk(to_chunks(chunks, first, second), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double", score)
 

@@ -47,14 +47,14 @@ def to_chunks(*tables: DataFrame) -> DataFrame:
 
 
 def each_chunk(rows: DataFrame, schema: str, of) -> DataFrame:
-    """``of`` a chunk's number, task, blobs, and answers by kind."""
+    """The rows that ``of`` yields for a chunk's number, task, blobs, and answers by kind."""
 
     def work(batches):
         for (src, at), own in grouped(batches, 2):
             answers: dict[int, list[bytes]] = {}
             for kind, a, _, _ in own[1:]:
                 answers.setdefault(kind, []).append(a)
-            yield of(src, at, own[0][1:], answers)
+            yield from of(src, at, own[0][1:], answers)
             del own, answers
             trim()
 

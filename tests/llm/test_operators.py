@@ -9,6 +9,7 @@ import random
 import re
 import struct
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from itertools import chain
@@ -21,7 +22,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from orbita.llm import components, hashing, queries, spelling
+from orbita.llm import blobs, components, hashing, queries, spelling
 from orbita.llm import op1_bpe_codec as op1
 from orbita.llm import op2_lm_scoring as op2
 from orbita.llm import op3_html_extraction as op3
@@ -642,6 +643,35 @@ def test_op10_hot_parts(spark, monkeypatch):
     assert ordered(map(tuple, op10.linked_documents(df).collect())) == ordered(brute_components(rows))
 
 
+def test_op10_blobs_are_packed_without_copies():
+    numbers = np.sort(np.random.default_rng(0).integers(0, 1 << 62, 1_000_000, dtype=np.uint64))
+    small = np.random.default_rng(1).integers(0, 1000, 1_000_000)
+    for pack, unpack, x, most in ((blobs.packed, blobs.unpacked, numbers, 22e6), (blobs.counts, blobs.uncounted, small, 8e6)):
+        tracemalloc.start()
+        data = pack(x)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < most and np.array_equal(unpack(data), x)
+
+
+def test_op10_postings_come_in_bounded_batches(spark, monkeypatch):
+    monkeypatch.setattr(op10, "ROWS", 10)
+    batches, once = [], op10.each_chunk
+
+    def counted(rows, schema, of):
+        def each(*chunk):
+            for out in of(*chunk):
+                yield {"key": [len(out["key"])], "node": [b""], "n": [0]}
+
+        batches.append(once(rows, schema, each).select("key").collect())
+        return once(rows, schema, of)
+
+    monkeypatch.setattr(op10, "each_chunk", counted)
+    df = spark.createDataFrame([(i, f"{i % 7} " + " ".join(BASE[0].split()[i % 7 :])) for i in range(40)], "doc_id long, text string")
+    assert op10.postings(df, op10.shingles_of).count() > 10
+    assert max(r.key for r in batches[0]) <= 10
+
+
 def test_op10_many_null_ids(spark):
     rows = [(None if i % 2 else i, f"some words of a text that goes on with number {i // 4} and ends here x{i % 4 // 2}") for i in range(3000)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
