@@ -5,8 +5,8 @@ dealt to blocks. Each block is evolved on several islands: a chromosome is a lis
 well-filled bins of one parent into the other, drops the bins there that hold a document twice and fits the displaced
 documents anew: an item of a bin is changed for a longer displaced one where that fills the bin better, new bins are
 filled by pairs that leave the least room, the rest goes where it fits best, longest first. Populations live on from
-epoch to epoch, and between epochs each island receives its neighbour's elite. A block whose bins are as few as the
-tokens allow (but the last one: but for ``TOLERANCE``) is not evolved further. Of a block's best chromosome the fullest
+epoch to epoch, and between epochs each island receives its neighbour's elite. An epoch ends when ``CHILDREN`` children
+in a row bring no fewer bins, or when the bins are as few as the tokens allow. Of a block's best chromosome the fullest
 bins stay, and the worst are dealt again with those of other blocks, until one block is left.
 
 Null texts count as empty: one piece with the end token only. Repeated rows are pieces of their own; null doc_ids are
@@ -30,10 +30,8 @@ from .bpe import word_encoder
 from .common import map_rows, partitions, saved, table
 
 VOCABULARY, CAPACITY, END = "word_bpe_49k.json", 4096, 1
-#: Pieces in a block, islands of a block, epochs between which elites migrate, children of an epoch, chromosomes of an island.
-BLOCK, ISLANDS, EPOCHS, CHILDREN, POPULATION = 8192, 2, 2, 6, 6
-#: A block that is not the last is good enough with so many more bins than its tokens need, as a share.
-TOLERANCE = 0.002
+#: Pieces in a block, islands of a block, epochs between which elites migrate, children without gain that end an epoch, chromosomes of an island.
+BLOCK, ISLANDS, EPOCHS, CHILDREN, POPULATION = 8192, 2, 2, 32, 6
 #: Pairs that are tried for each place in a new bin.
 PAIRS = 12
 #: The share of a block's bins, the worst filled, that is dealt again.
@@ -175,7 +173,11 @@ def mutated(bins: list[list[int]], lengths: list[int], capacity: int, rng: rando
 
 
 def evolve(lengths: list[int], capacity: int, seed: int, people: list[list[list[int]]], enough: int = 0, children: int = CHILDREN, population: int = POPULATION) -> list[list[list[int]]]:
-    """The population after an epoch, the best first; ends at once where the bins are ``enough`` or as few as the tokens allow."""
+    """The population after an epoch, the best first.
+
+    The epoch goes on until so many ``children`` in a row have brought no fewer bins; it ends at once where the bins are
+    ``enough`` or as few as the tokens allow.
+    """
     rng, enough = random.Random(seed), max(enough, -(-sum(lengths) // capacity))
     key = lambda bins: fitness(bins, lengths, capacity)
     if not people:
@@ -190,14 +192,15 @@ def evolve(lengths: list[int], capacity: int, seed: int, people: list[list[list[
         return people[:1]
     while len(people) < population:
         people.append(mutated(rng.choice(people), lengths, capacity, rng))
-    for _ in range(children):
-        people.sort(key=key)
-        if len(people[0]) <= enough:
-            break
+    people.sort(key=key)
+    least, stale = len(people[0]), 0
+    while stale < children and least > enough:
         a, b = rng.sample(range(len(people)), 2)
         child = crossover(people[a], people[b], lengths, capacity, rng)
         people[-1] = mutated(child, lengths, capacity, rng) if rng.random() < 0.5 else child
-    return sorted(people, key=key)[:population]
+        people.sort(key=key)
+        least, stale = len(people[0]), 0 if len(people[0]) < least else stale + 1
+    return people[:population]
 
 
 def numbers(bins: list[list[int]], n: int) -> list[int]:
@@ -215,18 +218,16 @@ def lists(of: list[int]) -> list[list[int]]:
     return list(out.values())
 
 
-def solved(blocks: DataFrame, capacity: int, last: bool) -> DataFrame:
-    """(block, ids, lengths, bins) of every block: the best island after all epochs."""
+def solved(blocks: DataFrame, capacity: int, last: bool = True) -> DataFrame:
+    """(block, ids, lengths, bins) of every block: the best island after all epochs. All blocks are evolved alike, ``last`` or not."""
     islands = blocks.select("block", "ids", "lengths", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), F.array().cast("array<array<int>>").alias("people"))
-    tolerance = 0.0 if last else TOLERANCE
     for epoch in range(EPOCHS):
 
         def work(batches, epoch=epoch):
             for block, ids, lengths, island, people in batches:
                 found = []
                 for b, own, k, before in zip(block, lengths, island, people, strict=True):
-                    enough = int(sum(own) * (1 + tolerance) / capacity)
-                    found.append([numbers(bins, len(own)) for bins in evolve(own, capacity, (b * ISLANDS + k) * EPOCHS + epoch, [lists(p) for p in before], enough)])
+                    found.append([numbers(bins, len(own)) for bins in evolve(own, capacity, (b * ISLANDS + k) * EPOCHS + epoch, [lists(p) for p in before])])
                 yield {"block": block, "ids": ids, "lengths": lengths, "island": island, "people": found}
 
         # a row is a bounded block; dealing rows evenly keeps all cores busy
@@ -267,7 +268,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> Data
         blocks, turn = -(-n // block), turn + 1
         dealt = rest.withColumn("block", F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(blocks)))
         grouped = dealt.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("length", "id")), asc=False).alias("all")).select("block", F.col("all.id").alias("ids"), F.col("all.length").alias("lengths"))
-        result = saved(placed(solved(grouped, capacity, blocks == 1), capacity, blocks == 1))
+        result = saved(placed(solved(grouped, capacity), capacity, blocks == 1))
         done = done.unionByName(result.where("sequence_id IS NOT NULL").select("id", "sequence_id", "offset"))
         if blocks == 1:
             break

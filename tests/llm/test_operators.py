@@ -385,6 +385,21 @@ def test_op5_evolution_beats_best_fit_with_production_values(spark, low, high, g
     assert len(bins) < len(start)  # better than both ways to begin
 
 
+def test_op5_epoch_goes_on_while_children_improve():
+    rng = random.Random(3)
+    lengths = [rng.randint(1, 4095) for _ in range(op5.BLOCK)]
+    start = op5.evolve(lengths, op5.CAPACITY, 0, [], 0, 0, 2)[0]
+    best = op5.evolve(lengths, op5.CAPACITY, 0, [])[0]
+    assert sorted(i for b in best for i in b) == list(range(op5.BLOCK)) and len(best) < len(start)
+
+
+def test_op5_blocks_before_the_last_are_packed_as_well_as_tokens_allow(spark):
+    rng = random.Random(3)
+    lengths = [rng.randint(300, 1500) for _ in range(op5.BLOCK)]
+    blocks = spark.createDataFrame([(0, list(range(len(lengths))), lengths)], "block long, ids array<long>, lengths array<int>")
+    (r,) = op5.solved(blocks, op5.CAPACITY, False).collect()
+    assert max(r.bins) + 1 == -(-sum(lengths) // op5.CAPACITY)
+
 def test_op6(spark, docs, none):
     bad, ok = ["vile", "rotten", "scumword"], "the plain words of every day go here and there with more to say".split()
     rng = random.Random(2)
