@@ -316,6 +316,9 @@ class WordEncoder:
     Special tokens that stand in a text are single tokens, as the library's default has it.
     """
 
+    #: Characters of texts that ``encode_many`` splits at once, and words and chunks whose identifiers a generation of the memo holds.
+    AT_ONCE, WORDS = 500_000, 150_000
+
     def __init__(self, path: str):
         import re
         import unicodedata
@@ -342,7 +345,7 @@ class WordEncoder:
         self.split = self.words  # until a text with strange letters comes
         self.high = re.compile("[\U00010000-\U0010ffff]").search
         self.counts, self.word_counts = Memo(self._count), Memo(lambda w: count_after_merges(self.symbols(w), self.ranks, self.merged))
-        self.ids, self.word_ids = Memo(self._ids), Memo(self._word_ids)
+        self.ids = Memo(self._ids, self.WORDS)
         self.lockstep = Lockstep(self.ranks, self.merged)
         self.inner_of, self.last_of = np.array(self.inner, np.int32), np.array(self.last, np.int32)
 
@@ -389,25 +392,42 @@ class WordEncoder:
         return struct.pack(f"<{len(out)}I", *out)
 
     def _ids(self, chunk: str) -> bytes:
+        """A word that is split again stays one, so one memo holds words and chunks."""
         found = self.words_of(chunk)
-        return self.word_ids[found[0]] if len(found) == 1 else b"".join(map(self.word_ids.__getitem__, found))
+        return self._word_ids(chunk) if len(found) == 1 else b"".join(map(self.ids.__getitem__, found))
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        """``encode`` of every text; the short new words of all of them go through the merges in lockstep."""
+        """``encode`` of every text, ``AT_ONCE`` characters of them (one text at least) at a time: their words take many times that."""
+        out, some, size = [], [], 0
+        for text in texts:
+            some.append(text)
+            size += len(text)
+            if size >= self.AT_ONCE:
+                out += self._encode_some(some)
+                some, size = [], 0
+        return out + self._encode_some(some)
+
+    def _encode_some(self, texts: list[str]) -> list[bytes]:
+        """The short new words of all texts go through the merges in lockstep."""
         self.ids.trim()
-        self.word_ids.trim()
         chunks = [None if "<|" in text else self.chunks(text) for text in texts]
-        ids, old_ids, words, old_words = self.ids, self.ids.old, self.word_ids, self.word_ids.old
-        fresh: set[str] = set()
-        for own in chunks:
-            fresh.update(own or ())
-        found = {c: self.words_of(c) for c in fresh if c not in ids and c not in old_ids}
-        new = list({w for own in found.values() for w in own if w not in words and w not in old_words and len(w) <= Lockstep.LONGEST // 4})
-        for begin in range(0, len(new), 8192):
-            part = new[begin : begin + 8192]
-            words.update(zip(part, self.merged_words(part), strict=True))
-        for c, own in found.items():
-            ids[c] = words[own[0]] if len(own) == 1 else b"".join([words[w] for w in own])
+        ids, old, new, parted = self.ids, self.ids.old, set(), {}
+        for c in set().union(*(own or () for own in chunks)):
+            if c in ids:
+                continue
+            if (value := old.get(c)) is not None:
+                ids[c] = value
+            elif c.isalpha() or len(found := self.words_of(c)) == 1:
+                new.add(c)
+            else:
+                parted[c] = found
+                new.update([w for w in found if w not in ids and w not in old])
+        short = [w for w in new if len(w) <= Lockstep.LONGEST // 4]
+        for begin in range(0, len(short), 8192):
+            part = short[begin : begin + 8192]
+            ids.update(zip(part, self.merged_words(part), strict=True))
+        for c, found in parted.items():
+            ids[c] = b"".join([ids[w] for w in found])
         return [self.encode(text) if own is None else b"".join([ids[c] for c in own]) for text, own in zip(texts, chunks, strict=True)]
 
     def chunks(self, text: str) -> list[str]:
@@ -431,7 +451,6 @@ class WordEncoder:
     def encode(self, text: str) -> bytes:
         """Identifiers as little-endian unsigned 32-bit numbers."""
         self.ids.trim()
-        self.word_ids.trim()
         if "<|" not in text:
             return b"".join(map(self.ids.__getitem__, self.chunks(text)))
         return b"".join(struct.pack("<I", self.special[part]) if part in self.special else b"".join(map(self.ids.__getitem__, self.chunks(part))) for part in self.parts(text))

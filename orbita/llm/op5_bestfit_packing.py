@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .blobs import trim
 from .bpe import word_encoder
 from .common import map_rows, partitions, saved, table
 
@@ -42,6 +43,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """(id, doc_id, piece, start, length, ids_crc32) of every piece of every row."""
 
     def work(batches):
+        trim()  # a worker may come from another stage
         coder, n = word_encoder(path), TaskContext.get().partitionId() << 40
         end, step = struct.pack("<I", END), 4 * capacity
         for keys, texts in batches:
@@ -54,6 +56,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
                         c.append(v)
                     n += 1
             yield out
+        trim()
 
     return map_rows(docs, ["doc_id", "text"], "id long, doc_id long, piece int, start long, length long, ids_crc32 long", work)
 

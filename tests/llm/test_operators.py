@@ -103,6 +103,22 @@ def test_words_of_letters_and_a_mark_are_split_as_by_the_pattern():
     assert words.merged_words(many) == [words._word_ids(w) for w in many] and words.merged_words([]) == []
 
 
+def test_encoding_many_texts_holds_the_words_of_few():
+    words, rng = word_encoder(public_tokenizers.path(op5.VOCABULARY)), random.Random(7)
+    texts = [" ".join(f"w{rng.getrandbits(50):x}"[: rng.randint(4, 12)] + rng.choice(["", ",", "'s", "!?"]) for _ in range(6000)) for _ in range(80)]
+    tracemalloc.start()
+    try:
+        got = words.encode_many(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 120e6
+    assert got[::20] == [words.encode(t) for t in texts[::20]] == [struct.pack(f"<{len(x)}I", *x) for x in (libraries()[1].encode(t, add_special_tokens=False).ids for t in texts[::20])]
+    # one memo holds words and chunks
+    for chunk in ("'s", "a's", "''s", "!?'ll", "a1b", "x,", "x!,", "'", "한국.", "²a", "\x00a", "ⅷ's"):
+        assert all(words.words_of(w) == [w] for w in words.words_of(chunk))
+
+
 def test_op1(spark, docs, none):
     tik, _ = libraries()
     path = public_tokenizers.path(op1.VOCABULARY)
