@@ -220,8 +220,9 @@ def spelling(spelled: DataFrame) -> Tree:
             yield {"code": codes.tolist(), "c": np.bincount(to, np.concatenate([uncounted(b) for _, b in rows]), len(codes)).astype(np.int64).tolist()}
 
     entries = saved(map_rows(sent, ["dest", "a", "b"], "code long, c long", work))
-    got = retained(entries).toArrow()  # bounded, see ``retained``
-    forget(entries)
+    kept = saved(retained(entries))  # so that its joins leave no shuffle files beside the next round's
+    got = kept.toArrow()  # bounded, see ``retained``
+    forget(entries, kept)
     ends, n = transitions([], 1) if len(got) else (np.zeros(0, np.int64),) * 2
     return Tree.build(np.concatenate((got["code"].to_numpy(), ends)), np.concatenate((got["c"].to_numpy(), n)))
 
@@ -242,7 +243,8 @@ def lm_scores(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
     first = saved(answered(map_rows(chunks, ["src", "at", "a", "b", "c"], MESSAGE, ask), parts))
     distinct = int(first.agg(F.sum("n")).first()[0] or 0) + (texts > 0)
     tree = spark.sparkContext.broadcast(spelling(first.where(F.col("kind") == SPELLED)))
-    first = first.where(F.col("kind") != SPELLED)
+    both, first = first, saved(first.where(F.col("kind") != SPELLED))
+    forget(both)
 
     def diverge(src, at, blobs, answers):
         chunk = Chunk(*blobs)

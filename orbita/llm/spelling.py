@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 DEPTH, GAIN = 5, 3e-4
 WORD_END, TEXT_END, SYMBOLS, START = 256, 257, 258, 258
 BITS = 9
+#: Words of at most so many bytes go through a table of nodes and symbols, if the tree has no more nodes than that; other words are looked up symbol by symbol.
+SHORT, NODES = 64, 4096
+#: Stands where a node has no symbol.
+NONE = 511
 
 
 def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,6 +92,10 @@ class Tree:
     back_off: np.ndarray
     entries: np.ndarray
     log_p: np.ndarray
+    #: For a node and a next symbol: the node after it, and the symbol's log10 (none for a tree of many nodes).
+    step: np.ndarray | None = None
+    cost: np.ndarray | None = None
+    begin: int = 0
 
     @classmethod
     def build(cls, codes: np.ndarray, counts: np.ndarray) -> Tree:
@@ -114,14 +122,61 @@ class Tree:
                 open_ = open_[~hit]
             p[mine] = (counts[mine] + kinds[of[mine]] * lower) / (total[of[mine]] + kinds[of[mine]])
         back = np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1.0)
-        return cls(states, np.log10(np.maximum(back, 1e-300)), codes, np.log10(p))
+        tree = cls(states, np.log10(np.maximum(back, 1e-300)), codes, np.log10(p))
+        tree.tabulate()
+        return tree
+
+    def tabulate(self) -> None:
+        """Nodes are the retained contexts and what they begin with, so that the longest node that ends a longer text follows from the one before."""
+        width, held = BITS * DEPTH, {0}
+        for s in self.states.tolist():
+            while s not in held:
+                held.add(s)
+                s = (s >> width) - 1 << width | (s & (1 << width) - 1) >> BITS
+            if len(held) > NODES:
+                return
+        nodes = np.array(sorted(held))
+        length, context = nodes >> width, nodes & (1 << width) - 1
+        self.begin = int(np.searchsorted(nodes, at)) if (at := 1 << width | START) in held else 0
+        after = (context[:, None] << BITS | np.arange(WORD_END + 1)).ravel()
+        size = np.repeat(np.minimum(length + 1, DEPTH), WORD_END + 1)
+        self.step = np.zeros(len(after), np.int32)
+        for k in range(1, DEPTH + 1):  # the longest that is a node comes last
+            want = np.int64(k) << np.int64(width) | after & (1 << BITS * k) - 1
+            where = np.minimum(np.searchsorted(nodes, want), len(nodes) - 1)
+            hit = (k <= size) & (nodes[where] == want)
+            self.step[hit] = where[hit]
+        cost = []
+        for a in range(0, len(nodes), 256):
+            own = context[a : a + 256]
+            symbols = np.empty((len(own), WORD_END + 1, DEPTH + 1), np.int64)
+            for k in range(DEPTH):
+                symbols[:, :, DEPTH - 1 - k] = np.where(length[a : a + 256] > k, own >> BITS * k & NONE, NONE)[:, None]
+            symbols[:, :, DEPTH] = np.arange(WORD_END + 1)
+            before = np.zeros(symbols.shape, np.int64)
+            before[:, :, DEPTH] = DEPTH + 1
+            cost.append(self.of_symbols(symbols.ravel(), before.ravel())[DEPTH :: DEPTH + 1])
+        self.cost = np.concatenate(cost)
 
     def log10(self, words: list[bytes]) -> np.ndarray:
         """Of each word, its end mark included."""
-        if not words:
-            return np.zeros(0)
-        symbols, owner, before = spelled(words)
-        return np.bincount(owner, self.of_symbols(symbols, before), len(words))
+        out, size = np.zeros(len(words)), np.fromiter(map(len, words), np.int64, len(words))
+        far = size > (SHORT if self.step is not None else -1)
+        if far.any():
+            symbols, owner, before = spelled([words[i] for i in np.flatnonzero(far).tolist()])
+            out[far] = np.bincount(owner, self.of_symbols(symbols, before), int(far.sum()))
+        order = np.argsort(-size, kind="stable")[int(far.sum()) :]  # the longest first
+        if len(order):
+            data, first, left = np.frombuffer(b"".join(words), np.uint8), (np.cumsum(size) - size)[order], -size[order]
+            node, sums = np.full(len(order), self.begin), np.zeros(len(order))
+            for k in range(1 - int(left[0])):
+                more, ended = np.searchsorted(left, -k), np.searchsorted(left, -k, "right")
+                cell = node[:more] * (WORD_END + 1) + data[first[:more] + k]
+                sums[:more] += self.cost[cell]
+                sums[more:ended] += self.cost[node[more:ended] * (WORD_END + 1) + WORD_END]
+                node[:more] = self.step[cell]
+            out[order] = sums
+        return out
 
     def text_end(self) -> float:
         return float(self.of_symbols(np.array([TEXT_END]), np.array([1]))[0])

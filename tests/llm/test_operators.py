@@ -13,6 +13,7 @@ import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from itertools import chain
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -252,6 +253,42 @@ def test_op2_beats_its_base_where_all_words_are_known(spark):
     assert len(rows) > 20 and sum(r.score for r in rows) > 0.7 * sum(r.base_score for r in rows)
 
 
+def test_op2_spelling_leaves_no_shuffle_files(spark):
+    dirs = [d.getPath() for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    shuffled = lambda: {p: p.stat().st_size for d in dirs for p in Path(d).rglob("shuffle_*.data")}
+    codes, n = spelling.transitions([b"word%d" % (i * 7919) for i in range(20_000)])
+    rows = spark.createDataFrame([op2.message(0, k, op2.SPELLED, k, op2.packed(codes[k::3]), op2.counts(n[k::3])) for k in range(3)], op2.MESSAGE)
+    before = shuffled()
+    tree = op2.spelling(rows)
+    left = sum(size for p, size in shuffled().items() if p not in before)
+    assert len(tree.entries) > 100 and left < 20_000, left  # an aggregate's row for each task may stay
+
+
+def test_op2_keeps_no_spelling_rows_beside_the_counts(spark, docs):
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    before = set(shared.glob("orbita-*"))
+    op2.lm_scores(docs)
+    kinds = [{r.kind for r in t.select("kind").distinct().collect()} for t in (spark.read.parquet(str(p)) for p in set(shared.glob("orbita-*")) - before) if "kind" in t.columns]
+    assert {op2.WORDS, op2.SEQUENCES} in kinds and not any(op2.SPELLED in k for k in kinds)
+
+
+def test_op2_spelling_by_table_equals_lookups(monkeypatch):
+    random.seed(5)
+    words = list({bytes(random.choice(b"abcab\xc3\xa9") for _ in range(random.randrange(1, 12))) for _ in range(3000)})
+    codes, n = spelling.transitions(words, 1)
+    states = np.unique(codes >> spelling.BITS)
+    kept = np.array([s == 0 or random.random() < 0.3 for s in states.tolist()])  # suffixes and beginnings are missing
+    keep = kept[np.searchsorted(states, codes >> spelling.BITS)]
+    asked = [*words, b"", b"z", b"abz" * 9, b"ab" * 32, b"ab" * 33, b"a" * 500]
+    for entries in ((codes[keep], n[keep]), (codes[:0], n[:0])):
+        monkeypatch.setattr(spelling, "NODES", 10**6)
+        tree = spelling.Tree.build(*entries)
+        monkeypatch.setattr(spelling, "NODES", 0)
+        plain = spelling.Tree.build(*entries)
+        assert tree.step is not None and plain.step is None
+        assert tree.log10(asked).tolist() == plain.log10(asked).tolist() and tree.log10([]).tolist() == []
+
+
 def test_op2_spelling_is_a_distribution_and_bounded():
     words = [b"the", b"then", b"other", b"zz"]
     tree = spelling.Tree.build(*spelling.transitions(words, 1))
