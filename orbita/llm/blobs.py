@@ -5,7 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,33 +18,55 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def deflated(rows: np.ndarray, planes: int) -> bytes:
-    """The first byte planes of rows of bytes, one after another: no copy of all planes is made."""
-    deflate = zlib.compressobj(1)
-    return b"".join([*(deflate.compress(np.ascontiguousarray(rows[:, k])) for k in range(planes)), deflate.flush()])
+#: So many numbers are turned into bytes at once.
+PIECE = 1 << 18
+
+
+def deflated(rows: Callable[[int, int], np.ndarray], n: int, planes: int) -> bytes:
+    """The first byte planes of n rows of 8 bytes, one after another; ``rows`` gives those of a range, so that they are never held all at once."""
+    deflate, out = zlib.compressobj(1), []
+    whole = rows(0, n) if n <= PIECE else None
+    for k in range(planes):
+        for a in range(0, n, PIECE):
+            piece = rows(a, min(n, a + PIECE)) if whole is None else whole
+            out.append(deflate.compress(np.ascontiguousarray(piece.view(np.uint8).reshape(-1, 8)[:, k])))
+    return b"".join([*out, deflate.flush()])
+
+
+def inflated(data: bytes, planes: int) -> np.ndarray:
+    """Rows of 8 bytes from their first byte planes."""
+    inflate, held = zlib.decompressobj(), []
+    while part := inflate.decompress(data if not held else inflate.unconsumed_tail, PIECE):
+        held.append(np.frombuffer(part, np.uint8))
+    n = sum(map(len, held)) // planes
+    rows, at = np.zeros((n, 8), np.uint8), 0
+    for part in held:
+        while len(part):  # a part may cross planes
+            k, i = divmod(at, n)
+            own, part = part[: n - i], part[n - i :]
+            rows[i : i + len(own), k] = own
+            at += len(own)
+    return rows
 
 
 def packed(numbers: np.ndarray) -> bytes:
     """Sorted unsigned numbers as differences, byte planes and deflate."""
-    steps = np.diff(numbers.astype("<u8", copy=False), prepend=np.uint64(0))
-    return deflated(steps.view(np.uint8).reshape(-1, 8), 8)
+    steps = lambda a, b: np.diff(numbers[a:b].astype("<u8", copy=False), prepend=np.uint64(numbers[a - 1] if a else 0))
+    return deflated(steps, len(numbers), 8)
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+    steps = inflated(data, 8).view("<u8").ravel()
+    return np.cumsum(steps, out=steps)
 
 
 def counts(numbers: np.ndarray) -> bytes:
     """Numbers below 2^40 in any order, most of them small, as byte planes and deflate."""
-    return deflated(np.ascontiguousarray(numbers.astype("<i8", copy=False)).view(np.uint8).reshape(-1, 8), 5)
+    return deflated(lambda a, b: np.ascontiguousarray(numbers[a:b].astype("<i8", copy=False)), len(numbers), 5)
 
 
 def uncounted(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(5, -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, :5] = planes.T
-    return out.view("<u8").ravel().astype(np.int64)
+    return inflated(data, 5).view("<i8").ravel()
 
 
 def floats(numbers: np.ndarray) -> bytes:
@@ -60,9 +82,9 @@ def unfloats(data: bytes) -> np.ndarray:
 
 def ranges(keys: np.ndarray, buckets: int) -> list[tuple[int, slice]]:
     """(bucket, slice) of sorted 64-bit keys: equal shares of the key space."""
-    bucket = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-    first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    return [(int(bucket[a]), slice(a, b)) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(keys)], strict=True)]
+    least = np.array([-(-(b << 32) // buckets) << 32 for b in range(buckets)], np.uint64)
+    ends = [*np.searchsorted(keys, least).tolist(), len(keys)]
+    return [(bucket, slice(a, b)) for bucket, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if a < b]
 
 
 def grouped(batches: Iterator[list[list]], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:

@@ -47,8 +47,8 @@ MANY = 1000
 BROADCAST_IDS = 1_000_000
 NO_ID = -(2**63)
 KEYS = 1
-#: Rows of postings that a task hands over at once.
-ROWS = 50_000
+#: Rows of postings, and bytes of requests, that a task hands over at once.
+ROWS, BYTES = 50_000, 1 << 20
 
 
 def band_edges(most: int = 1 << 40) -> list[int]:
@@ -160,7 +160,8 @@ def chunked(texts: DataFrame, keyed) -> DataFrame:
                 x.clear()
             of = np.repeat(np.arange(len(lengths), dtype=np.uint32), lengths)
             order = np.argsort(keys, kind="stable")
-            keys, of = keys[order], of[order]
+            of = of[order]
+            keys = keys[order]
             del order
             return message(*place(task, k, parts), TEXTS, 0, packed(keys), counts(of), zlib.compress(about, 1), len(keys))
 
@@ -188,11 +189,21 @@ def chunked(texts: DataFrame, keyed) -> DataFrame:
     return map_rows(texts, ["text"], MESSAGE, work)
 
 
-def chunk_keys(a: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """A chunk's distinct keys, and how many of its sorted keys each of them is."""
-    keys = unpacked(a)
-    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
-    return keys[first], np.diff(first, append=len(keys))
+def firsts(keys: np.ndarray) -> np.ndarray:
+    """Which of sorted keys differ from the one before."""
+    first = np.ones(len(keys), bool)
+    np.not_equal(keys[1:], keys[:-1], out=first[1:])
+    return first
+
+
+def listed(lists: np.ndarray, most: int):
+    """Places of lists' numbers, whole lists in ascending order, about ``most`` places at once; a list's places ascend."""
+    order, ends = np.argsort(lists, kind="stable"), np.cumsum(np.bincount(lists))
+    a = 0
+    while a < len(order):
+        b = int(ends[min(np.searchsorted(ends, a + most), len(ends) - 1)])
+        yield order[a:b]
+        a = b
 
 
 def postings(texts: DataFrame, keyed) -> DataFrame:
@@ -204,40 +215,55 @@ def postings(texts: DataFrame, keyed) -> DataFrame:
     def ask(batches):
         for src, at, a in batches:
             for x, y, blob in zip(src, at, a, strict=True):
-                keys, held = chunk_keys(blob)
-                yield columns([message(x, y, KEYS, bucket, packed(keys[s]), counts(held[s])) for bucket, s in ranges(keys, buckets)])
-                del keys, held
+                keys, rows, size = unpacked(blob), [], 0
+                for bucket, s in ranges(keys, buckets):  # equal keys are in one bucket
+                    first = np.flatnonzero(firsts(keys[s]))
+                    rows.append(message(x, y, KEYS, bucket, packed(keys[s][first]), counts(np.diff(first, append=s.stop - s.start))))
+                    size += len(rows[-1][4]) + len(rows[-1][5])
+                    if size >= BYTES:
+                        yield columns(rows)
+                        rows, size = [], 0
+                del keys
+                yield columns(rows)
+                del rows
                 trim()
 
     def answer(batches):
         for (dest,), rows in grouped(batches, 1):
             keys, to = common_keys(rows)
-            held = np.bincount(np.concatenate(to), np.concatenate([uncounted(r[3]) for r in rows]), len(keys))
+            held = np.zeros(len(keys), np.int64)
+            del keys
+            for r, here in zip(rows, to, strict=True):
+                held[here] += uncounted(r[3])  # a request has distinct keys
             yield columns([message(src, at, KEYS, dest, counts(held[here])) for (src, at, *_), here in zip(rows, to, strict=True)])
-            del rows, keys, to, held
+            del rows, to, held
             trim()
 
     asked = to_buckets(map_rows(chunks, ["src", "at", "a"], MESSAGE, ask))
     answers = saved(map_rows(asked, ["dest", "src", "at", "a", "b", "c"], MESSAGE, answer))
 
     def live(src, at, blobs, told):
-        keys, times = chunk_keys(blobs[0])
-        n = np.concatenate([uncounted(x) for x in told[KEYS]]) if len(keys) else np.zeros(0, np.int64)
-        n, keys = np.repeat(n, times), np.repeat(keys, times)
-        del times
         lists, about = uncounted(blobs[1]).astype(np.uint32), zlib.decompress(blobs[2])
+        keys = unpacked(blobs[0])
+        of_key = np.cumsum(firsts(keys), dtype=np.uint32)
+        n, at_key = np.zeros(int(of_key[-1]) + 1 if len(keys) else 1, np.int64), 1  # the first key is number 1
+        for x in told.get(KEYS, ()):
+            part = uncounted(x)
+            n[at_key : at_key + len(part)] = part
+            at_key += len(part)
         nodes = np.frombuffer(about, "<i8", 1)[0]
         owner, out = np.frombuffer(about, "<i8", offset=8 + 16 * nodes).reshape(2, -1)
-        order = np.lexsort((keys, -n, lists))  # of each list the commonest first
-        of_list = lists[order]
-        first = np.flatnonzero(np.concatenate(([True], of_list[1:] != of_list[:-1]))) if len(order) else np.zeros(0, np.int64)
-        rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
-        kept = order[(rank >= out[of_list]) & (n[order] > 1)]
-        del order, of_list, first, rank
-        whose, keys, n = owner[lists[kept]], keys[kept].astype(np.int64), n[kept]
-        del kept, lists
-        for s in (slice(i, i + ROWS) for i in range(0, len(keys), ROWS)):
-            yield {"key": keys[s].tolist(), "node": [about[8 + 16 * i : 24 + 16 * i] for i in whose[s].tolist()], "n": n[s].tolist()}
+        for places in listed(lists, ROWS):
+            held, of_list = n[of_key[places]], lists[places]
+            order = np.lexsort((-held, of_list))  # of each list the commonest first, equal ones by key
+            places, held = places[order], held[order]
+            first = np.flatnonzero(firsts(of_list))
+            rank = np.arange(len(order)) - np.repeat(first, np.diff(first, append=len(order)))
+            kept = (rank >= out[of_list]) & (held > 1)
+            places, held = places[kept], held[kept]
+            whose, own = owner[lists[places]], keys[places].astype(np.int64)
+            for s in (slice(i, i + ROWS) for i in range(0, len(own), ROWS)):
+                yield {"key": own[s].tolist(), "node": [about[8 + 16 * i : 24 + 16 * i] for i in whose[s].tolist()], "n": held[s].tolist()}
 
     out = saved(each_chunk(to_chunks(chunks, answers), "key long, node binary, n long", live).distinct())
     forget(chunks, answers)

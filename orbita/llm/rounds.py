@@ -64,6 +64,8 @@ def each_chunk(rows: DataFrame, schema: str, of) -> DataFrame:
 def common_keys(rows: list[tuple]) -> tuple[np.ndarray, list[np.ndarray]]:
     """The distinct keys of requests (src, at, a, b, c), and where each request's keys stand among them."""
     keys = [unpacked(r[2]) for r in rows]
-    unique, to = np.unique(np.concatenate(keys), return_inverse=True)
-    end = np.cumsum([0, *map(len, keys)])
-    return unique, [to[a:b] for a, b in zip(end[:-1], end[1:], strict=True)]
+    unique = np.unique(np.concatenate(keys))
+    to = []
+    while keys:  # each goes as soon as its places are known
+        to.append(np.searchsorted(unique, keys.pop()))
+    return unique, to[::-1]

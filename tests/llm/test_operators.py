@@ -722,6 +722,48 @@ def test_op10_blobs_are_packed_without_copies():
         assert peak < most and np.array_equal(unpack(data), x)
 
 
+def traced(f):
+    tracemalloc.start()
+    try:
+        return f(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_op10_texts_are_hashed_few_at_once():
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.getrandbits(24)}" for _ in range(n)) for n in [6000] * 60 + [0, 3, 5]] + [None, LONG]
+    sets, peak = traced(lambda: hashing.shingle_sets(texts, 5))
+    assert peak < 40e6
+    assert all(np.array_equal(s, hashing.shingle_sets([t], 5)[0]) for s, t in zip(sets, texts, strict=True))
+    assert hashing.shingle_sets([], 5) == []
+
+
+def test_op10_blobs_are_unpacked_without_copies():
+    numbers = np.sort(np.random.default_rng(0).integers(0, 1 << 62, 1_000_000, dtype=np.uint64))
+    small = np.random.default_rng(1).integers(0, 1 << 40, 1_000_000)
+    for pack, unpack, x, most in ((blobs.packed, blobs.unpacked, numbers, 19e6), (blobs.counts, blobs.uncounted, small, 16e6)):
+        got, peak = traced(lambda data=pack(x), unpack=unpack: unpack(data))
+        assert peak < most and np.array_equal(got, x)
+        for n in (0, 1, blobs.PIECE - 1, blobs.PIECE, blobs.PIECE + 1):
+            assert np.array_equal(unpack(pack(x[:n])), x[:n])
+
+
+def test_op10_ranges_of_keys():
+    for buckets in (1, 3, 12, 1000):
+        edge = [-(-(b << 32) // buckets) << 32 for b in range(1, buckets)]
+        keys = np.array([0, *(e + d for e in edge for d in (-1, 0, 0)), (1 << 64) - 1], np.uint64)
+        assert [int(k) for _, s in blobs.ranges(keys, buckets) for k in keys[s]] == keys.tolist()
+        assert all((int(k) >> 32) * buckets >> 32 == b for b, s in blobs.ranges(keys, buckets) for k in keys[s])
+        assert blobs.ranges(keys[:0], buckets) == []
+
+
+def test_op10_only_texts_without_parts(spark):
+    rows = [(1, "one two"), (2, "One\ttwo"), (3, "x"), (4, ""), (5, None), (None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert ordered(map(tuple, op10.linked_documents(df).collect())) == ordered(brute_components(rows))
+
+
 def test_op10_postings_come_in_bounded_batches(spark, monkeypatch):
     monkeypatch.setattr(op10, "ROWS", 10)
     batches, once = [], op10.each_chunk
