@@ -55,10 +55,13 @@ def dwithin(lng1: Column, lat1: Column, lng2: Column, lat2: Column, metres: Colu
 
 
 def inside_convex(v: Column, corners: list[Column]) -> Column:
-    """A vector strictly inside a convex counter-clockwise ring of vectors: left of every edge."""
+    """A vector strictly inside a convex counter-clockwise ring of vectors: left of every edge.
+
+    Written as a . (b x v): on an edge rounding decides, so that the order of the operations is part of the result.
+    """
     found = F.lit(True)
     for a, b in zip(corners, [*corners[1:], corners[0]], strict=True):
-        found = found & (dot(cross(a, b), v) > 0)
+        found = found & (dot(a, cross(b, v)) > 0)
     return found
 
 

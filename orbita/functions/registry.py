@@ -361,6 +361,31 @@ def leaf_cells(lng: Column, lat: Column) -> Column:
     return F.when(lng.isNotNull() & lat.isNotNull(), _cells_udf()(lng, lat))
 
 
+@cache
+def _vectors_udf():
+    def vectors(lng: pd.Series, lat: pd.Series) -> pd.DataFrame:
+        import numpy as np
+
+        at = [(c.to_numpy(float) * (math.pi / 180)).tolist() for c in (lng, lat)]
+        of = lambda f, c: np.array([f(x) if math.isfinite(x) else math.nan for x in c])
+        cos = of(math.cos, at[1])
+        return pd.DataFrame({"x": of(math.cos, at[0]) * cos, "y": of(math.sin, at[0]) * cos, "z": of(math.sin, at[1])})
+
+    vectors.__annotations__ = {"lng": pd.Series, "lat": pd.Series, "return": pd.DataFrame}
+    return F.pandas_udf(vectors, XYZ)
+
+
+def unit_vectors(lng: Column, lat: Column) -> Column:
+    """``native.to_xyz`` by the C library's sines, as SQL engines take them; the JVM's differ in the last bit now and then.
+
+    That bit decides for points on an edge. Null gives null.
+    """
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        ship.ensure(spark)
+    return F.when(lng.isNotNull() & lat.isNotNull(), _vectors_udf()(lng, lat))
+
+
 def register_all(spark: SparkSession) -> list[str]:
     """Every function under its SQL name in this session."""
     ship.ensure(spark)

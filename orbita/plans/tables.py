@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbita.functions import native
+from orbita.functions import native, registry
 
 RADIUS = "6371010.0"
 
@@ -44,6 +44,23 @@ def corner_vectors(lng0=None, lat0=None) -> list:
     return [native.to_xyz(lng0 + x, lat0 + y) for x, y in CORNERS]
 
 
+#: Columns of a nation's corners and of a point as vectors by the C library's sines, see ``registry.unit_vectors``.
+CORNER_NAMES, VECTOR = [f"_corner{k}" for k in range(4)], "_vector"
+
+
+def with_corners(shapes: DataFrame) -> DataFrame:
+    return shapes.withColumns({name: registry.unit_vectors(F.col("lng0") + x, F.col("lat0") + y) for name, (x, y) in zip(CORNER_NAMES, CORNERS, strict=True)})
+
+
+def with_vector(points: DataFrame) -> DataFrame:
+    return points.withColumn(VECTOR, registry.unit_vectors(F.col("lng"), F.col("lat")))
+
+
+def inside_corners():
+    """A point inside a nation, or on its edge, as SQL_INSIDE has it."""
+    return native.inside_convex(F.col(VECTOR), [F.col(c) for c in CORNER_NAMES])
+
+
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """c_custkey with the points of its orders in key order: at most some dozens for a customer."""
     points = keyed_points(read(spark, sf_dir, "orders"), "o_orderkey", 7919, 104729, "o_custkey")

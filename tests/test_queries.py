@@ -91,3 +91,25 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_boxes_grow(spark):
     assert aggregates.expanded((170.0, 0.0, -170.0, 10.0), 111195.0) == pytest.approx((168.98, -1.0, -168.98, 11.0), abs=0.02)
     assert aggregates.expanded((0.0, 80.0, 10.0, 89.9), 111195.0)[3] == 90.0
+
+
+def copies(oracle, to, table: str, n: int, **shifts: int) -> str:
+    """A folder with ``n`` copies of a table of the smallest size with shifted keys, and the nations."""
+    moved = ", ".join(f"{c} + i * {by} AS {c}" for c, by in shifts.items())
+    oracle.execute(f"COPY (SELECT * REPLACE ({moved}) FROM range({n}) r(i), {table}) TO '{to}/{table}.parquet' (FORMAT parquet)")
+    oracle.execute(f"COPY nation TO '{to}/nation.parquet' (FORMAT parquet)")
+    return str(to)
+
+
+def sql_over(name: str, folder: str, *tables: str):
+    con = duckdb.connect()
+    for t in tables:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    return con.execute(catalog.ORACLES[name]).df()
+
+
+def test_events_on_edges(spark, oracle, tmp_path):
+    """Whole degrees of longitude lie on the nations' meridians; rounding tells the side, and it is SQL's."""
+    to = copies(oracle, tmp_path, "events", 400, event_id=1000, user_id=1500)
+    got, want = catalog.QUERIES["geofence_windows"](spark, to).toPandas(), sql_over("geofence_windows", to, "events", "nation")
+    assert rows(got, sorted(want.columns)) == rows(want, sorted(want.columns))
