@@ -68,6 +68,11 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("o_custkey", F.transform("stops", lambda s: F.struct(s["lng"].alias("lng"), s["lat"].alias("lat"))).alias("stops"))
 
 
+def moves(stops: str = "stops"):
+    """The stops without those that are where the stop before them is."""
+    return F.filter(stops, lambda s, k: (k == 0) | (s != F.get(F.col(stops), k - 1)))
+
+
 def line_wkt(stops: str = "stops"):
     vertex = lambda s: F.concat(s["lng"].cast("string"), F.lit(" "), s["lat"].cast("string"))
     return F.when(F.size(stops) > 1, F.concat(F.lit("LINESTRING ("), F.array_join(F.transform(stops, vertex), ", "), F.lit(")")))

@@ -113,3 +113,10 @@ def test_events_on_edges(spark, oracle, tmp_path):
     to = copies(oracle, tmp_path, "events", 400, event_id=1000, user_id=1500)
     got, want = catalog.QUERIES["geofence_windows"](spark, to).toPandas(), sql_over("geofence_windows", to, "events", "nation")
     assert rows(got, sorted(want.columns)) == rows(want, sorted(want.columns))
+
+
+def test_orders_on_one_place(spark, oracle, tmp_path):
+    """Keys that differ by the places' period: stops of a customer repeat each other."""
+    to = copies(oracle, tmp_path, "orders", 3, o_orderkey=612_000)
+    got, want = catalog.QUERIES["simplify_nothing"](spark, to).toPandas(), sql_over("simplify_nothing", to, "orders")
+    assert rows(got, sorted(want.columns)) == rows(want, sorted(want.columns))
