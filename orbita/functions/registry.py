@@ -1,7 +1,8 @@
 """The st_* and s2_* functions over WKB columns, as Columns and as SQL functions.
 
 Every function is an Arrow-backed UDF over batches: a null argument gives null, equal WKB values are decoded once (so
-a literal is prepared once for a task), and calls with nothing but constants can be folded with ``evaluate``.
+a literal is prepared once for a task), and calls with nothing but constants can be folded with ``evaluate``. Plain
+points, plain lines and cells are answered a batch at a time where ``batches`` has a form of the kernel.
 """
 
 from __future__ import annotations
@@ -11,11 +12,14 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cache, lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from orbita import ship
+from orbita.functions import batches
 from orbita.geo import cells, kernels, overlay
 from orbita.geo import sphere as S
 from orbita.geo.geometry import COLLECTION, POLYGON, Geography, GeographyError, from_wkb, from_wkt, point, polygon, to_wkb, to_wkt, vertices
@@ -304,10 +308,34 @@ kernel("s2_cell_may_intersect", "cc", "boolean", cells.may_intersect)
 kernel("s2_cell_common_ancestor_level", "cc", "int", cells.common_ancestor_level)
 
 
+ARROW = {"double": pa.float64(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+ARROW |= {t: pa.struct([(c, pa.float64()) for c in names]) for t, names in ((BOX, ("xmin", "ymin", "xmax", "ymax")), (XYZ, "xyz"))}
+
+
+def over_batch(name: str, columns: list[pa.Array]) -> pa.Array:
+    """A call over a batch: by ``batches`` where that has an answer, by the kernel for the other rows."""
+    k = KERNELS[name]
+    to = ARROW[k.returns]
+    done, values = batches.BATCHES[name](*columns)
+    if done.all():
+        return values.cast(to)
+    rest = np.flatnonzero(~done)
+    one = [k(*[None if _missing(v) else v for v in row]) for row in zip(*[c.take(pa.array(rest)).to_pylist() for c in columns], strict=True)]
+    order = np.argsort(np.concatenate((np.flatnonzero(done), rest)))
+    return pa.concat_arrays([values.cast(to), pa.array(one, to)]).take(pa.array(order))
+
+
 @cache
 def udf(name: str):
     k = KERNELS[name]
     struct = k.returns.startswith("struct")
+    if name in batches.BATCHES:
+
+        def arrays(*columns: pa.Array) -> pa.Array:
+            return over_batch(name, columns)
+
+        arrays.__annotations__ = {"columns": pa.Array, "return": pa.Array}
+        return F.arrow_udf(arrays, k.returns)
 
     def batch(*columns: pd.Series) -> pd.Series:
         return pd.Series([k(*[None if _missing(v) else v for v in row]) for row in zip(*columns, strict=True)], dtype=object)
@@ -342,8 +370,6 @@ def call(name: str, *args: Column | bytes | float | int | str) -> Column:
 @cache
 def _cells_udf():
     def leaves(lng: pd.Series, lat: pd.Series) -> pd.Series:
-        import numpy as np
-
         at = np.stack((lng.to_numpy(float), lat.to_numpy(float)), 1)
         good = np.isfinite(at).all(1)
         out = np.full(len(at), cells.SENTINEL, np.int64)
@@ -361,11 +387,39 @@ def leaf_cells(lng: Column, lat: Column) -> Column:
     return F.when(lng.isNotNull() & lat.isNotNull(), _cells_udf()(lng, lat))
 
 
+@cache
+def _wkb_udf(lines: bool):
+    def of_points(lng: pa.Array, lat: pa.Array) -> pa.Array:
+        return batches.point_wkb(np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in (lng, lat)], 1))
+
+    def of_lines(stops: pa.Array) -> pa.Array:
+        xy = np.stack([c.to_numpy(zero_copy_only=False) for c in stops.values.flatten()[:2]], 1)
+        return batches.lines_wkb(stops.offsets.to_numpy(), xy)
+
+    of_points.__annotations__ = {"lng": pa.Array, "lat": pa.Array, "return": pa.Array}
+    of_lines.__annotations__ = {"stops": pa.Array, "return": pa.Array}
+    return F.arrow_udf(of_lines if lines else of_points, "binary")
+
+
+def point_wkb(lng: Column, lat: Column) -> Column:
+    """WKB of points; null gives null, NaN an empty point."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        ship.ensure(spark)
+    return F.when(lng.isNotNull() & lat.isNotNull(), _wkb_udf(False)(lng.cast("double"), lat.cast("double")))
+
+
+def line_wkb(stops: Column) -> Column:
+    """WKB of a line through an array of (lng, lat) without nulls."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        ship.ensure(spark)
+    return F.when(stops.isNotNull(), _wkb_udf(True)(stops))
+
+
 @cache
 def _vectors_udf():
     def vectors(lng: pd.Series, lat: pd.Series) -> pd.DataFrame:
-        import numpy as np
-
         at = [(c.to_numpy(float) * (math.pi / 180)).tolist() for c in (lng, lat)]
         of = lambda f, c: np.array([f(x) if math.isfinite(x) else math.nan for x in c])
         cos = of(math.cos, at[1])
