@@ -63,8 +63,8 @@ def point_join(points: DataFrame, shapes: DataFrame, lng: str, lat: str, geog: s
 
 
 def point_wkb(lng: Column, lat: Column) -> Column:
-    """WKB of a point by text; for refinement only, where a native condition is not given."""
-    return registry.call("st_geogfromwkt", F.concat(F.lit("POINT ("), lng.cast("string"), F.lit(" "), lat.cast("string"), F.lit(")")))
+    """WKB of a point; for refinement only where a native condition is not given."""
+    return registry.point_wkb(lng, lat)
 
 
 def spatial_join(left: DataFrame, right: DataFrame, left_geog: str, right_geog: str, predicate: str = "st_intersects", level: int = 4, how: str = "inner", left_id: str | None = None) -> DataFrame:
