@@ -73,9 +73,9 @@ def moves(stops: str = "stops"):
     return F.filter(stops, lambda s, k: (k == 0) | (s != F.get(F.col(stops), k - 1)))
 
 
-def line_wkt(stops: str = "stops"):
-    vertex = lambda s: F.concat(s["lng"].cast("string"), F.lit(" "), s["lat"].cast("string"))
-    return F.when(F.size(stops) > 1, F.concat(F.lit("LINESTRING ("), F.array_join(F.transform(stops, vertex), ", "), F.lit(")")))
+def line(stops: str = "stops"):
+    """WKB; null for fewer than two stops."""
+    return F.when(F.size(stops) > 1, registry.line_wkb(F.col(stops)))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
