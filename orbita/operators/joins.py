@@ -18,6 +18,8 @@ from orbita.functions import native, registry
 
 #: Cells of a covering, and the finest level used, by default.
 CELLS, LEVEL = 12, 12
+#: Left points of a task of ``knn_join``.
+LEFT_ROWS = 20_000
 
 
 def with_covering(shapes: DataFrame, geog: str, cells: int = CELLS, level: int = LEVEL, radius: float | None = None) -> DataFrame:
@@ -85,11 +87,13 @@ def spatial_join(left: DataFrame, right: DataFrame, left_geog: str, right_geog:
     raise ValueError(f"unknown kind of join {how}")
 
 
-def distance_join(left: DataFrame, right: DataFrame, left_at: tuple[str, str], right_at: tuple[str, str], metres: float) -> DataFrame:
+def distance_join(left: DataFrame, right: DataFrame, left_at: tuple[str, str], right_at: tuple[str, str], metres: float, parts: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of points at most ``metres`` apart, with ``distance``; columns of both sides must differ in name.
 
     Bands of latitude as high as the distance are cut into columns wide enough for their latitude, a number of which
-    goes round the sphere; the right side is sent to the three bands and the columns next to its own.
+    goes round the sphere; the left side is sent to the three bands and the columns next to its own, so that the right
+    one, where it is broadcast, is held once. The left side is dealt to ``parts`` tasks, by ``by``, for pairs may be many
+    where its files are few.
     """
     degrees = max(1e-9, metres / native.RADIUS * 57.29577951308232)
     bands = max(1, int(180 / degrees))
@@ -100,12 +104,23 @@ def distance_join(left: DataFrame, right: DataFrame, left_at: tuple[str, str], r
     reach = lambda b: F.when(edge(b) >= 89.9, 360.0).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), sine / F.cos(F.radians(edge(b)))))))
     columns = lambda b: F.greatest(F.lit(1), F.floor(F.lit(360.0) / (reach(b) * 1.0000001))).cast("int")
     column = lambda lng, b: F.least(columns(b) - 1, F.floor(F.pmod(lng + 180, F.lit(360.0)) / 360 * columns(b)).cast("int"))
-    a = left.withColumn("_band", band(F.col(left_at[1]))).withColumn("_column", column(F.col(left_at[0]), F.col("_band")))
-    b = right.withColumn("_band", F.explode(F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.greatest(F.lit(0), F.least(F.lit(bands - 1), band(F.col(right_at[1])) + d))))))
-    at = column(F.col(right_at[0]), F.col("_band"))
-    b = b.withColumn("_column", F.explode(F.array_distinct(F.array(*[F.pmod(at + d, columns(F.col("_band"))).cast("int") for d in (-1, 0, 1)]))))
-    apart = native.distance(F.col(left_at[0]), F.col(left_at[1]), F.col(right_at[0]), F.col(right_at[1]))
-    return a.join(b, ["_band", "_column"]).drop("_band", "_column").withColumn("distance", apart).where(F.col("distance") <= metres)
+    key = lambda c, b: b.cast("long") * (1 << 32) + c
+    flat = lambda df, v: df.select("*", *[F.col(f"{v}.{c}").alias(v + c) for c in "xyz"]).drop(v)
+    own = lambda b: F.least(F.lit(bands - 1), F.greatest(F.lit(0), b))
+    near_bands = F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: own(band(F.col(left_at[1])) + d)))
+    near_keys = lambda b: F.transform(F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(column(F.col(left_at[0]), b) + d, columns(b)))), lambda c: key(c, b))
+    a = flat(left.withColumn("_a", native.to_xyz(F.col(left_at[0]), F.col(left_at[1]))).withColumn("_keys", F.flatten(F.transform(near_bands, near_keys))), "_a")
+    # dealt after the keys are made, so that the loop over pairs is small enough to be compiled
+    a = a.repartition(parts or 8 * left.sparkSession.sparkContext.defaultParallelism, *by).withColumn("_key", F.explode("_keys")).drop("_keys")
+    b = flat(right.withColumn("_b", native.to_xyz(F.col(right_at[0]), F.col(right_at[1]))).withColumn("_band", band(F.col(right_at[1]))), "_b")
+    b = b.withColumn("_key", key(column(F.col(right_at[0]), F.col("_band")), F.col("_band"))).drop("_band")
+    apart = [F.col(f"_a{c}") - F.col(f"_b{c}") for c in "xyz"]
+    square = apart[0] * apart[0] + apart[1] * apart[1] + apart[2] * apart[2]
+    # chords tell which pairs are far; the angle, which costs more, is taken of the others
+    most = (2 * math.sin(min(math.pi, metres / native.RADIUS) / 2)) ** 2 * (1 + 1e-9) + 1e-15
+    near = a.join(b, "_key").where(square <= most)
+    found = near.withColumn("distance", 2 * F.asin(F.least(F.lit(1.0), F.sqrt(square) / 2)) * native.RADIUS).where(F.col("distance") <= metres)
+    return found.drop("_key", *[v + c for v in ("_a", "_b") for c in "xyz"])
 
 
 def knn_join(left: DataFrame, right: DataFrame, left_at: tuple[str, str], right_at: tuple[str, str], k: int, left_id: str, right_id: str, metres: float | None = None) -> DataFrame:
@@ -113,6 +128,7 @@ def knn_join(left: DataFrame, right: DataFrame, left_at: tuple[str, str], right_
 
     ``metres``: the first radius; by default that of a cap in which four times ``k`` evenly spread points are expected.
     """
+    from pyspark import StorageLevel
     from pyspark.sql import Window
 
     order = Window.partitionBy(left_id).orderBy("distance", right_id)
@@ -121,10 +137,13 @@ def knn_join(left: DataFrame, right: DataFrame, left_at: tuple[str, str], right_
     wanted = min(k, n)
     if metres is None:
         metres = native.RADIUS * math.acos(max(-1.0, 1 - 8 * k / max(1, n)))
+    # a task sorts the pairs of so many left points, however many there are in all
+    parts = max(4 * left.sparkSession.sparkContext.defaultParallelism, math.ceil(left.count() / LEFT_ROWS))
     while True:
         whole = metres >= 20_100_000
-        pairs = distance_join(rest, right, left_at, right_at, metres)
-        ranked = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= wanted)
+        pairs = distance_join(rest, right, left_at, right_at, metres, parts, (left_id,))
+        # read for those that are full, for the rest and for the result
+        ranked = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= wanted).persist(StorageLevel.DISK_ONLY)
         full = ranked.groupBy(left_id).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= wanted).select(left_id)
         found = ranked.join(full, left_id, "left_semi")
         done = found if done is None else done.unionByName(found)
