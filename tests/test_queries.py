@@ -120,3 +120,18 @@ def test_orders_on_one_place(spark, oracle, tmp_path):
     to = copies(oracle, tmp_path, "orders", 3, o_orderkey=612_000)
     got, want = catalog.QUERIES["simplify_nothing"](spark, to).toPandas(), sql_over("simplify_nothing", to, "orders")
     assert rows(got, sorted(want.columns)) == rows(want, sorted(want.columns))
+
+
+def test_pairs_of_one_file_are_dealt_to_tasks(spark):
+    """Pairs of a left side in one piece come from several tasks, each left point's from one."""
+    rng = np.random.default_rng(9)
+    at = lambda n: [(i, float(x), float(y)) for i, (x, y) in enumerate(np.c_[rng.uniform(-180, 180, n), rng.uniform(-90, 90, n)])]
+    a = spark.createDataFrame(at(400), "a long, lng double, lat double").coalesce(1)
+    b = spark.createDataFrame(at(300), "b long, lng2 double, lat2 double")
+    pairs = joins.distance_join(a, b, ("lng", "lat"), ("lng2", "lat2"), 2_000_000.0, 16, ("a",))
+    assert {"a", "lng", "lat", "b", "lng2", "lat2", "distance"} == set(pairs.columns)
+    assert pairs.select(F.spark_partition_id()).distinct().count() > 4
+    near = joins.knn_join(a, b, ("lng", "lat"), ("lng2", "lat2"), 3, "a", "b").collect()
+    apart = a.crossJoin(b).select("a", "b", native.distance(F.col("lng"), F.col("lat"), F.col("lng2"), F.col("lat2")).alias("d")).collect()
+    best = {i: [r.b for r in sorted((r for r in apart if r.a == i), key=lambda r: (r.d, r.b))[:3]] for i in range(400)}
+    assert {i: [r.b for r in sorted((r for r in near if r.a == i), key=lambda r: r.rank)] for i in range(400)} == best
