@@ -6,26 +6,30 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from orbita.llm import op4_exact_dedup, op5_bestfit_packing, op6_toxicity, op10_jaccard_join
-from orbita.llm.common import saved, table
+from orbita.llm.common import compact, saved, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what the classifier, learnt from the labels of these documents, predicts to be toxic."""
+    compact(spark)
     return op6_toxicity.keep_clean(docs, op6_toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest doc_id stays."""
+    compact(spark)
     return op4_exact_dedup.drop_copies(docs)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links connect the one with the least doc_id stays."""
+    compact(spark)
     return op10_jaccard_join.keep_one(docs)
 
 
 def bestfit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 4096 tokens and their places in sequences."""
+    compact(spark)
     return op5_bestfit_packing.packed_documents(docs, public_tokenizers.path(op5_bestfit_packing.VOCABULARY))
 
 

@@ -23,7 +23,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from orbita.llm import blobs, components, hashing, queries, spelling
+from orbita.llm import blobs, common, components, hashing, queries, spelling
 from orbita.llm import op1_bpe_codec as op1
 from orbita.llm import op2_lm_scoring as op2
 from orbita.llm import op3_html_extraction as op3
@@ -827,6 +827,22 @@ def test_queries_with_sql(spark):
         assert sorted(map(repr, got[columns].values.tolist())) == sorted(map(repr, want[columns].values.tolist()))
 
 
+def test_stages_of_the_pipeline_give_heap_back(spark):
+    import corpus_pipeline as p
+
+    jvm = spark._jvm
+    beans = list(jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans())
+    whole = lambda: sum(b.getCollectionCount() for b in beans if re.search("Old|MarkSweep", b.getName()))
+    before = whole()
+    common.compact(spark)
+    assert whole() > before
+    docs = spark.createDataFrame([(1, "a b"), (2, "a b")], "doc_id long, text string")
+    for stage in (p.exact_dedup, p.jaccard_join, p.bestfit_packing):
+        before = whole()
+        stage(spark, docs, SF)
+        assert whole() > before, stage
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
