@@ -18,13 +18,22 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def distinct(numbers: np.ndarray) -> np.ndarray:
+    """The distinct numbers in ascending order; ``numbers`` are sorted in place. ``np.unique`` alone may build a hash table of them."""
+    numbers.sort()
+    first = np.ones(len(numbers), bool)
+    np.not_equal(numbers[1:], numbers[:-1], out=first[1:])
+    return numbers[first]
+
+
 #: So many numbers are turned into bytes at once.
 PIECE = 1 << 18
 
 
 def deflated(rows: Callable[[int, int], np.ndarray], n: int, planes: int) -> bytes:
     """The first byte planes of n rows of 8 bytes, one after another; ``rows`` gives those of a range, so that they are never held all at once."""
-    deflate, out = zlib.compressobj(1), []
+    # only runs are looked for: planes are runs of one byte or as good as random
+    deflate, out = zlib.compressobj(1, zlib.DEFLATED, zlib.MAX_WBITS, zlib.DEF_MEM_LEVEL + 1, zlib.Z_RLE), []
     whole = rows(0, n) if n <= PIECE else None
     for k in range(planes):
         for a in range(0, n, PIECE):

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blobs import grouped, trim, unpacked
+from .blobs import distinct, grouped, trim, unpacked
 from .common import map_rows, partitions
 
 MESSAGE = "src long, at int, kind int, dest int, a binary, b binary, c binary, n long"
@@ -64,8 +64,8 @@ def each_chunk(rows: DataFrame, schema: str, of) -> DataFrame:
 def common_keys(rows: list[tuple]) -> tuple[np.ndarray, list[np.ndarray]]:
     """The distinct keys of requests (src, at, a, b, c), and where each request's keys stand among them."""
     keys = [unpacked(r[2]) for r in rows]
-    unique = np.unique(np.concatenate(keys))
+    unique = distinct(np.concatenate(keys))
     to = []
     while keys:  # each goes as soon as its places are known
-        to.append(np.searchsorted(unique, keys.pop()))
+        to.append(np.searchsorted(unique, keys.pop()).astype(np.uint32))
     return unique, to[::-1]

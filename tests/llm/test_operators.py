@@ -23,7 +23,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from orbita.llm import blobs, common, components, hashing, queries, spelling
+from orbita.llm import blobs, common, components, hashing, queries, rounds, spelling
 from orbita.llm import op1_bpe_codec as op1
 from orbita.llm import op2_lm_scoring as op2
 from orbita.llm import op3_html_extraction as op3
@@ -749,6 +749,30 @@ def test_op10_blobs_are_unpacked_without_copies():
             assert np.array_equal(unpack(pack(x[:n])), x[:n])
 
 
+def test_keys_of_requests_are_sorted_not_put_into_a_hash_table():
+    rng = np.random.default_rng(2)
+    pool = rng.integers(0, 1 << 62, 1_000_000, dtype=np.uint64)
+    asked = [np.unique(rng.choice(pool, n)) for n in (700_000, 700_000, 1, 0)]
+    rows = [(0, 0, blobs.packed(x), None, None) for x in asked]
+    began = time.process_time()
+    keys, to = rounds.common_keys(rows)
+    spent, whole = time.process_time() - began, np.concatenate(asked)
+    began = time.process_time()
+    whole.sort()
+    assert spent < 12 * (time.process_time() - began)  # a hash table of them: some 25 times and more
+    assert np.array_equal(keys, sorted(set(whole.tolist()))) and all(np.array_equal(keys[here], x) for here, x in zip(to, asked, strict=True))
+    assert blobs.distinct(np.zeros(0, np.uint64)).tolist() == [] and blobs.distinct(np.array([3, 1, 3], np.uint64)).tolist() == [1, 3]
+
+
+def test_op2_and_op10_blobs_of_planes_look_for_runs_only():
+    keys = np.sort(np.random.default_rng(3).integers(0, 1 << 48, 200_000, dtype=np.uint64)) << np.uint64(16)
+    held = np.minimum(np.random.default_rng(4).zipf(1.5, 200_000), 1 << 39)
+    for pack, unpack, x, bits in ((blobs.packed, blobs.unpacked, keys, 8), (blobs.counts, blobs.uncounted, held, 5)):
+        steps = np.diff(x, prepend=x[:1] * 0) if bits == 8 else x
+        whole = zlib.compress(np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :bits].T).tobytes(), 1)
+        assert np.array_equal(unpack(pack(x)), x) and len(pack(x)) < 0.995 * len(whole)
+
+
 def test_op10_ranges_of_keys():
     for buckets in (1, 3, 12, 1000):
         edge = [-(-(b << 32) // buckets) << 32 for b in range(1, buckets)]
