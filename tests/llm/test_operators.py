@@ -806,6 +806,65 @@ def test_op10_postings_come_in_bounded_batches(spark, monkeypatch):
     assert max(r.key for r in batches[0]) <= 10
 
 
+def test_op10_equal_sets_of_several_chunks_count_once(spark, monkeypatch):
+    monkeypatch.setattr(op10, "CHUNK", 100)
+    words = lambda k: " ".join(f"v{k}_{j}" for j in range(60))
+    rows = [(i, words(i % 4)) for i in range(64)] + [(100, words(9)), (101, words(9) + " more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    near = {op10.node_of(hashing.shingle_sets([t])[0]) for _, t in rows[64:]}
+    for ids in (op10.BROADCAST_IDS, 0):
+        monkeypatch.setattr(op10, "BROADCAST_IDS", ids)
+        posts = op10.postings(df, op10.parts_of).collect()  # before, the copies' parts stood here, too: held twice, by one set
+        assert {bytes(r.node) for r in posts} == near and {r.n for r in posts} == {2}
+        assert len({(r.key, bytes(r.node)) for r in posts}) == len(posts)
+    assert ordered(map(tuple, op10.linked_documents(df).collect())) == ordered(brute_components(rows))
+
+
+def test_op10_sets_together_give_what_each_gives_alone():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 1 << 62, n, dtype=np.uint64)) for n in [0, 1, 3, 4, 5, 9, 70, 400, 40_000, *rng.integers(1, 300, 600)]]
+    lists, alone = op10.parts_of_all(sets), {}
+    of = np.repeat(np.concatenate([a[1] for a in lists.about]), np.concatenate([a[0] for a in lists.about]))
+    keys = np.concatenate(lists.keys)
+    for i, s in enumerate(sets):
+        alone = [k for k, _ in op10.parts_of(s)] if len(s) else []
+        assert sorted(keys[of == i].tolist()) == sorted(x for k in alone for x in k.tolist())
+    for times in (1, 8):
+        assert op10.sketches(sets, times) == [op10.sketch_of(s, times) for s in sets]
+    assert op10.sketches([]) == [] and op10.parts_of_all([]).keys == []
+    began = time.process_time()
+    op10.parts_of_all(sets[9:])
+    spent = time.process_time() - began
+    began = time.process_time()
+    for s in sets[9:]:
+        op10.parts_of(s)
+    assert 3 * spent < time.process_time() - began
+
+
+def test_op10_few_sets_cross_as_many_do(monkeypatch):
+    rng, groups = np.random.default_rng(7), []
+    for m in (1, 2, 3, 5, 16) * 20:
+        base, rows = rng.integers(0, 1 << 62, int(rng.choice([5, 40, 130, 400])), dtype=np.uint64), []
+        for _ in range(m):
+            own = base.copy()
+            own[rng.choice(len(own), int(rng.integers(0, len(own) // 8 + 2)), replace=False)] += np.uint64(1)
+            own = np.unique(own[int(rng.integers(0, len(own) // 5 + 1)) :])
+            rows.append((bytes([rng.integers(4)]), len(own), op10.sketch_of(own, int(rng.choice([1, 8])))))
+        groups.append(rows)
+    few = list(map(op10.crossing, groups))
+    monkeypatch.setattr(op10, "FEW", 0)
+    assert few == list(map(op10.crossing, groups)) and any(few)
+    assert all(op10.bits_of(r[2], 8) == int(op10.folded(r[2], 1)[0]) for rows in groups for r in rows)
+
+
+def test_op10_words_of_any_length_are_told_apart():
+    words = [c * n + d for n in (0, 1, 6, 7, 8, 9, 15, 16, 17, 63, 64, 65, 200) for c in "xy" for d in ("a", "b", "ab", "é", "日本")]
+    sets = hashing.shingle_sets([*words, *(f" \t{w.upper()}\n" if w.isascii() else w for w in words)])
+    assert len({int(s[0]) for s in sets}) == len({w for w in words}) and [s.tolist() for s in sets[: len(words)]] == [s.tolist() for s in sets[len(words) :]]
+    order = hashing.shingle_sets(["a b c d e", "b a c d e", "e d c b a", "a a c d e", "a c a d e", "ab c d e f"])
+    assert len({int(s[0]) for s in order}) == 6
+
+
 def test_op10_many_null_ids(spark):
     rows = [(None if i % 2 else i, f"some words of a text that goes on with number {i // 4} and ends here x{i % 4 // 2}") for i in range(3000)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
